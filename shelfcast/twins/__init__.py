@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["core"]
+_MODULES = ["core", "analysis"]
 
 
 def all_twins() -> dict[str, str]:
