@@ -11,8 +11,10 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfcast.operators import cleaning, quality, warehouse
+from shelfcast.forecast import submission
+from shelfcast.operators import cleaning, features, quality, warehouse
 from shelfcast.schemas import WAREHOUSE_GRAINS
 from shelfcast.session import shared_folder
 from shelfcast.sources import sinks, star_adapter
@@ -115,6 +117,33 @@ class Workspace:
             "raw_holidays": raw["holidays"],
         }
 
+    def rollup_star(self) -> dict[str, DataFrame]:
+        """The star tables that series readiness needs, over the dense series."""
+        rolled = self.rollup()
+        if "rollup_fact" not in self._done:
+            train = cleaning.clean_train(rolled["train"])
+            start, end = cleaning.calendar_bounds(train)
+            dim_date = self.stored("rollup_dim_date", lambda: warehouse.build_dim_date(self.spark, start, end))
+            dim_store = self.stored("rollup_dim_store", lambda: warehouse.build_dim_store(rolled["stores"]))
+            dim_family = self.stored("rollup_dim_family", lambda: warehouse.build_dim_family(train))
+            fact = train.join(dim_date.select("date_key", F.col("full_date").alias("date")), "date").join(
+                dim_store.select("store_key", "store_nbr"), "store_nbr").join(dim_family, "family")
+            self.stored("rollup_fact", lambda: fact.select(
+                "date_key", "store_key", "family_key", "sales", "onpromotion", "is_promotion"))
+        return {"dim_date": self.stored("rollup_dim_date", lambda: None),
+                "dim_store": self.stored("rollup_dim_store", lambda: None),
+                "dim_family": self.stored("rollup_dim_family", lambda: None),
+                "fact_daily_sales": self.stored("rollup_fact", lambda: None)}
+
+    def training_frame(self) -> DataFrame:
+        """All features of the dense series over history and horizon."""
+        rolled = self.rollup()
+        return self.stored("rollup_training_frame", lambda: submission.final_inputs(
+            rolled["train"], rolled["future"], rolled["stores"], rolled["raw_holidays"]))
+
+    def known_frame(self) -> DataFrame:
+        return self.training_frame().drop(*features.LAG_FEATURES, *features.ROLLING_FEATURES)
+
 
 def warehouse_tables(space: Workspace, clean: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The eight tables in parent-first order; dimensions are stored before facts use them."""
