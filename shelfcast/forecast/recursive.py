@@ -3,13 +3,14 @@
 Every series is one row: an array with its last 364 days and an array with the known
 attributes of the forecast days, both of fixed length.  One shuffle builds these rows;
 after it each forecast day is a projection and a model call, so the horizon costs no
-further shuffle.  Several origins (folds) advance together as separate rows.
+further shuffle.  The rows of several origins (folds) are built together.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from shelfcast.schemas import SALES_GRAIN, SERIES
 from shelfcast.session import cut_lineage
 
 HISTORY_DAYS = max(LAGS)
+PARALLEL_FOLDS = 4
 Predictor = Callable[[object, DataFrame], DataFrame]
 
 
@@ -53,8 +55,7 @@ def series_states(known: DataFrame, origins: Mapping[int, dt.date], horizon: int
     """
     attributes = [c for c in known.columns if c not in (*SALES_GRAIN, "sales")]
     age = F.datediff("origin", "date")
-    past = F.when(age.between(0, HISTORY_DAYS - 1),
-                  F.struct(age.alias("age"), F.col("sales").cast("double").alias("y")))
+    past = F.when(age.between(0, HISTORY_DAYS - 1), F.struct("date", F.col("sales").cast("double").alias("y")))
     future = F.when(age.between(-horizon, -1), F.struct("date", *attributes))
     rows = (
         known.select(*SALES_GRAIN, "sales", *attributes).repartition(*SERIES)
@@ -62,12 +63,11 @@ def series_states(known: DataFrame, origins: Mapping[int, dt.date], horizon: int
         .filter(age.between(-horizon, HISTORY_DAYS - 1))
     )
     states = rows.groupBy("fold", "origin", *SERIES).agg(
-        F.map_from_entries(F.collect_list(past)).alias("_past"),
+        F.transform(F.array_sort(F.collect_list(past)), lambda e: e["y"]).alias("_past"),
         F.array_sort(F.collect_list(future)).alias("_future"))
-    # Index 1 is the oldest day, index 364 the origin; absent days stay null.
-    ages = F.sequence(F.lit(HISTORY_DAYS - 1), F.lit(0), F.lit(-1))
-    history = F.transform(ages, lambda a: F.try_element_at(F.col("_past"), a))
-    return states.select("fold", "origin", *SERIES, history.alias("_history"), "_future")
+    # A dense frame gives one entry per day; a short history is padded in front with nulls.
+    padding = F.array_repeat(F.lit(None).cast("double"), F.lit(HISTORY_DAYS) - F.size("_past"))
+    return states.select("fold", "origin", *SERIES, F.concat(padding, "_past").alias("_history"), "_future")
 
 
 def state_features() -> dict[str, Column]:
@@ -102,28 +102,28 @@ def state_features() -> dict[str, Column]:
     }
 
 
-def _one_day(states: DataFrame, models: Mapping[int, object], predictor: Predictor, step: int) -> DataFrame:
+def _one_day(states: DataFrame, model: object, predictor: Predictor, step: int) -> DataFrame:
+    """Predict one day and push it into the history; partitions stay as they are."""
     day = F.element_at("_future", step)
     known = [f.name for f in states.schema["_future"].dataType.elementType.fields]
     frame = states.select("*", *[day[c].alias(c) for c in known]).withColumns(state_features())
-    parts = []
-    for fold, model in models.items():
-        rows = frame if len(models) == 1 else frame.filter(F.col("fold") == fold)
-        scored = predictor(model, rows)
-        require_columns(scored, [*SALES_GRAIN, "prediction"], "prediction output")
-        if "_history" not in scored.columns:  # a predictor may return only grain and prediction
-            scored = rows.join(scored.select(*SALES_GRAIN, "prediction"), SALES_GRAIN, "left")
-        parts.append(scored.select(*states.columns, F.col("prediction").cast("double").alias("_y")))
-    shifted = F.concat(F.slice("_history", 2, HISTORY_DAYS - 1), F.array("_y"))
-    others = [c for c in states.columns if c not in ("_history", "_forecast")]
-    return union_all(parts).select(
-        *others, shifted.alias("_history"),
-        F.concat("_forecast", F.array("_y")).alias("_forecast"))
+    scored = predictor(model, frame)
+    require_columns(scored, [*SALES_GRAIN, "prediction"], "prediction output")
+    if "_history" not in scored.columns:  # a predictor may return only grain and prediction
+        scored = frame.join(scored.select(*SALES_GRAIN, "prediction"), SALES_GRAIN, "left")
+    value = F.array(F.col("prediction").cast("double"))
+    kept = [c for c in states.columns if c not in ("_history", "_forecast")]
+    return scored.select(*kept, F.concat(F.slice("_history", 2, HISTORY_DAYS - 1), value).alias("_history"),
+                         F.concat("_forecast", value).alias("_forecast"))
 
 
 def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapping[int, dt.date],
                    horizon: int, predictor: Predictor = predict_sales, check: bool = True) -> DataFrame:
-    """Recursive forecasts of several origins at once: fold, grain and prediction."""
+    """Recursive forecasts of several origins: fold, grain and prediction.
+
+    The states of all folds come from one shuffle; then each fold walks through its days
+    on its own, a few folds side by side.
+    """
     if check:
         assert_dense_calendar(known)
         ends = known.agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
@@ -131,15 +131,21 @@ def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapp
             raise ValueError("the known frame does not cover the complete forecast horizon")
     states = cut_lineage(series_states(known, origins, horizon).withColumn(
         "_forecast", F.array().cast("array<double>")))
-    for step in range(1, horizon + 1):
-        states = cut_lineage(_one_day(states, models, predictor, step))
-    result = states.select("fold", "origin", *SERIES, F.posexplode("_forecast").alias("_step", "prediction")).select(
+
+    def walk(fold: int) -> DataFrame:
+        current = states if len(origins) == 1 else states.filter(F.col("fold") == fold)
+        for step in range(1, horizon + 1):
+            current = cut_lineage(_one_day(current, models[fold], predictor, step))
+        return current
+
+    with ThreadPoolExecutor(max_workers=PARALLEL_FOLDS) as pool:
+        finished = union_all(list(pool.map(walk, origins)))
+    result = finished.select("fold", "origin", *SERIES, F.posexplode("_forecast").alias("_step", "prediction")).select(
         "fold", F.date_add("origin", F.col("_step") + 1).alias("date"), *SERIES, "prediction")
     if check:
         row = result.agg(F.count(F.lit(1)).alias("n"), F.count_if(
             ~is_finite("prediction") | (F.col("prediction") < 0)).alias("bad")).first()
-        expected = states.count() * horizon
-        if row["n"] != expected:
+        if row["n"] != states.count() * horizon:
             raise RuntimeError("recursive forecast row count is incomplete")
         if row["bad"]:
             raise RuntimeError("recursive predictions must be finite and not negative")
