@@ -55,17 +55,16 @@ class Workspace:
     # ------------------------------------------------------------ store x family layer
 
     def raw(self) -> dict[str, DataFrame]:
-        sources: dict[str, DataFrame] = {}
-
-        def source(name: str) -> DataFrame:
-            if not sources:
-                sources.update(star_adapter.full_sources(self.spark, self.folder))
-            return sources[name]
-
-        # Sales first: the other sources only need its calendar.
+        """Source tables; the big join runs once and everything else reads its result."""
+        spark, folder = self.spark, self.folder
+        sales = self.stored("raw_sales", lambda: star_adapter.sales(spark, folder))
         return {
-            name: self.stored(f"raw_{name}", lambda name=name: source(name))
-            for name in ("train", "stores", "transactions", "oil", "holidays")
+            "train": self.stored("raw_train", lambda: star_adapter.numbered_sales(sales)),
+            "stores": self.stored("raw_stores", lambda: star_adapter.stores(spark, folder)),
+            "transactions": self.stored("raw_transactions", lambda: star_adapter.transactions_in_span(
+                spark, folder, sales)),
+            "oil": self.stored("raw_oil", lambda: star_adapter.oil(spark, folder)),
+            "holidays": self.stored("raw_holidays", lambda: star_adapter.holidays(spark, folder)),
         }
 
     def clean(self) -> dict[str, DataFrame]:

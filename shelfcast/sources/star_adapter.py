@@ -163,15 +163,15 @@ def rollup_train_and_future(rolled: DataFrame, horizon: int = HORIZON) -> tuple[
     )
 
 
-def full_sources(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Store x family sources for warehouse, marts and descriptive analysis."""
-    train = nested_row_number(sales(spark, folder), SALES_GRAIN, "id")
-    span = one_row(train.agg(F.min("date").alias("a"), F.max("date").alias("z")))
-    visits = transactions(spark, folder).filter(F.col("date").between(span["a"], span["z"]))
-    return {
-        "train": train.select("id", *SALES_GRAIN, "sales", "onpromotion"),
-        "stores": stores(spark, folder),
-        "transactions": visits,
-        "oil": oil(spark, folder),
-        "holidays": holidays(spark, folder),
-    }
+def numbered_sales(sales_table: DataFrame) -> DataFrame:
+    """Sales with a row id by date, store and family.
+
+    ``sales_table`` is read several times: pass a stored table, not the join itself.
+    """
+    return nested_row_number(sales_table, SALES_GRAIN, "id").select("id", *SALES_GRAIN, "sales", "onpromotion")
+
+
+def transactions_in_span(spark: SparkSession, folder: str, sales_table: DataFrame) -> DataFrame:
+    """Transactions on the sales calendar."""
+    span = one_row(sales_table.agg(F.min("date").alias("a"), F.max("date").alias("z")))
+    return transactions(spark, folder).filter(F.col("date").between(span["a"], span["z"]))
