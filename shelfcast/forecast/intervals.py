@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.forecast.metrics import mae, pinball, rmsle, wape
 from shelfcast.functions.columns import is_finite
 from shelfcast.functions.quantiles import exact_quantiles, join_null_safe, with_quantiles
-from shelfcast.operators.audit import require_columns, union_all
+from shelfcast.operators.audit import require_columns
 from shelfcast.schemas import SALES_GRAIN, SERIES
 
 ALPHA = 0.2
@@ -76,20 +76,21 @@ def score_intervals(intervals: DataFrame, groups: list[str], alpha: float = ALPH
     return with_quantiles(summary, intervals.withColumn("_w", width), groups, {"median_interval_width": ("_w", 0.5)})
 
 
-def segment_scores(intervals: DataFrame, labeled: DataFrame) -> DataFrame:
-    """Overall, by fold, by readiness class and for two risk cohorts, stacked."""
-    base = [*SALES_GRAIN, "fold", "sales", "p10", "p50", "p90"]
+def segment_scores(labeled: DataFrame) -> DataFrame:
+    """Overall, by fold, by readiness class and for two risk cohorts, in one grouped pass.
 
-    def segment(df: DataFrame, kind: str, value) -> DataFrame:
-        rows = df.select(*base, F.lit(kind).alias("segment_type"), value.cast("string").alias("segment_value"))
-        return score_intervals(rows, ["segment_type", "segment_value"])
-
-    return union_all([
-        segment(intervals, "overall", F.lit("all")), segment(intervals, "overall_fold", F.col("fold")),
-        segment(labeled, "readiness_class", F.col("readiness_class")),
-        segment(labeled.filter("is_high_volatility = 1"), "risk_cohort", F.lit("high_volatility")),
-        segment(labeled.filter("is_intermittent = 1"), "risk_cohort", F.lit("intermittent")),
-    ])
+    Each row names the segments it belongs to, so overlapping cohorts need no extra scans.
+    """
+    def segment(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("segment_type"), value.cast("string").alias("segment_value"))
+
+    own = F.array_compact(F.array(
+        segment("overall", F.lit("all")), segment("overall_fold", F.col("fold")),
+        segment("readiness_class", F.col("readiness_class")),
+        F.when(F.col("is_high_volatility") == 1, segment("risk_cohort", F.lit("high_volatility"))),
+        F.when(F.col("is_intermittent") == 1, segment("risk_cohort", F.lit("intermittent")))))
+    rows = labeled.select(*SALES_GRAIN, "fold", "sales", "p10", "p50", "p90", F.inline(own))
+    return score_intervals(rows, ["segment_type", "segment_value"])
 
 
 def calibrate_folds(oof: DataFrame, folds: int = 4, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:

@@ -54,10 +54,10 @@ def _vector_columns(features: list[str]) -> tuple[list[str], list[str]]:
     return categorical, [c for c in features if c not in categorical]
 
 
-def prepare(frame: DataFrame, features: list[str]) -> DataFrame:
-    """Numeric model inputs: doubles with the missing marker."""
-    _, numeric = _vector_columns(features)
-    return frame.withColumns({f"{c}_input": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in numeric})
+def numeric_inputs(columns: list[str]) -> SQLTransformer:
+    """Pipeline stage: numeric features as doubles with the missing marker."""
+    inputs = ", ".join(f"coalesce(CAST({c} AS DOUBLE), {MISSING}) AS {c}_input" for c in columns)
+    return SQLTransformer(statement=f"SELECT *, {inputs} FROM __THIS__")
 
 
 @dataclass
@@ -69,7 +69,7 @@ class GlobalModel:
     target: str = "log_sales"
 
     def transform(self, frame: DataFrame) -> DataFrame:
-        return self.pipeline.transform(prepare(frame, self.features))
+        return self.pipeline.transform(frame)
 
     def importances(self) -> DataFrame:
         """Features by importance, largest first."""
@@ -101,7 +101,8 @@ def _active() -> SparkSession:
 def _fit(training: DataFrame, features: list[str], estimator, label: str) -> PipelineModel:
     shared_folder(training.sparkSession)  # boosting cuts its lineage there
     categorical, numeric = _vector_columns(features)
-    stages, inputs = [], [f"{c}_input" for c in numeric]
+    stages = [numeric_inputs(numeric)] if numeric else []
+    inputs = [f"{c}_input" for c in numeric]
     if categorical:
         indexer = encode_categories(training, categorical)
         stages.append(indexer)
@@ -144,7 +145,7 @@ def train_global_model(frame: DataFrame, cutoff: Date, parameters: TreeParameter
     selected = model_columns(frame, features)
     rows = training_rows(frame, cutoff, check).withColumn("log_sales", F.log1p("sales"))
     trees = GBTRegressor(**_settings(parameters or TreeParameters()))
-    return GlobalModel(_fit(prepare(rows, selected), selected, trees, "log_sales"), selected)
+    return GlobalModel(_fit(rows, selected, trees, "log_sales"), selected)
 
 
 def predict_sales(model: GlobalModel, frame: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def train_two_stage_model(frame: DataFrame, cutoff: Date, parameters: TreeParame
                           features: list[str] | None = None, check: bool = True) -> TwoStageModel:
     selected = model_columns(frame, features)
     settings = _settings(parameters or TreeParameters())
-    rows = prepare(training_rows(frame, cutoff, check), selected).withColumns({
+    rows = training_rows(frame, cutoff, check).withColumns({
         "any_sale": (F.col("sales") > 0).cast("double"), "log_sales": F.log1p("sales")})
     occurrence = _fit(rows, selected, GBTClassifier(**settings), "any_sale")
     magnitude = _fit(rows.filter("sales > 0"), selected, GBTRegressor(**settings), "log_sales")

@@ -102,19 +102,23 @@ def state_features() -> dict[str, Column]:
     }
 
 
-def _one_day(states: DataFrame, model: object, predictor: Predictor, step: int) -> DataFrame:
-    """Predict one day and push it into the history; partitions stay as they are."""
-    day = F.element_at("_future", step)
-    known = [f.name for f in states.schema["_future"].dataType.elementType.fields]
-    frame = states.select("*", *[day[c].alias(c) for c in known]).withColumns(state_features())
+def _one_day(states: DataFrame, model: object, predictor: Predictor,
+             columns: Mapping[str, Column]) -> DataFrame:
+    """Predict the first open day and push it into the history; partitions stay as they are.
+
+    The day leaves the front of the open days, so every step is the same plan and its
+    generated code is compiled once.
+    """
+    frame = states.select("*", F.element_at("_future", 1).alias("_day")).select(
+        *states.columns, "_day.*").withColumns(columns)
     scored = predictor(model, frame)
     require_columns(scored, [*SALES_GRAIN, "prediction"], "prediction output")
     if "_history" not in scored.columns:  # a predictor may return only grain and prediction
         scored = frame.join(scored.select(*SALES_GRAIN, "prediction"), SALES_GRAIN, "left")
     value = F.array(F.col("prediction").cast("double"))
-    kept = [c for c in states.columns if c not in ("_history", "_forecast")]
+    kept = [c for c in states.columns if c not in ("_history", "_future", "_forecast")]
     return scored.select(*kept, F.concat(F.slice("_history", 2, HISTORY_DAYS - 1), value).alias("_history"),
-                         F.concat("_forecast", value).alias("_forecast"))
+                         F.slice("_future", 2, HISTORY_DAYS).alias("_future"), F.concat("_forecast", value).alias("_forecast"))
 
 
 def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapping[int, dt.date],
@@ -132,10 +136,12 @@ def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapp
     states = cut_lineage(series_states(known, origins, horizon).withColumn(
         "_forecast", F.array().cast("array<double>")))
 
+    columns = state_features()  # built once, used by every step
+
     def walk(fold: int) -> DataFrame:
         current = states if len(origins) == 1 else states.filter(F.col("fold") == fold)
-        for step in range(1, horizon + 1):
-            current = cut_lineage(_one_day(current, models[fold], predictor, step))
+        for _ in range(horizon):
+            current = cut_lineage(_one_day(current, models[fold], predictor, columns))
         return current
 
     with ThreadPoolExecutor(max_workers=PARALLEL_FOLDS) as pool:

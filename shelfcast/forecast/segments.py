@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.forecast.metrics import mae, rmsle
 from shelfcast.functions.columns import is_finite, safe_ratio
-from shelfcast.operators.audit import assert_unique, require_columns, union_all
+from shelfcast.operators.audit import assert_unique, require_columns
 from shelfcast.schemas import SALES_GRAIN, SERIES
 
 LABELS = ["readiness_class", "is_high_volatility", "is_intermittent", "is_promotion_dependent",
@@ -57,12 +57,11 @@ def score_flags(labeled: DataFrame) -> DataFrame:
 
 
 def segment_tables(labeled: DataFrame, segments: list[str]) -> DataFrame:
-    """Several segmentations stacked: segment type, value and scores."""
-    return union_all([
-        score_segments(labeled.select(*SALES_GRAIN, "fold", "sales", "prediction",
-                                      F.lit(name).alias("segment_type"), F.col(name).cast("string").alias("segment_value")),
-                       ["segment_type", "segment_value"])
-        for name in segments])
+    """Several segmentations stacked, scored in one grouped pass."""
+    own = F.array(*[F.struct(F.lit(name).alias("segment_type"), F.col(name).cast("string").alias("segment_value"))
+                    for name in segments])
+    rows = labeled.select(*SALES_GRAIN, "fold", "sales", "prediction", F.inline(own))
+    return score_segments(rows, ["segment_type", "segment_value"])
 
 
 def best_and_worst(scores: DataFrame, key: str, n: int = 10, metric: str = "rmsle") -> DataFrame:

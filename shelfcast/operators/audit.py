@@ -120,7 +120,7 @@ def count_duplicates(df: DataFrame, grain: list[str]) -> int:
 
 
 def assert_unique(df: DataFrame, grain: list[str], name: str) -> None:
-    if duplicated_grains(df, grain, name, 1).count():
+    if grain_counts(df, grain, name).filter("row_count > 1").limit(1).count():
         raise ValueError(f"{name}: duplicate grain detected for {', '.join(grain)}")
 
 

@@ -81,36 +81,49 @@ def build_dim_family(train: DataFrame, check: bool = True) -> DataFrame:
     return _dense_key(train.select("family").distinct(), "family", "family_key")
 
 
-def refuse_unmapped(source: DataFrame, column: str, dimension: DataFrame, key: str, name: str) -> None:
-    """Raise with up to five business keys that the dimension does not know."""
-    known = dimension.select(F.col(key).alias(column)).distinct()
-    values = source.select(column).distinct()
-    unknown = values.join(known, column, "left_anti").limit(5).collect()
-    if unknown:
-        raise ValueError(f"{name}: unmapped {column} values: {[row[0] for row in unknown]}")
-
-
-def _map_store_day(df: DataFrame, dim_date: DataFrame, dim_store: DataFrame, name: str,
-                   check: bool) -> DataFrame:
-    """Replace date and store number by their keys; small dimensions are broadcast by size."""
-    if check:
-        refuse_unmapped(df, "date", dim_date, "full_date", name)
-        refuse_unmapped(df, "store_nbr", dim_store, "store_nbr", name)
+def _map_store_day(df: DataFrame, dim_date: DataFrame, dim_store: DataFrame) -> DataFrame:
+    """Add both surrogate keys, null where unknown; small dimensions are broadcast by size."""
     return (
-        df.join(dim_date.select("date_key", F.col("full_date").alias("date")), "date")
-        .join(dim_store.select("store_key", "store_nbr"), "store_nbr")
+        df.join(dim_date.select("date_key", F.col("full_date").alias("date")), "date", "left")
+        .join(dim_store.select("store_key", "store_nbr"), "store_nbr", "left")
     )
 
 
+def verify_mapping(source: DataFrame, mapped: DataFrame, keys: dict[str, str], name: str,
+                   measures: dict[str, float] | None = None) -> None:
+    """Every row mapped, no row gained or lost, measure totals unchanged.
+
+    One pass over each side; examples are only looked up when something is wrong.
+    """
+    measures = measures or {}
+    totals = [F.count(F.lit(1)).alias("_rows")] + [F.sum(m).alias(m) for m in measures]
+    nulls = [F.count_if(F.col(key).isNull()).alias(f"_no_{key}") for key in keys]
+    after = mapped.agg(*totals, *nulls).first()
+    for key, column in keys.items():
+        if after[f"_no_{key}"]:
+            unknown = mapped.filter(F.col(key).isNull()).select(column).distinct().limit(5).collect()
+            raise ValueError(f"{name}: unmapped {column} values: {[row[0] for row in unknown]}")
+    before = source.agg(*totals).first()
+    if before["_rows"] != after["_rows"]:
+        raise RuntimeError(f"{name}: row count changed from {before['_rows']} to {after['_rows']}")
+    for measure, tolerance in measures.items():
+        if abs((before[measure] or 0) - (after[measure] or 0)) > tolerance:
+            raise RuntimeError(f"{name}: total {measure} changed")
+
+
+STORE_DAY_KEYS = {"date_key": "date", "store_key": "store_nbr"}
+
+
 def build_bridge_store_holiday(holidays: DataFrame, dim_date: DataFrame, dim_store: DataFrame,
                                check: bool = True) -> DataFrame:
     require_columns(holidays, ["date", "store_nbr", "holiday_count", *HOLIDAY_TEXTS, *HOLIDAY_FLAGS],
                     "holidays")
     span = one_row(dim_date.agg(F.min("full_date").alias("a"), F.max("full_date").alias("z")))
     inside = holidays.filter(F.col("date").between(span["a"], span["z"]))
-    bridge = _map_store_day(inside, dim_date, dim_store, "bridge_store_holiday", check).select(
-        "date_key", "store_key", "holiday_count", *HOLIDAY_TEXTS, *HOLIDAY_FLAGS)
+    mapped = _map_store_day(inside, dim_date, dim_store)
+    bridge = mapped.select("date_key", "store_key", "holiday_count", *HOLIDAY_TEXTS, *HOLIDAY_FLAGS)
     if check:
+        verify_mapping(inside, mapped, STORE_DAY_KEYS, "bridge_store_holiday")
         assert_unique(bridge, ["date_key", "store_key"], "bridge_store_holiday")
     return bridge
 
@@ -120,7 +133,10 @@ def observed_store_days(observations: DataFrame, dim_date: DataFrame, dim_store:
     """Distinct (date_key, store_key) pairs that occur in a source."""
     require_columns(observations, ["date", "store_nbr"], name)
     days = observations.select("date", "store_nbr").distinct()
-    return _map_store_day(days, dim_date, dim_store, name, check).select("date_key", "store_key")
+    mapped = _map_store_day(days, dim_date, dim_store)
+    if check:
+        verify_mapping(days, mapped, STORE_DAY_KEYS, name)
+    return mapped.select("date_key", "store_key")
 
 
 def build_dim_store_date(dim_date: DataFrame, dim_store: DataFrame, bridge: DataFrame,
@@ -179,16 +195,15 @@ def build_fact_daily_sales(train: DataFrame, dim_date: DataFrame, dim_store: Dat
                            check: bool = True) -> DataFrame:
     require_columns(train, ["id", "date", "store_nbr", "family", "sales", "onpromotion",
                             "is_promotion"], "train")
-    if check:
-        refuse_unmapped(train, "family", dim_family, "family", "fact_daily_sales")
-    mapped = _map_store_day(train, dim_date, dim_store, "fact_daily_sales", check).join(
-        dim_family.select("family_key", "family"), "family")
-    fact = attach_date_store_key(mapped, dim_store_date, check).select(
+    mapped = _map_store_day(train, dim_date, dim_store).join(
+        dim_family.select("family_key", "family"), "family", "left")
+    fact = attach_date_store_key(mapped, dim_store_date, check=False).select(
         F.col("id").alias("sales_id"), "date_key", "store_key", "date_store_key", "family_key",
         F.col("sales").cast("double").alias("sales"), "onpromotion", "is_promotion",
     )
     if check:
-        reconcile(train, fact, {"sales": 1e-6, "onpromotion": 0.0}, "fact_daily_sales")
+        verify_mapping(train, mapped, {**STORE_DAY_KEYS, "family_key": "family"}, "fact_daily_sales",
+                       {"sales": 1e-6, "onpromotion": 0.0})
         assert_unique(fact, ["date_key", "store_key", "family_key"], "fact_daily_sales")
     return fact
 
@@ -196,10 +211,10 @@ def build_fact_daily_sales(train: DataFrame, dim_date: DataFrame, dim_store: Dat
 def build_fact_store_transactions(transactions: DataFrame, dim_date: DataFrame,
                                   dim_store: DataFrame, check: bool = True) -> DataFrame:
     require_columns(transactions, ["date", "store_nbr", "transactions"], "transactions")
-    fact = _map_store_day(transactions, dim_date, dim_store, "fact_store_transactions", check).select(
-        "date_key", "store_key", "transactions")
+    mapped = _map_store_day(transactions, dim_date, dim_store)
+    fact = mapped.select("date_key", "store_key", "transactions")
     if check:
-        reconcile(transactions, fact, {"transactions": 0.0}, "fact_store_transactions")
+        verify_mapping(transactions, mapped, STORE_DAY_KEYS, "fact_store_transactions", {"transactions": 0.0})
         assert_unique(fact, ["date_key", "store_key"], "fact_store_transactions")
     return fact
 
@@ -210,7 +225,8 @@ def build_fact_oil_price(oil: DataFrame, dim_date: DataFrame, check: bool = True
     fact = oil.join(dim_date.select("date_key", F.col("full_date").alias("date")), "date").select(
         "date_key", *columns)
     if check:
-        refuse_unmapped(oil, "date", dim_date, "full_date", "fact_oil_price")
+        if oil.join(dim_date.select(F.col("full_date").alias("date")), "date", "left_anti").limit(1).count():
+            raise ValueError("fact_oil_price: unmapped date values")
         if oil.filter(F.col("oil_price").isNull()).limit(1).count():
             raise ValueError("fact_oil_price: oil_price contains missing values")
         assert_unique(fact, ["date_key"], "fact_oil_price")
@@ -218,13 +234,3 @@ def build_fact_oil_price(oil: DataFrame, dim_date: DataFrame, check: bool = True
             raise RuntimeError("fact_oil_price: rows do not match the calendar")
     return fact
 
-
-def reconcile(source: DataFrame, result: DataFrame, measures: dict[str, float], name: str) -> None:
-    """Row count and measure totals must survive the key mapping."""
-    totals = [F.count(F.lit(1)).alias("rows")] + [F.sum(m).alias(m) for m in measures]
-    a, b = source.agg(*totals).first(), result.agg(*totals).first()
-    if a["rows"] != b["rows"]:
-        raise RuntimeError(f"{name}: row count changed from {a['rows']} to {b['rows']}")
-    for measure, tolerance in measures.items():
-        if abs((a[measure] or 0) - (b[measure] or 0)) > tolerance:
-            raise RuntimeError(f"{name}: total {measure} changed")

@@ -237,49 +237,49 @@ def measure_checks(ws: Workspace) -> DataFrame:
 @query("q23_mart_checks")
 def mart_checks(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.mart_checks(t, marts.build_marts(t))
+    return quality.mart_checks(t, ws.marts())
 
 
 @query("q25_q26_classified_checks")
 def classified_checks(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.run_check_sets(t, marts.build_marts(t))
+    return quality.run_check_sets(t, ws.marts())
 
 
 @query("q24_finite_results")
 def finite_results(ws: Workspace) -> DataFrame:
-    return quality.finite_counts(marts.daily_store_performance(ws.warehouse()))
+    return quality.finite_counts(ws.marts()["daily_store_performance"])
 
 
 @query("q27_daily_store_reconciliation")
 def daily_store_reconciliation(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.reconcile_daily_store(t, marts.daily_store_performance(t))
+    return quality.reconcile_daily_store(t, ws.marts()["daily_store_performance"])
 
 
 @query("q28_family_differences")
 def family_differences(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
     # The mart side leaves out months with many zero rows, so the list has rows to show.
-    return quality.family_differences(t, marts.family_performance(t).filter("zero_sales_rate < 0.3"))
+    return quality.family_differences(t, ws.marts()["family_performance"].filter("zero_sales_rate < 0.3"))
 
 
 @query("q29_store_reconciliation")
 def store_reconciliation(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.reconcile_store(t, marts.store_performance(t))
+    return quality.reconcile_store(t, ws.marts()["store_performance"])
 
 
 @query("q30_holiday_reconciliation")
 def holiday_reconciliation(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.reconcile_holiday(t, marts.holiday_performance(t))
+    return quality.reconcile_holiday(t, ws.marts()["holiday_performance"])
 
 
 @query("q31_seasonality_reconciliation")
 def seasonality_reconciliation(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    return quality.reconcile_seasonality(t, marts.seasonality(t))
+    return quality.reconcile_seasonality(t, ws.marts()["seasonality"])
 
 
 @query("q32_dimension_constraints")

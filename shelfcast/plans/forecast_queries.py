@@ -220,7 +220,7 @@ query("u9_u10_interval_scores")(lambda ws: intervals.score_intervals(_calibrated
 @query("u12_interval_segments")
 def interval_segments(ws: Workspace) -> DataFrame:
     bounds = ws.stored("result_intervals", lambda: _calibrated(ws)[0])
-    return intervals.segment_scores(bounds, segments.attach_labels(bounds, _labels(ws)))
+    return intervals.segment_scores(segments.attach_labels(bounds, _labels(ws)))
 
 
 query("z3_submission")(lambda ws: submission.create_submission(ws.rollup()["future"], _future_baseline(ws)))

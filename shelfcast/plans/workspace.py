@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.forecast import submission
-from shelfcast.operators import cleaning, features, quality, warehouse
+from shelfcast.operators import cleaning, features, marts, quality, warehouse
 from shelfcast.schemas import WAREHOUSE_GRAINS
 from shelfcast.session import shared_folder
 from shelfcast.sources import sinks, star_adapter
@@ -93,6 +93,11 @@ class Workspace:
         return {name: self.stored(name, lambda: None, name in sinks.PARTITIONED)
                 for name in WAREHOUSE_GRAINS}
 
+    def marts(self) -> dict[str, DataFrame]:
+        """The five marts, stored once: the checks read each of them several times."""
+        t = self.warehouse()
+        return {name: self.stored(f"mart_{name}", lambda build=build: build(t)) for name, build in marts.MARTS.items()}
+
     # ------------------------------------------------------------ dense rollup layer
 
     def rollup(self) -> dict[str, DataFrame]:
