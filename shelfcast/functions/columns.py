@@ -19,6 +19,14 @@ def safe_ratio(numerator: str | Column, denominator: str | Column) -> Column:
     return F.when(is_finite(ratio), ratio)
 
 
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Aggregate: Pearson correlation, null when a side does not vary (``corr`` would raise)."""
+    x, y = col(a).cast("double"), col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return safe_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def is_finite(value: str | Column) -> Column:
     value = col(value)
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))

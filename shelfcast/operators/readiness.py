@@ -167,7 +167,7 @@ def store_context(readiness: DataFrame, store_performance: DataFrame, anomalies:
         F.count(F.lit(1)).alias("_n"))
     return (
         worst.orderBy(F.col("issue_count").desc(), F.col("issue_rate").desc(), "store_nbr").limit(n)
-        .join(store_performance.select("store_nbr", "average_daily_sales", "coefficient_of_variation"), "store_nbr", "left")
+        .join(store_performance.select("store_nbr", "average_daily_sales", "coefficient_of_variation"), "store_nbr")
         .join(flagged, "store_nbr", "left")
         .select("store_nbr", "issue_count", "issue_rate", "dominant_issue", "average_daily_sales",
                 "coefficient_of_variation", F.coalesce("_n", F.lit(0)).alias("anomaly_count"))

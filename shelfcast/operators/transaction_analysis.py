@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.columns import choose, flag, rank_desc, safe_ratio
+from shelfcast.functions.columns import choose, flag, rank_desc, safe_corr, safe_ratio
 from shelfcast.functions.quantiles import with_quantiles
 from shelfcast.operators.trend import moving_average
 from shelfcast.schemas import STORE_ATTRIBUTES
@@ -70,12 +70,10 @@ def store_summary(frame: DataFrame) -> DataFrame:
         F.median("transactions").alias("median_daily_transactions"),
         F.count(F.lit(1)).alias("transaction_observation_count"),
         F.sum("unusual_transaction_day").alias("unusual_transaction_days"),
-        F.corr("total_sales", F.col("transactions").cast("double")).alias("sales_transactions_correlation"),
+        safe_corr("total_sales", "transactions").alias("sales_transactions_correlation"),
     ).withColumn("sales_volume_per_transaction", safe_ratio("total_sales", "total_transactions"))
     whole = Window.partitionBy(F.lit(0))
-    correlation = F.col("sales_transactions_correlation")
     return summary.withColumns({
-        "sales_transactions_correlation": F.when(~F.isnan(correlation), correlation),
         "rank_total_transactions": rank_desc(
             "total_transactions", whole.orderBy(F.col("total_transactions").desc_nulls_last())),
         "rank_sales_volume_per_transaction": rank_desc(
@@ -134,7 +132,7 @@ def daily_totals(frame: DataFrame) -> DataFrame:
 
 def overall_correlation(frame: DataFrame) -> DataFrame:
     return frame.agg(
-        F.corr("total_sales", F.col("transactions").cast("double")).alias("sales_transactions_correlation"),
+        safe_corr("total_sales", "transactions").alias("sales_transactions_correlation"),
         F.sum("zero_transaction_flag").alias("zero_transaction_days"),
         F.sum("unusual_transaction_day").alias("unusual_transaction_days"),
         F.count(F.lit(1)).alias("store_days"))

@@ -417,7 +417,7 @@ FROM (SELECT store_nbr, city, state, store_type, cluster, SUM(total_sales) AS to
              AVG(transactions) AS average_daily_transactions, quantile_cont(CAST(transactions AS DOUBLE), 0.5) AS median_daily_transactions,
              COUNT(*) AS transaction_observation_count, CAST(SUM(unusual_transaction_day) AS BIGINT) AS unusual_transaction_days,
              SUM(total_sales) / NULLIF(CAST(SUM(transactions) AS DOUBLE), 0) AS sales_volume_per_transaction,
-             corr(total_sales, transactions) AS sales_transactions_correlation FROM td GROUP BY ALL)
+             CASE WHEN stddev_pop(total_sales) * stddev_pop(transactions) > 0 THEN corr(total_sales, transactions) END AS sales_transactions_correlation FROM td GROUP BY ALL)
 """, "total_sales average_daily_transactions median_daily_transactions sales_volume_per_transaction sales_transactions_correlation")
 TWINS["t5_monthly_driver"] = visits(
     "SELECT * FROM driver", "total_sales sales_volume_per_transaction previous_total_sales previous_sales_volume_per_transaction "

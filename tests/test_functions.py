@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.functions.columns import has_token, rank_desc, safe_ratio
+from shelfcast.functions.columns import has_token, rank_desc, safe_corr, safe_ratio
 from shelfcast.functions.numbering import nested_row_number
 from shelfcast.functions.quantiles import exact_quantiles
 from conftest import rows
@@ -49,3 +49,9 @@ def test_column_helpers(spark):
     out = df.select("k", safe_ratio("v", F.col("k") - 1).alias("r"), has_token("t", "Local").alias("h"),
                     rank_desc("v", Window.partitionBy(F.lit(0)).orderBy(F.col("v").desc_nulls_last())).alias("rank"))
     assert rows(out, "k") == [(1, None, True, 1), (2, 4.0, False, 1), (3, None, False, None), (4, 1 / 3, False, 3)]
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (2, 2.0, 4.0), (2, None, 9.0)], "k int, a double, b double")
+    result = rows(df.groupBy("k").agg(safe_corr("a", "b").alias("r")), "k")
+    assert result[0] == (1, None) and result[1][1] == pytest.approx(1.0)
