@@ -2,4 +2,20 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+URL_VERDICTS = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (
+  SELECT page_id, row_number() OVER () AS row_id,
+         translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+rules(rh, rp, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (
+  SELECT row_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+  FROM hosts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY row_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM hosts LEFT JOIN best USING (row_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_url_filter": URL_VERDICTS,
+}
