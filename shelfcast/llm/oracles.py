@@ -16,6 +16,28 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM hosts LEFT JOIN best USING (row_id)
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT item_id, least(13, len(w)) AS n, unnest([w[i:i + least(13, len(w)) - 1] for i in range(1, len(w) - least(13, len(w)) + 2)]) AS ws
+  FROM b WHERE len(w) > 0),
+firsts AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS f FROM d),
+occ AS (
+  SELECT DISTINCT firsts.r, i, n, item_id FROM firsts JOIN win ON f = ws[1] JOIN d ON firsts.r = d.r WHERE w[i:i + n - 1] = ws),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM occ)) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM occ GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_decontamination": CONTAMINATION,
     "op5_url_filter": URL_VERDICTS,
 }

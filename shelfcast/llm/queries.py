@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import pii, quality, secrets, urls
+from shelfcast.llm import decontaminate, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
+    "op3_decontamination": decontaminate.contamination,
     "op4_secret_scan": secrets.secret_digests,
     "op5_url_filter": urls.url_verdicts,
     "op7_personal_data": pii.personal_data_digests,
