@@ -37,6 +37,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+SUBSTRINGS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest([md5(array_to_string(w[i:i + 12], ' ')) for i in range(1, len(w) - 11)]) AS g
+  FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+least_id AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN least_id USING (g) WHERE m < doc_id),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
@@ -52,5 +66,6 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 2
 ORACLES: dict[str, str] = {
     "op3_decontamination": CONTAMINATION,
     "op5_url_filter": URL_VERDICTS,
+    "op6_substring_dedup": SUBSTRINGS,
     "op9_top_k_search": TOP_K,
 }

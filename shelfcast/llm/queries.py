@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, pii, quality, secrets, topk, urls
+from shelfcast.llm import decontaminate, pii, quality, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
     "op3_decontamination": decontaminate.contamination,
     "op4_secret_scan": secrets.secret_digests,
     "op5_url_filter": urls.url_verdicts,
+    "op6_substring_dedup": substrings.substring_digests,
     "op7_personal_data": pii.personal_data_digests,
     "op9_top_k_search": topk.nearest_vectors,
 }
