@@ -51,6 +51,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_r
 FROM d LEFT JOIN kept USING (r)
 """
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+         ELSE [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] END) AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS t, count(*) AS i FROM one AS a JOIN one AS b
+  ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n GROUP BY 1, 2, 3),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 80 * (t - i) UNION ALL SELECT b, a FROM common WHERE 100 * i >= 80 * (t - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)
+"""
+
 TOP_K = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
@@ -67,5 +82,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": CONTAMINATION,
     "op5_url_filter": URL_VERDICTS,
     "op6_substring_dedup": SUBSTRINGS,
+    "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_top_k_search": TOP_K,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, pii, quality, secrets, substrings, topk, urls
+from shelfcast.llm import decontaminate, near_duplicates, pii, quality, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": urls.url_verdicts,
     "op6_substring_dedup": substrings.substring_digests,
     "op7_personal_data": pii.personal_data_digests,
+    "op8_near_duplicates": near_duplicates.near_duplicate_classes,
     "op9_top_k_search": topk.nearest_vectors,
 }
