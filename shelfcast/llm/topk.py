@@ -1,7 +1,7 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
 Vectors are dealt into shards of at most ``SHARD_ROWS`` rows by a hash of their id. A shard sorts its vectors once along every
-dimension. A query walks the lists of its nonzero dimensions from the end that helps it, in steps that double; every
+dimension. A query walks the lists of its nonzero dimensions from the end that helps it, in growing steps; every
 vector met is scored in full, and the walk ends when the sum of the query's products with the values reached, which
 no unseen vector can exceed, is below the k-th score. A query meets every shard, and the best of all shards are merged.
 Queries are a stated set, sent to the shards in blocks of ``QUERY_ROWS``.
@@ -25,8 +25,10 @@ from shelfcast.llm import common
 
 K, SCALE, EVERY = 20, 64, 20
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
-#: List entries per dimension that a walk reads first.
-FIRST_DEPTH = 32
+#: List entries per dimension that a walk reads first, and the growth of each further step.
+FIRST_DEPTH, STEP = 64, 8
+#: A step that would meet each row more often than this takes all rows that are left.
+MOST_REPEATS = 8
 
 
 class SortedLists:
@@ -35,43 +37,58 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
-        # products are exact in doubles up to 2^53; beyond that they are taken in integers
+        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
         self.largest = float(np.abs(self.vectors.astype(float)).sum(axis=1).max()) if len(ids) else 0.0
-        self.floats = self.vectors.astype(np.float64)
+        # floats give exact sums below 2^24 and 2^53; beyond that products are taken in integers
+        self.narrow = self.vectors.astype(np.float32) if self.largest < 2**24 else None
+        self.wide = self.vectors.astype(np.float64) if self.narrow is None else None
 
     def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        if self.largest * float(np.abs(query).max(initial=0)) < 2**53:
-            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
-        return (self.vectors[rows] * query).sum(axis=1)
+        size = self.largest * float(np.abs(query.astype(float)).max(initial=0))
+        if self.narrow is not None and size < 2**24:
+            values, query = self.narrow, query.astype(np.float32)
+        elif size < 2**53:
+            values, query = self.narrow if self.wide is None else self.wide, query.astype(np.float64)
+        else:
+            return (self.vectors[rows] * query).sum(axis=1)
+        many = len(rows) * 4 > len(values)
+        return ((values @ query)[rows] if many else values[rows] @ query).astype(np.int64)
+
+    def bound(self, query: np.ndarray, up: np.ndarray, down: np.ndarray, depth: int) -> int:
+        """Most that a vector beyond ``depth`` in all lists can score."""
+        n = len(self.ids)
+        dims = np.concatenate([up, down])
+        ends = np.concatenate([self.rows[up, n - depth], self.rows[down, depth - 1]])
+        return sum(a * b for a, b in zip(query[dims].tolist(), self.vectors[ends, dims].tolist(), strict=True))
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, by falling score and rising id."""
-        n, dims = len(self.ids), np.flatnonzero(query)
-        seen = np.zeros(n, bool)
+        n = len(self.ids)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        unseen = self.ids != query_id
         best_rows, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        done, depth = 0, min(FIRST_DEPTH, n)
-        up = query[dims] > 0
+        depth = min(FIRST_DEPTH, n)
         while n:
-            if len(dims):
-                part = np.concatenate([self.rows[d, n - depth:n - done] if rises else self.rows[d, done:depth]
-                                       for d, rises in zip(dims, up, strict=True)])
-                fresh = np.unique(part[~seen[part]])
-            else:  # a zero query scores 0 everywhere: the smallest ids win
-                fresh, depth = np.flatnonzero(self.ids != query_id)[:k], n
-            seen[fresh] = True
-            fresh = fresh[self.ids[fresh] != query_id]
-            rows = np.concatenate([best_rows, fresh])
-            values = np.concatenate([best, self.scores(query, fresh)])
+            if not len(up) + len(down):  # a zero query scores 0 everywhere: the smallest ids win
+                fresh, depth = np.flatnonzero(unseen)[:k], n
+            elif depth == n:
+                fresh = np.flatnonzero(unseen)
+            else:
+                met = np.zeros(n, bool)
+                met[self.rows[up, n - depth:]] = True
+                met[self.rows[down, :depth]] = True
+                fresh = np.flatnonzero(met & unseen)
+            unseen[fresh] = False
+            rows, values = np.concatenate([best_rows, fresh]), np.concatenate([best, self.scores(query, fresh)])
+            if len(values) > k:
+                enough = values >= np.partition(values, len(values) - k)[len(values) - k]
+                rows, values = rows[enough], values[enough]
             keep = np.lexsort((self.ids[rows], -values))[:k]
             best_rows, best = rows[keep], values[keep]
-            if depth == n:
+            if depth == n or len(best) == k and best[-1] > self.bound(query, up, down, depth):
                 break
-            ends = self.rows[dims, np.where(up, n - depth, depth - 1)]
-            bound = int((query[dims].astype(object) * self.vectors[ends, dims].astype(object)).sum())
-            if len(best) == k and best[-1] > bound:
-                break
-            done, depth = depth, min(n, depth * 2)
+            # lists that together repeat every row many times are read to their ends
+            depth = min(n, depth * STEP) if (len(up) + len(down)) * depth * STEP < MOST_REPEATS * n else n
         return self.ids[best_rows], best
 
 
