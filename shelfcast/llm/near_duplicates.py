@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm import common
 from shelfcast.llm.common import stored
 from shelfcast.llm.components import components
-from shelfcast.llm.packed import bucket_of, by_bucket, pack, runs, spread_of, unpack
+from shelfcast.llm.packed import all_ids, bucket_of, by_bucket, pack, runs, spread_of, unpack
 from shelfcast.llm.words import NON_SPACE, Words, inside, mix, pieces, shingles, split_words
 
 HALF, HALVES = 3, 12
@@ -46,7 +46,7 @@ _MULTIPLIERS = _GENERATOR.integers(1, 2**63, 2 * HALVES * HALF, dtype=np.uint64)
 _ADDENDS = _GENERATOR.integers(1, 2**63, 2 * HALVES * HALF, dtype=np.uint64)
 
 DOC, LINK, PAIR = 0, 1, 2
-_PACKED = "bucket int, kind int, a binary, b binary, inter binary, total binary"
+_PACKED = "bucket int, kind int, ids binary, code binary, inter binary, total binary"
 FOUND = "kind int, a long, b long, inter long, total long"
 
 
@@ -122,8 +122,7 @@ class Held:
             return
         ids, hashes, sizes = (np.concatenate(x) for x in (self.ids, self.hashes, self.sizes))
         self.clear()
-        none = np.zeros(len(ids), np.int64)
-        yield self.rows(DOC, spread_of(ids, self.buckets), ids, none, sizes, none)
+        yield self.rows(DOC, spread_of(ids, self.buckets), ids, inter=sizes)
         full = np.flatnonzero(sizes > 0)
         if not len(full):
             return
@@ -150,21 +149,21 @@ class Held:
         good = linked(inter, total, self.percent)
         hub, other, inter, total = hub[good], other[good], inter[good], total[good]
         if len(hub):
-            yield self.rows(LINK, spread_of(ids[other], self.buckets), ids[hub], ids[other], inter, total)
+            yield self.rows(LINK, spread_of(ids[other], self.buckets), ids[other], code=ids[hub], inter=inter, total=total)
         settled = hub << 32 | other
         sent = ~np.isin(lead.astype(np.int64) << 32 | place, settled)
         again = np.zeros(len(sent), bool)  # rows of one id count once per key
         again[1:] = (keys[1:] == keys[:-1]) & (ids[place[1:]] == ids[place[:-1]])
         sent &= ~again
         keys, found = keys[sent], ids[place[sent]]
-        yield self.rows(PAIR, bucket_of(keys, self.buckets), keys.view(np.int64), found, np.empty(0, np.int64), np.empty(0, np.int64))
+        yield self.rows(PAIR, bucket_of(keys, self.buckets), found, code=keys)
 
-    def rows(self, kind, bucket, a, b, inter, total) -> pa.RecordBatch:
-        columns = {"a": a, "b": b} | ({"inter": inter, "total": total} if len(inter) else {})
-        batch = pack(bucket, columns)
+    def rows(self, kind: int, bucket: np.ndarray, ids: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        batch = pack(bucket, ids, columns)
         empty = pa.array([None] * batch.num_rows, pa.binary())
-        out = {"bucket": batch["bucket"], "kind": pa.array([kind] * batch.num_rows, pa.int32()), "a": batch["a"], "b": batch["b"]}
-        return pa.RecordBatch.from_pydict(out | {k: batch[k] if k in columns else empty for k in ("inter", "total")})
+        return pa.RecordBatch.from_pydict(
+            {"bucket": batch["bucket"], "kind": pa.array([kind] * batch.num_rows, pa.int32()), "ids": batch["ids"]}
+            | {k: batch[k] if k in columns else empty for k in ("code", "inter", "total")})
 
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -188,13 +187,13 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def work(rows: pa.Table) -> pa.Table:
         kinds = np.asarray(rows["kind"])
-        out = []
-        for kind in (DOC, LINK):
-            part = rows.filter(pa.array(kinds == kind))
-            values = [unpack(part[x], np.int64) for x in ("a", "b", "inter", "total")]
-            out.append([np.full(len(values[0]), kind), *values])
-        part = rows.filter(pa.array(kinds == PAIR))
-        keys, ids = unpack(part["a"], np.int64), unpack(part["b"], np.int64)
+        docs, links, entries = (rows.filter(pa.array(kinds == k)) for k in (DOC, LINK, PAIR))
+        ids = all_ids(docs["ids"])
+        none = np.zeros(len(ids), np.int64)
+        out = [[np.full(len(ids), DOC), ids, none, unpack(docs["inter"], np.int64), none]]
+        ids = all_ids(links["ids"])
+        out.append([np.full(len(ids), LINK), *(unpack(links["code"], np.int64), ids), *(unpack(links[x], np.int64) for x in ("inter", "total"))])
+        keys, ids = unpack(entries["code"], np.uint64), all_ids(entries["ids"])
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         bounds = runs(keys)

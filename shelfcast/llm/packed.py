@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from shelfcast.llm import common
@@ -19,8 +20,6 @@ from shelfcast.llm.words import mix, pieces
 
 #: Entries that a task holds before it writes them out.
 FLUSH_ENTRIES = 3_000_000
-#: How one text row is known to others: its id and a hash of its text.
-ROW_KEY = ("doc_id", "text_hash")
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -44,38 +43,77 @@ def spread_of(doc_ids: np.ndarray, buckets: int) -> np.ndarray:
     return bucket_of(doc_ids.view(np.uint64) + np.uint64(1), buckets)
 
 
-def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket; each column's values of that bucket as the bytes of an array."""
-    order = np.argsort(bucket, kind="stable")
-    first = runs(bucket[order])
-    arrays = {"bucket": pa.array(bucket[order][first[:-1]], pa.int32())}
+def pack(bucket: np.ndarray, ids: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket, its entries in the order of ``ids``.
+
+    Each column's values are the bytes of an array; the ids, which repeat and rise, are packed smaller."""
+    order = np.lexsort((ids, bucket))
+    bucket, ids = bucket[order], ids[order]
+    first = runs(bucket)
+    arrays = {"bucket": pa.array(bucket[first[:-1]], pa.int32()),
+              "ids": pa.array([pack_ids(ids[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())}
     for name, values in columns.items():
-        data = np.ascontiguousarray(values[order])
-        arrays[name] = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * data.itemsize).astype(np.int64)), pa.py_buffer(data)]
-        ).cast(pa.binary())
+        arrays[name] = binary_rows(values[order], first)
     return pa.RecordBatch.from_pydict(arrays)
 
 
+def binary_rows(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Row i holds the bytes of values[first[i]:first[i + 1]]."""
+    values = np.ascontiguousarray(values)
+    size = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first * size).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids with repeats as compressed steps and run lengths."""
+    first = runs(ids)
+    steps = np.diff(ids[first[:-1]], prepend=np.int64(0))
+    data = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), np.diff(first).astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    return zstandard.ZstdCompressor(level=1).compress(data.tobytes())
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    n = len(data) // 12
+    steps = np.ascontiguousarray(data[:8 * n].reshape(8, n).T).view(np.int64).ravel()
+    return np.repeat(np.cumsum(steps), np.ascontiguousarray(data[8 * n:].reshape(4, n).T).view("<u4").ravel())
+
+
 def unpack(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
     """All values of a packed column, rows one after another."""
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
 
 
-def lists_by_row(doc_ids: np.ndarray, text_hashes: np.ndarray, codes: np.ndarray) -> pa.Table:
-    """One row per (document row, array of codes)."""
-    order = np.lexsort((codes, text_hashes, doc_ids))
-    doc_ids, text_hashes, codes = doc_ids[order], text_hashes[order], codes[order]
-    keep = runs(doc_ids, text_hashes, codes)[:-1]
-    doc_ids, text_hashes, codes = doc_ids[keep], text_hashes[keep], np.ascontiguousarray(codes[keep])
-    first = runs(doc_ids, text_hashes)
-    at = first[:-1]
-    packed = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(at), [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(codes)]).cast(pa.binary())
-    return pa.table({"doc_id": pa.array(doc_ids[at]), "text_hash": pa.array(text_hashes[at]), "codes": packed})
+def all_ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """All ids of a packed column, rows one after another."""
+    parts = [unpack_ids(x) for x in column.to_pylist() if x]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def short(codes: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each code as six bytes, for filters in which a chance match does no harm."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def lengthened(data: np.ndarray) -> np.ndarray:
+    """Codes of ``short`` bytes as integers."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = data.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def lists_by_id(ids: np.ndarray, codes: np.ndarray, six_bytes: bool = False) -> pa.Table:
+    """One row per id with its array of distinct codes."""
+    order = np.lexsort((codes, ids))
+    ids, codes = ids[order], codes[order]
+    keep = runs(ids, codes)[:-1]
+    ids, codes = ids[keep], codes[keep]
+    first = runs(ids)
+    return pa.table({"doc_id": pa.array(ids[first[:-1]]), "codes": binary_rows(short(codes) if six_bytes else codes, first)})
 
 
-LISTS = "doc_id long, text_hash long, codes binary"
+LISTS = "doc_id long, codes binary"
 
 
 class Collector:

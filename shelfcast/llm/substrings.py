@@ -11,7 +11,7 @@ Both exchanges are packed by bucket. In each task a hash that several of its doc
 announced, so a passage in every document costs one entry per task. Nothing is collected and no pairs are formed.
 
 Null text has no words. Rows with a null id take no part: nothing is removed from them and they remove nothing. Rows with equal ids
-do not remove from each other; repeated rows stay as many rows. A text of fewer words than a window stays whole. An empty
+count as one document and do not remove from each other; repeated rows stay as many rows. A text of fewer words than a window stays whole. An empty
 table gives no rows.
 """
 
@@ -25,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import common
-from shelfcast.llm.packed import LISTS, bucket_of, by_bucket, collect_map, lists_by_row, pack, runs, spread_of, unpack
+from shelfcast.llm.packed import (
+    LISTS, all_ids, bucket_of, by_bucket, collect_map, lengthened, lists_by_id, pack, runs, short, spread_of, unpack)
 from shelfcast.llm.words import Words, inside, mix, shingles, split_words
 
 WINDOW, PERIOD, ANCHOR = 13, 7, 7
 #: Every difference modulo the period occurs between two of these.
 COVER = (0, 1, 3)
 
-_PACKED = "bucket int, codes binary, checks binary, ids binary, text_hashes binary, states binary"
-#: An entry is compared in its bucket, only announces its hash, or is settled and passes through.
+_PACKED = "bucket int, state int, ids binary, codes binary, checks binary"
+#: The entries of a row are compared in their bucket, only announce a hash, or are settled and pass through.
 COMPARED, ANNOUNCED, SETTLED = 0, 1, 2
 
 
@@ -51,11 +52,15 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at]
 
 
+#: Bits of an anchor's hash that are exchanged.
+SHORT = np.uint64((1 << 48) - 1)
+
+
 def candidate_windows(words: Words, shared: np.ndarray) -> np.ndarray:
     """Starts of the windows that hold a shared anchor."""
     at, codes = anchors(words)
     marked = np.zeros(len(words.start) + 1, np.int32)
-    marked[at[np.isin(codes, shared)] + 1] = 1
+    marked[at[np.isin(codes & SHORT, shared)] + 1] = 1
     total = np.cumsum(marked)
     allowed = inside(words.first, WINDOW)
     start = np.arange(len(allowed))
@@ -73,134 +78,137 @@ def _usable(piece: pa.RecordBatch) -> pa.RecordBatch:
     return piece.filter(pa.compute.is_valid(piece.column(0))) if piece.column(0).null_count else piece
 
 
-def _row_keys(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return piece.column(0).to_numpy(), piece.column(1).to_numpy()
-
-
 def _distinct(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """One entry per hash and document row, in the order of hash, check and id."""
-    order = np.lexsort((columns["text_hashes"], columns["ids"], columns["checks"], columns["codes"]))
+    """One entry per hash and document, in the order of hash, check and id."""
+    names = [x for x in ("codes", "checks", "ids") if x in columns]
+    order = np.lexsort([columns[x] for x in reversed(names)])
     columns = {k: v[order] for k, v in columns.items()}
-    keep = runs(columns["codes"], columns["checks"], columns["ids"], columns["text_hashes"])[:-1]
+    keep = runs(*(columns[x] for x in names))[:-1]
     return {k: v[keep] for k, v in columns.items()}
 
 
-def _rows(columns: dict[str, np.ndarray], states: np.ndarray, buckets: int, checked: bool) -> pa.RecordBatch:
-    where = np.where(states == SETTLED, spread_of(columns["ids"], buckets), bucket_of(columns["codes"], buckets))
-    checks = columns["checks"] if checked else np.empty(0, np.uint32)
-    if not checked:  # one empty array per row
-        batch = pack(where, {k: columns[k] for k in ("codes", "ids", "text_hashes")} | {"states": states})
-        empty = pa.array([b""] * batch.num_rows, pa.binary())
-        return pa.RecordBatch.from_arrays([batch["bucket"], batch["codes"], empty, batch["ids"], batch["text_hashes"], batch["states"]],
-                                          ["bucket", "codes", "checks", "ids", "text_hashes", "states"])
-    return pack(where, {"codes": columns["codes"], "checks": checks, "ids": columns["ids"],
-                        "text_hashes": columns["text_hashes"], "states": states})
+def _rows(state: int, columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the chosen entries."""
+    columns = {k: v[chosen] for k, v in columns.items()}
+    if not len(columns["ids"]):
+        return
+    where = spread_of(columns["ids"], buckets) if state == SETTLED else bucket_of(columns["codes"], buckets)
+    ids, codes = columns["ids"], columns["codes"]
+    if "checks" not in columns:
+        batch = pack(where, ids, {"codes": short(codes)})
+        checks = pa.array([None] * batch.num_rows, pa.binary())
+    else:
+        batch = pack(where, ids, {"codes": codes, "checks": columns["checks"]})
+        checks = batch["checks"]
+    yield pa.RecordBatch.from_arrays([batch["bucket"], pa.array([state] * batch.num_rows, pa.int32()), batch["ids"], batch["codes"], checks],
+                                     ["bucket", "state", "ids", "codes", "checks"])
 
 
-def _read(rows: pa.Table, checked: bool) -> dict[str, np.ndarray]:
-    out = {"codes": unpack(rows["codes"], np.uint64), "ids": unpack(rows["ids"], np.int64),
-           "text_hashes": unpack(rows["text_hashes"], np.int64), "states": unpack(rows["states"], np.int8)}
-    out["checks"] = unpack(rows["checks"], np.uint32) if checked else np.zeros(len(out["codes"]), np.uint32)
-    return out
+def _read(rows: pa.Table, *states: int) -> pa.Table:
+    return rows.filter(pa.compute.is_in(rows["state"], value_set=pa.array(states, pa.int32())))
 
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per document row the anchors that another document has too."""
+    """Per document the anchors that another document has too.
+
+    Anchors travel as 48 bits: a chance match only adds a candidate window."""
     def entries(piece: pa.RecordBatch) -> dict[str, np.ndarray]:
         piece = _usable(piece)
-        words = split_words(piece.column(2))
+        words = split_words(piece.column(1))
         at, codes = anchors(words)
-        row = words.text_of_word()[at]
-        ids, hashes = _row_keys(piece)
-        return {"codes": codes, "checks": np.zeros(len(codes), np.uint32), "ids": ids[row], "text_hashes": hashes[row]}
+        return {"codes": codes & SHORT, "ids": piece.column(0).to_numpy()[words.text_of_word()[at]]}
 
     def flush(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         columns = _distinct(columns)
         first = runs(columns["codes"])
-        many = np.repeat(np.diff(first) > 1, np.diff(first))
-        yield _rows({k: v[~many] for k, v in columns.items()}, np.full((~many).sum(), COMPARED, np.int8), buckets, False)
-        if many.any():
-            yield _rows({k: v[many] for k, v in columns.items()}, np.full(many.sum(), SETTLED, np.int8), buckets, False)
-            lead = first[:-1][np.diff(first) > 1]
-            yield _rows({k: v[lead] for k, v in columns.items()}, np.full(len(lead), ANNOUNCED, np.int8), buckets, False)
+        many = np.diff(first) > 1
+        inside_many = np.repeat(many, np.diff(first))
+        yield from _rows(COMPARED, columns, np.flatnonzero(~inside_many), buckets)
+        yield from _rows(SETTLED, columns, np.flatnonzero(inside_many), buckets)
+        yield from _rows(ANNOUNCED, columns, first[:-1][many], buckets)
 
     def work(rows: pa.Table) -> pa.Table:
-        columns = _read(rows, False)
-        order = np.argsort(columns["codes"], kind="stable")
-        codes, states = columns["codes"][order], columns["states"][order]
-        compared = states != SETTLED
-        place, codes, states = order[compared], codes[compared], states[compared]
-        first = runs(codes)
-        size = np.diff(first)
-        told = np.add.reduceat(states == ANNOUNCED, first[:-1]) > 0 if len(size) else np.empty(0, bool)
-        keep = np.repeat((size > 1) | told, size) & (states == COMPARED)
-        chosen = np.concatenate([place[keep], np.flatnonzero(columns["states"] == SETTLED)])
-        return lists_by_row(columns["ids"][chosen], columns["text_hashes"][chosen], columns["codes"][chosen])
+        settled, compared, announced = (_read(rows, x) for x in (SETTLED, COMPARED, ANNOUNCED))
+        codes, told = (lengthened(unpack(x["codes"], np.uint8)) for x in (compared, announced))
+        ids = all_ids(compared["ids"])
+        order = np.argsort(codes, kind="stable")
+        first = runs(codes[order])
+        shared = np.zeros(len(codes), bool)
+        shared[order] = np.repeat(np.diff(first) > 1, np.diff(first))
+        shared |= np.isin(codes, told)
+        return lists_by_id(np.concatenate([ids[shared], all_ids(settled["ids"])]),
+                           np.concatenate([codes[shared], lengthened(unpack(settled["codes"], np.uint8))]), True)
 
     return by_bucket(collect_map(docs, entries, flush, _PACKED), work, LISTS)
 
 
 def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per document row the hashes of windows that a document with a smaller id has too.
+    """Per document the hashes of windows that a document with a smaller id has too.
 
-    ``docs`` carries in ``lists`` the shared anchors of each row."""
+    ``docs`` carries in ``lists`` the shared anchors of each document."""
     def entries(piece: pa.RecordBatch) -> dict[str, np.ndarray]:
-        words = split_words(piece.column(2))
-        start = candidate_windows(words, np.unique(_flat(piece.column(3))[0]))
+        words = split_words(piece.column(1))
+        start = candidate_windows(words, np.unique(lengthened(_flat(piece.column(2), 1)[0])))
         codes, checks = window_codes(words, start)
-        row = words.text_of_word()[start]
-        ids, hashes = _row_keys(piece)
-        return {"codes": codes, "checks": (checks & np.uint64(0xFFFFFFFF)).astype(np.uint32), "ids": ids[row], "text_hashes": hashes[row]}
+        return {"codes": codes, "checks": (checks & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+                "ids": piece.column(0).to_numpy()[words.text_of_word()[start]]}
 
-    def settle(columns: dict[str, np.ndarray]) -> np.ndarray:
+    def later(columns: dict[str, np.ndarray]) -> np.ndarray:
         """Entries that are not of the smallest id of their window."""
         first = runs(columns["codes"], columns["checks"])
         return columns["ids"] > np.repeat(columns["ids"][first[:-1]], np.diff(first))
 
     def flush(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         columns = _distinct(columns)
-        later = settle(columns)
-        yield _rows({k: v[~later] for k, v in columns.items()}, np.full((~later).sum(), COMPARED, np.int8), buckets, True)
-        if later.any():
-            yield _rows({k: v[later] for k, v in columns.items()}, np.full(later.sum(), SETTLED, np.int8), buckets, True)
+        gone = later(columns)
+        yield from _rows(COMPARED, columns, np.flatnonzero(~gone), buckets)
+        del columns["checks"]  # a settled window is only told to its own document
+        yield from _settled(columns, np.flatnonzero(gone), buckets)
 
     def work(rows: pa.Table) -> pa.Table:
-        columns = _read(rows, True)
-        settled = columns["states"] == SETTLED
-        passed = {k: v[settled] for k, v in columns.items()}
-        compared = {k: v[~settled] for k, v in columns.items() if k != "states"}
-        order = np.lexsort((compared["ids"], compared["checks"], compared["codes"]))
-        compared = {k: v[order] for k, v in compared.items()}
-        later = settle(compared)
-        return lists_by_row(*(np.concatenate([compared[k][later], passed[k]]) for k in ("ids", "text_hashes", "codes")))
+        settled, compared = _read(rows, SETTLED), _read(rows, COMPARED)
+        columns = _distinct({"codes": unpack(compared["codes"], np.uint64), "checks": unpack(compared["checks"], np.uint32),
+                             "ids": all_ids(compared["ids"])})
+        gone = later(columns)
+        return lists_by_id(np.concatenate([columns["ids"][gone], all_ids(settled["ids"])]),
+                           np.concatenate([columns["codes"][gone], unpack(settled["codes"], np.uint64)]))
 
     return by_bucket(collect_map(docs, entries, flush, _PACKED), work, LISTS)
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all rows, and the row each belongs to. A row holds a list of packed arrays."""
+def _settled(columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows with whole codes that pass through a bucket."""
+    ids, codes = columns["ids"][chosen], columns["codes"][chosen]
+    if len(ids):
+        batch = pack(spread_of(ids, buckets), ids, {"codes": codes})
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch["bucket"], pa.array([SETTLED] * n, pa.int32()), batch["ids"], batch["codes"],
+                                          pa.array([None] * n, pa.binary())], ["bucket", "state", "ids", "codes", "checks"])
+
+
+def _flat(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all rows, and the row each belongs to. A row holds a list of packed arrays."""
     parts = lists.to_pylist()
-    sizes = [sum(map(len, x or ())) // 8 for x in parts]
-    return np.frombuffer(b"".join(c for x in parts for c in x or ()), np.uint64), np.repeat(np.arange(len(parts)), sizes)
+    sizes = [sum(map(len, x or ())) // width for x in parts]
+    data = b"".join(c for x in parts for c in x or ())
+    return np.frombuffer(data, np.uint8 if width == 1 else np.uint64), np.repeat(np.arange(len(parts)), sizes)
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Each document row with the code arrays found for it."""
-    gathered = lists.groupBy("doc_id", "text_hash").agg(F.collect_list("codes").alias("lists"))
-    return docs.join(gathered, ["doc_id", "text_hash"], how)
+    return docs.join(lists.groupBy("doc_id").agg(F.collect_list("codes").alias("lists")), "doc_id", how)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, removed (word spans, end exclusive) and kept (words joined by a space) of every row."""
     docs = common.documents(docs, id_col, text_col)
     buckets = common.bucket_count(docs)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     shared = with_lists(docs, shared_anchors(docs, buckets), "inner")
     marked = with_lists(docs, repeated_windows(shared, buckets), "left")
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(piece.column(2))
-        codes, row = _flat(piece.column(3))
+        words = split_words(piece.column(1))
+        codes, row = _flat(piece.column(2), 8)
         gone = np.zeros(len(words.start), bool)
         if len(codes):
             gone = covered(words, codes, row)
