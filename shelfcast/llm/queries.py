@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import decontaminate, near_duplicates, pii, quality, secrets, substrings, topk, urls
+from shelfcast.llm import chat, decontaminate, near_duplicates, pii, quality, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
+    "op2_chat_format": chat.conversation_digests,
     "op3_decontamination": decontaminate.contamination,
     "op4_secret_scan": secrets.secret_digests,
     "op5_url_filter": urls.url_verdicts,
