@@ -9,10 +9,11 @@ Keys are grouped twice. In a task, a document that is linked to the smallest one
 sets) is not sent on under that key, so a group of copies of any size leaves each task as one entry per key. In the key's
 bucket every entry is paired with the smallest. Pairs are confirmed on the full sets of both texts.
 
-Pairs within a key that were not compared are found from what is known. Jaccard distance is a metric, so two documents
-beside a common hub can only be linked if their distances from it differ by no more than the limit, plus the radius of
-the copies that each stands for. Only such pairs in different components are compared, then the copies behind them.
-So no link found by a key is lost, and no group is expanded into all its pairs.
+Pairs within a key that were not compared matter only where a hub stands between several components. There a few pivots are
+first compared with the documents of other components beside the hub, in steps, as far as the triangle inequality of the
+Jaccard distance allows a link; this joins dense families. Of what is left (documents beside such hubs, and the copies
+behind them) those pairs of different components are confirmed that share a shingle of both prefixes, rarest shingles
+first, which no linked pair can fail. So no link that a key found is lost, and no group is expanded into all its pairs.
 
 Null and empty texts have an empty set and are linked with nothing. Rows with a null id are linked with nothing and are kept
 (their component is null). Rows that share an id are one document: a link of any of its texts is its link. Repeated rows
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import common
@@ -38,9 +39,15 @@ from shelfcast.llm.words import NON_SPACE, Words, inside, mix, pieces, shingles,
 HALF, HALVES = 3, 12
 #: Documents and shingles that a task holds before it writes its keys out.
 FLUSH_DOCS, FLUSH_SHINGLES = 12_000, 8_000_000
+#: Documents beside a hub that all others beside it are compared with in a step, and the steps.
+PIVOTS, PIVOT_STEPS = 4, 2
 #: Share of equal minhashes below which a pair is not tried inside a task (it is still tried across tasks).
 LIKELY = 0.5
 
+#: Classes of shingles whose frequency is counted for the exact join of the rest.
+RARITY_BITS = 20
+_RARITY_MASK = np.uint64((1 << RARITY_BITS) - 1)
+
 _GENERATOR = np.random.default_rng(20240229)
 _MULTIPLIERS = _GENERATOR.integers(1, 2**63, 2 * HALVES * HALF, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _GENERATOR.integers(1, 2**63, 2 * HALVES * HALF, dtype=np.uint64)
@@ -210,22 +217,22 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return by_bucket(docs.where("doc_id IS NOT NULL").mapInArrow(run, _PACKED), work, FOUND)
 
 
-def payloads(docs: DataFrame) -> DataFrame:
-    """(id, compressed text) of every document with an id."""
+def payloads(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, compressed text) of the documents that any key brought together with another."""
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
         packed = [press.compress((x or "").encode()) for x in piece.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(packed, pa.binary())], ["id", "payload"])
 
-    return common.map_batches(docs.where("doc_id IS NOT NULL"), work, "id long, payload binary", "text")
+    pairs = found.where(F.col("kind") != DOC)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    packed = common.map_batches(docs.where("doc_id IS NOT NULL"), work, "id long, payload binary", "text")
+    return packed.join(ids, "id", "left_semi")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Pairs (a, b) with the size of the intersection and the sum of both sizes, from whole texts."""
     pairs = pairs.select("a", "b").distinct()
-    texts = payloads(docs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(ids, "id", "left_semi")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "payload": "first"}), "a").join(
         texts.withColumnsRenamed({"id": "b", "payload": "second"}), "b").select("a", "b", "first", "second")
 
@@ -252,49 +259,127 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, inter long, total long")
 
 
-def distance():
+def distance() -> Column:
     """Jaccard distance of a confirmed pair."""
     return 1 - F.col("inter") / (F.col("total") - F.col("inter"))
 
 
-def is_linked(percent: int):
+def is_linked(percent: int) -> Column:
     return 100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))
 
 
-def missing_pairs(star: DataFrame, radius: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
-    """Pairs beside a common hub, in different components, that may be linked or stand for linked copies."""
-    def with_label(df: DataFrame, column: str, label: str) -> DataFrame:
-        named = labels.select(F.col("id").alias(column), F.col("component").alias(label))
-        return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
+def beside_hubs(star: DataFrame, radius: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents beside each hub, the hub included: distance, component and the radius of their copies.
 
-    beside = with_label(star.select(F.col("a").alias("hub"), F.col("b").alias("x"), distance().alias("d")), "x", "label")
-    beside = beside.join(radius.select(F.col("a").alias("x"), "r"), "x", "left").fillna(0.0, ["r"])
-    apart = with_label(beside, "hub", "hub_label").where("label <> hub_label").select(
-        "hub", F.col("x").alias("y"), F.col("d").alias("e"), F.col("label").alias("other"), F.col("r").alias("q"))
+    Only hubs that stand between several components are left."""
+    named = labels.select(F.col("id").alias("x"), "component")
+    rows = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), distance().alias("d"))
+    rows = rows.unionByName(rows.select("hub", F.col("hub").alias("x"), F.lit(0.0).alias("d")).distinct())
+    rows = rows.join(named, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
+    open_hubs = rows.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("hub")
+    rows = rows.join(open_hubs, "hub", "left_semi")
+    return rows.join(radius.select(F.col("a").alias("x"), "r"), "x", "left").fillna(0.0, ["r"])
+
+
+def near_pairs(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
+    """Pairs beside a common hub, in different components, that the distances allow to be linked, or to stand for linked copies."""
+    right = right.withColumnsRenamed({"x": "y", "d": "e", "label": "other", "r": "q"})
     near = F.abs(F.col("d") - F.col("e")) <= limit + F.col("r") + F.col("q") + 1e-9
-    pairs = apart.join(beside, "hub").where((F.col("label") != F.col("other")) & near & (F.col("x") != F.col("y")))
+    pairs = left.join(right, "hub").where((F.col("label") != F.col("other")) & near & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def hidden_pairs(far: DataFrame, local: DataFrame, radius: DataFrame, labels: DataFrame, limit: float) -> DataFrame:
-    """Copies behind two documents that are not linked themselves, as far as the distances allow a link."""
-    bounds = radius.select(F.col("a").alias("id"), "r")
-    named = labels.select("id", "component")
-    far = far.withColumn("d", distance())
-    for side in ("a", "b"):
-        far = far.join(bounds.withColumnsRenamed({"id": side, "r": f"r_{side}"}), side, "left").join(
-            named.withColumnsRenamed({"id": side, "component": f"label_{side}"}), side, "left").withColumn(
-            f"label_{side}", F.coalesce(f"label_{side}", side))
-    far = far.fillna(0.0, ["r_a", "r_b"]).where(
-        "label_a <> label_b AND (r_a > 0 OR r_b > 0)").where(F.col("d") <= limit + F.col("r_a") + F.col("r_b") + 1e-9)
-    copies = local.select(F.col("a").alias("of"), F.col("b").alias("copy"), distance().alias("away"))
-    ends = far.select("a").unionByName(far.select(F.col("b").alias("a"))).distinct()
-    copies = copies.unionByName(ends.select(F.col("a").alias("of"), F.col("a").alias("copy"), F.lit(0.0).alias("away")))
-    left = copies.withColumnsRenamed({"of": "a", "copy": "x", "away": "d_x"})
-    right = copies.withColumnsRenamed({"of": "b", "copy": "y", "away": "d_y"})
-    pairs = far.select("a", "b", "d").join(left, "a").join(right, "b").where(
-        (F.col("d_x") + F.col("d_y") + limit + 1e-9 >= F.col("d")) & (F.col("x") != F.col("y")) & (F.col("d_x") + F.col("d_y") > 0))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def pivots(beside: DataFrame, step: int) -> DataFrame:
+    """A few documents beside each hub, other ones in each step."""
+    row = [F.min(F.struct(F.xxhash64("x", F.lit(step * PIVOTS + i)).alias("h"), "x", "d", "label", "r")).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = beside.where("x <> hub").groupBy("hub").agg(*row)
+    return chosen.select("hub", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p")).select(
+        "hub", "p.x", "p.d", "p.label", "p.r").distinct()
+
+
+def unsettled(beside: DataFrame, local: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of the documents beside hubs that stand between components, and of the copies behind them."""
+    ids = beside.select(F.col("x").alias("id")).distinct()
+    copies = local.select(F.col("a").alias("id"), "b").join(ids, "id").select(F.col("b").alias("id"))
+    named = labels.select("id", F.col("component").alias("label"))
+    return ids.unionByName(copies).distinct().join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _sets_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    expand = zstandard.ZstdDecompressor()
+    texts = pa.array([expand.decompress(x) for x in batch["payload"].to_pylist()], pa.binary()).cast(pa.string())
+    return shingle_sets(split_words(texts, NON_SPACE, lower=True), size)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
+def rarity(rows: DataFrame, size: int) -> np.ndarray:
+    """How many documents have a shingle of each hash class: a table of fixed size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in _slices(batches):
+            total += np.bincount((_sets_of(batch, size)[0] & _RARITY_MASK).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
+
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    found = rows.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    table[found["class"]] = found["n"]
+    return table
+
+
+def remaining_pairs(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """Pairs of different components that share a shingle of both prefixes: an exact join of what the keys left open.
+
+    With shingles in one order, rarest first, what stands before the first shared one is missing in the other set, so in a
+    linked pair it has at most n - o shingles before it, with o the overlap that both sizes ask for. ``rows`` has id, label and payload."""
+    shared = rows.sparkSession.sparkContext.broadcast(rarity(rows, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ids, labels, sizes, places = [], [], [], [], []
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                hashes, first = _sets_of(part, size)
+                n = np.diff(first)
+                order = np.lexsort((hashes, shared.value[(hashes & _RARITY_MASK).astype(np.int64)], np.repeat(np.arange(len(n)), n)))
+                place = np.arange(len(hashes)) - np.repeat(first[:-1], n)
+                kept = place <= np.repeat(n - (percent * n + 99) // 100, n)
+                places.append(place[kept].astype(np.int32))
+                row = np.repeat(np.arange(len(n)), n)[kept]
+                codes.append(hashes[order][kept])
+                ids.append(part["id"].to_numpy()[row])
+                labels.append(part["label"].to_numpy()[row])
+                sizes.append(n[row])
+            if codes and sum(map(len, codes)):
+                code, id_, label, n, place = (np.concatenate(x) for x in (codes, ids, labels, sizes, places))
+                yield pack(bucket_of(code, buckets), id_, {"code": code, "label": label, "n": n.astype(np.int32), "place": place})
+
+    def work(table: pa.Table) -> pa.Table:
+        code, ids = unpack(table["code"], np.uint64), all_ids(table["ids"])
+        label, n, place = unpack(table["label"], np.int64), unpack(table["n"], np.int32), unpack(table["place"], np.int32)
+        order = np.lexsort((n, code))
+        code, ids, label, n, place = code[order], ids[order], label[order], n[order].astype(np.int64), place[order]
+        bounds, found = runs(code), [np.empty((0, 2), np.int64)]
+        several = np.minimum.reduceat(label, bounds[:-1]) != np.maximum.reduceat(label, bounds[:-1]) if len(code) else []
+        for i in np.flatnonzero(several):
+            a, b = bounds[i], bounds[i + 1]
+            for k in range(a, b):  # sizes rise, so partners end where they are too large
+                to = a + np.searchsorted(n[a:b], 100 * int(n[k]) // percent, side="right")
+                least = (percent * (n[k + 1:to] + n[k]) + 99 + percent) // (100 + percent)  # shared shingles of a linked pair
+                fits = (label[k + 1:to] != label[k]) & (place[k] <= n[k] - least) & (place[k + 1:to] <= n[k + 1:to] - least)
+                other = ids[k + 1:to][fits]
+                if len(other):
+                    found.append(np.column_stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])]))
+            if sum(map(len, found)) > 4_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return by_bucket(rows.mapInArrow(run, "bucket int, ids binary, code binary, label binary, n binary, place binary"), work, "a long, b long")
 
 
 def find_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -304,17 +389,28 @@ def find_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     ``size`` words make a shingle; documents with a Jaccard similarity of ``percent`` hundredths or more are linked."""
     docs = common.documents(docs, id_col, text_col)
     found = stored(candidates(docs, size, percent), "candidates")
+    texts = stored(payloads(docs, found), "payloads")
     local = found.where(F.col("kind") == LINK).drop("kind").distinct()
-    star = stored(confirm(found.where(F.col("kind") == PAIR), docs, size), "confirmed")
-    links = local.unionByName(star.where(is_linked(percent)))
-    labels = components(links.select("a", "b"))
-    limit = 1 - percent / 100
+    star = stored(confirm(found.where(F.col("kind") == PAIR), texts, size), "confirmed")
+    labels = components(local.unionByName(star.where(is_linked(percent))).select("a", "b"))
+    limit, radius = 1 - percent / 100, local.groupBy("a").agg(F.max(distance()).alias("r"))
+
+    def compare(pairs: DataFrame) -> bool:
+        """Confirm pairs and join the components of those linked; false if there were none."""
+        nonlocal labels
+        new = stored(confirm(pairs, texts, size), "confirmed")
+        linked = new.where(is_linked(percent)).select("a", "b")
+        if linked.limit(1).count():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
+        return bool(new.limit(1).count())
+
     if star.where(~is_linked(percent)).limit(1).count():
-        radius = local.groupBy("a").agg(F.max(distance()).alias("r"))
-        more = stored(confirm(missing_pairs(star, radius, labels, limit), docs, size), "confirmed")
-        far = star.unionByName(more).where(~is_linked(percent))
-        more = more.unionByName(stored(confirm(hidden_pairs(far, local, radius, labels, limit), docs, size), "confirmed"))
-        labels = components(links.unionByName(more.where(is_linked(percent))).select("a", "b"))
+        for step in range(PIVOT_STEPS):
+            beside = stored(beside_hubs(star, radius, labels), "beside")
+            if not compare(near_pairs(pivots(beside, step), beside, limit)):
+                break
+        rest = unsettled(beside_hubs(star, radius, labels), local, labels).join(texts, "id")
+        compare(remaining_pairs(stored(rest, "rest"), size, percent, common.bucket_count(docs)))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("inter").alias("n_shingles"))
     rows = rows.join(labels.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -322,7 +418,7 @@ def find_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     return rows.unionByName(loose).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def set_size(text, size: int):
+def set_size(text: Column, size: int) -> Column:
     """Distinct shingles of a text, for rows that are not compared."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
