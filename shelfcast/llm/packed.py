@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.words import mix, pieces
@@ -103,17 +104,28 @@ def lengthened(data: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def lists_by_id(ids: np.ndarray, codes: np.ndarray, six_bytes: bool = False) -> pa.Table:
-    """One row per id with its array of distinct codes."""
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """Group of a document by its id; ``group_column`` says the same in Spark."""
+    return ((ids ^ (ids >> 11) ^ (ids >> 23)) % groups).astype(np.int32)
+
+
+def group_column(doc_id: str, text: str, groups: int) -> Column:
+    """Group of a document row by its id, or by its text where the id is null."""
+    key = F.coalesce(F.col(doc_id), F.xxhash64(text))
+    return F.pmod(key.bitwiseXOR(F.shiftright(key, 11)).bitwiseXOR(F.shiftright(key, 23)), F.lit(groups)).cast("int")
+
+
+def lists_by_group(ids: np.ndarray, codes: np.ndarray, groups: int, six_bytes: bool = False) -> pa.Table:
+    """One row per group of documents with the distinct (id, code) entries of its documents."""
     order = np.lexsort((codes, ids))
     ids, codes = ids[order], codes[order]
     keep = runs(ids, codes)[:-1]
     ids, codes = ids[keep], codes[keep]
-    first = runs(ids)
-    return pa.table({"doc_id": pa.array(ids[first[:-1]]), "codes": binary_rows(short(codes) if six_bytes else codes, first)})
+    batch = pack(group_of(ids, groups), ids, {"codes": short(codes) if six_bytes else codes})
+    return pa.Table.from_batches([batch]).rename_columns(["group", "ids", "codes"])
 
 
-LISTS = "doc_id long, codes binary"
+LISTS = "group int, ids binary, codes binary"
 
 
 class Collector:
@@ -159,4 +171,12 @@ def by_bucket(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str)
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
+def by_group(docs: DataFrame, lists: DataFrame, work: Callable[[pa.RecordBatch, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the documents of one group and the packed lists of these documents."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return work(left, right)
+
+    return docs.groupBy("group").cogroup(lists.groupBy("group")).applyInArrow(run, schema)
+
+
 bucket_count = common.bucket_count

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.packed import (
-    LISTS, all_ids, bucket_of, by_bucket, collect_map, lengthened, lists_by_id, pack, runs, short, spread_of, unpack)
-from shelfcast.llm.words import Words, inside, mix, shingles, split_words
+    LISTS, Collector, all_ids, bucket_of, by_bucket, by_group, collect_map, group_column, lengthened, lists_by_group, pack, runs, short,
+    spread_of, unpack)
+from shelfcast.llm.words import Words, inside, mix, pieces, shingles, split_words
 
 WINDOW, PERIOD, ANCHOR = 13, 7, 7
 #: Every difference modulo the period occurs between two of these.
@@ -136,23 +137,31 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         shared = np.zeros(len(codes), bool)
         shared[order] = np.repeat(np.diff(first) > 1, np.diff(first))
         shared |= np.isin(codes, told)
-        return lists_by_id(np.concatenate([ids[shared], all_ids(settled["ids"])]),
-                           np.concatenate([codes[shared], lengthened(unpack(settled["codes"], np.uint8))]), True)
+        return lists_by_group(np.concatenate([ids[shared], all_ids(settled["ids"])]),
+                              np.concatenate([codes[shared], lengthened(unpack(settled["codes"], np.uint8))]), buckets, True)
 
     return by_bucket(collect_map(docs, entries, flush, _PACKED), work, LISTS)
 
 
-def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per document the hashes of windows that a document with a smaller id has too.
-
-    ``docs`` carries in ``lists`` the shared anchors of each document."""
-    def entries(piece: pa.RecordBatch) -> dict[str, np.ndarray]:
+def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """Per document the hashes of windows that a document with a smaller id has too."""
+    def entries(piece: pa.RecordBatch, anchors_of_group: np.ndarray) -> dict[str, np.ndarray]:
         words = split_words(piece.column(1))
-        start = candidate_windows(words, np.unique(lengthened(_flat(piece.column(2), 1)[0])))
+        start = candidate_windows(words, anchors_of_group)
         codes, checks = window_codes(words, start)
         return {"codes": codes, "checks": (checks & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                 "ids": piece.column(0).to_numpy()[words.text_of_word()[start]]}
 
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = np.unique(lengthened(unpack(right["codes"], np.uint8)))
+        held, out = Collector(flush), []
+        if len(wanted):
+            for batch in left.select(["doc_id", "text"]).to_batches():
+                for piece in pieces(_usable(batch), "text"):
+                    out += held.add(**entries(piece, wanted))
+            out += held.done()
+        return pa.Table.from_batches(out, _PACKED_ARROW)
+
     def later(columns: dict[str, np.ndarray]) -> np.ndarray:
         """Entries that are not of the smallest id of their window."""
         first = runs(columns["codes"], columns["checks"])
@@ -170,10 +179,10 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
         columns = _distinct({"codes": unpack(compared["codes"], np.uint64), "checks": unpack(compared["checks"], np.uint32),
                              "ids": all_ids(compared["ids"])})
         gone = later(columns)
-        return lists_by_id(np.concatenate([columns["ids"][gone], all_ids(settled["ids"])]),
-                           np.concatenate([columns["codes"][gone], unpack(settled["codes"], np.uint64)]))
+        return lists_by_group(np.concatenate([columns["ids"][gone], all_ids(settled["ids"])]),
+                              np.concatenate([columns["codes"][gone], unpack(settled["codes"], np.uint64)]), buckets)
 
-    return by_bucket(collect_map(docs, entries, flush, _PACKED), work, LISTS)
+    return by_bucket(by_group(docs, shared, find, _PACKED), work, LISTS)
 
 
 def _settled(columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -186,41 +195,49 @@ def _settled(columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -
                                           pa.array([None] * n, pa.binary())], ["bucket", "state", "ids", "codes", "checks"])
 
 
-def _flat(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of all rows, and the row each belongs to. A row holds a list of packed arrays."""
-    parts = lists.to_pylist()
-    sizes = [sum(map(len, x or ())) // width for x in parts]
-    data = b"".join(c for x in parts for c in x or ())
-    return np.frombuffer(data, np.uint8 if width == 1 else np.uint64), np.repeat(np.arange(len(parts)), sizes)
-
-
-def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Each document row with the code arrays found for it."""
-    return docs.join(lists.groupBy("doc_id").agg(F.collect_list("codes").alias("lists")), "doc_id", how)
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, removed (word spans, end exclusive) and kept (words joined by a space) of every row."""
     docs = common.documents(docs, id_col, text_col)
     buckets = common.bucket_count(docs)
-    shared = with_lists(docs, shared_anchors(docs, buckets), "inner")
-    marked = with_lists(docs, repeated_windows(shared, buckets), "left")
+    grouped = docs.withColumn("group", group_column("doc_id", "text", buckets))
+    repeated = repeated_windows(grouped, shared_anchors(docs, buckets), buckets)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, codes = all_ids(right["ids"]), unpack(right["codes"], np.uint64)
+        order = np.argsort(ids, kind="stable")
+        ids, codes = ids[order], codes[order]
+        out = []
+        for batch in left.select(["doc_id", "text"]).to_batches():
+            for piece in pieces(batch, "text"):
+                words = split_words(piece.column(1))
+                gone = covered(words, *lists_of(piece.column(0), ids, codes))
+                out.append(pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(words.counts().astype(np.int64)), word_spans(words, gone), joined(words, ~gone)],
+                    ["doc_id", "n_words", "removed", "kept"]))
+        return pa.Table.from_batches(out, _RESULT) if out else _RESULT.empty_table()
+
+    return by_group(grouped, repeated, work, "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string")
+
+
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("state", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("checks", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
+                     ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words = split_words(piece.column(1))
-        codes, row = _flat(piece.column(2), 8)
-        gone = np.zeros(len(words.start), bool)
-        if len(codes):
-            gone = covered(words, codes, row)
-        return pa.RecordBatch.from_arrays(
-            [piece.column(0), pa.array(words.counts().astype(np.int64)), word_spans(words, gone), joined(words, ~gone)],
-            ["doc_id", "n_words", "removed", "kept"])
 
-    return common.map_batches(marked, work, "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string", "text")
+def lists_of(doc_ids: pa.Array, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of each row's document from entries sorted by id, and the row each belongs to."""
+    valid = np.asarray(doc_ids.is_valid())
+    wanted = np.asarray(doc_ids.fill_null(0))
+    first, last = np.searchsorted(ids, wanted, "left"), np.searchsorted(ids, wanted, "right")
+    n = np.where(valid, last - first, 0)
+    at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return codes[at], np.repeat(np.arange(len(n)), n)
 
 
 def covered(words: Words, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Words that a window of their own text's list covers."""
+    if not len(codes):
+        return np.zeros(len(words.start), bool)
     salt = np.uint64(0x9E3779B97F4A7C15)
     windows = shingles(words.hashes(0), WINDOW)
     text = words.text_of_word()[:len(windows)].astype(np.uint64)
