@@ -30,7 +30,7 @@ WINDOW, SHINGLE = 13, 3
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
 
-SCHEMA = ("doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>, digest binary")
+SCHEMA = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, digest binary"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -203,7 +203,7 @@ def matches(docs: DataFrame, windows: Windows) -> DataFrame:
              pa.array(digest, pa.binary()) if isinstance(digest, list) else digest],
             ["doc_id", "n_words", "spans", "items", "digest"])
 
-    return common.map_batches(docs, work, SCHEMA, "text")
+    return common.map_batches(docs, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}", "text")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
@@ -256,6 +256,15 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without contaminated texts; all columns stay. Whether a row goes depends on its text alone."""
+    digest = F.md5(F.col(f"`{text_col}`"))
+    texts = docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    found = find_contamination(texts, items, id_col="digest").withColumn("n_hit", hit_words())
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad_digest")).distinct()
+    return docs.join(bad, digest == F.col("bad_digest"), "left_anti")
+
+
 def contamination(spark, folder: str) -> DataFrame:
     """Query op3: hits of the benchmark's windows in every document."""
     found = find_contamination(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from shelfcast.llm import common
 from shelfcast.llm.common import stored
@@ -39,6 +40,8 @@ TARGETS = {(1, 0): 0.90, (1, 1): 0.02, (0, 0): 0.07, (0, 1): 0.01}
 BUDGET = 1.0
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16_384
 FEATURES, HASH_BITS = 768, 20
+#: Columns that mixing adds.
+ADDED = ["n_tokens", "posterior", "rate", "copies"]
 RIDGE, MOST_STEPS, TOLERANCE = 1e-3, 40, 1e-5
 _SYMBOLS = NON_SPACE & ~LETTERS_DIGITS & ~((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A))
 _WIDTH = np.uint64((1 << HASH_BITS) - 1)
@@ -151,16 +154,17 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[tuple[int, int]]) ->
     return fit(*domain_sample(docs, labels, domains), domains)
 
 
-def memberships(docs: DataFrame, model: DomainClassifier) -> DataFrame:
-    """doc_id, n_tokens and posterior (one share per domain) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed table of features
+def memberships(docs: DataFrame, model: DomainClassifier, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens and posterior (one share per domain)."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # a fixed table of features
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, tokens = shared.value.posteriors(batch.column(1))
+        p, tokens = shared.value.posteriors(batch.column(place))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens.astype(np.int64)), lists], ["doc_id", "n_tokens", "posterior"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens.astype(np.int64)), lists], [*batch.schema.names, *ADDED[:2]])
 
-    return common.map_batches(docs, work, "doc_id long, n_tokens long, posterior array<double>", "text")
+    schema = StructType(docs.schema.fields + [StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))])
+    return common.map_batches(docs, work, schema, text_col)
 
 
 def posterior_matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
@@ -213,23 +217,31 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, ridge: float = RIDGE, most:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, budget: float = BUDGET,
-        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posterior, rate (expected copies) and copies (rate rounded by a hash of the id) of every row."""
+        id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens, posterior, rate (expected copies) and copies (rate rounded by a hash of the id) of every row.
+
+    With ``carry`` all columns of ``docs`` come along; those named like the new ones give way."""
     targets = targets or TARGETS
     domains = sorted(targets)
     wanted = np.array([targets[d] for d in domains], float)
-    docs = common.documents(docs, id_col, text_col)
-    rows = stored(memberships(docs, train(docs, labels, domains)), "memberships")
+    model = train(common.documents(docs, id_col, text_col), labels, domains)
+    if carry:
+        rows = memberships(docs.drop(*(x for x in ADDED if x not in (id_col, text_col))), model, text_col)
+    else:  # texts are read, but not kept
+        rows = memberships(common.documents(docs, id_col, text_col), model).drop("text")
+        id_col = "doc_id"
+    rows = stored(rows, "memberships")
     residuals = fit_rates(rows, wanted / wanted.sum())
+    place = rows.columns.index("posterior")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rate = budget * replay(posterior_matrix(batch, len(domains)), residuals, RIDGE)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+                p = batch.column(place).flatten().to_numpy().reshape(-1, len(domains))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(budget * replay(p, residuals, RIDGE))], [*batch.schema.names, "rate"])
 
-    rated = rows.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
+    rated = rows.mapInArrow(run, StructType(rows.schema.fields + [StructField("rate", DoubleType())]))
+    chance = F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(1_000_000)) / 1_000_000
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 

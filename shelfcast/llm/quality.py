@@ -55,6 +55,7 @@ class CompressionClassifier:
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
+    share: float = 0.5  # of label 1: the score of an empty text
 
     def _compressors(self) -> list[zstandard.ZstdCompressor]:
         if not hasattr(self, "_made"):
@@ -87,7 +88,8 @@ class CompressionClassifier:
         return rows
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return logistic((self.features(texts) - self.center) / self.scale, self.weights)
+        values = logistic((self.features(texts) - self.center) / self.scale, self.weights)
+        return np.where([bool(x) for x in texts], values, self.share) if texts else values
 
 
 def logistic(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ def fit(sample: list[tuple[bytes, int]]) -> CompressionClassifier:
     if not by_class[0] or not by_class[1]:
         share = len(by_class[1]) / len(sample) if sample else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return CompressionClassifier(b"", b"", np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]), np.zeros(5), np.ones(5))
+        return CompressionClassifier(b"", b"", np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]), np.zeros(5), np.ones(5), share)
     cut = {v: max(1, len(x) * 3 // 5) for v, x in by_class.items()}
     model = CompressionClassifier(train_dictionary(by_class[1][:cut[1]]), train_dictionary(by_class[0][:cut[0]]),
                                   np.zeros(6), np.zeros(5), np.ones(5))
@@ -152,6 +154,7 @@ def prior_shift(model: CompressionClassifier, sample: list[tuple[bytes, int]], g
     """Move the calibration from the sample's class shares to the labels' shares."""
     ones = sum(label for _, label in sample)
     if good and bad and 0 < ones < len(sample):
+        model.share = good / (good + bad)
         model.weights[0] += np.log(good / bad) - np.log(ones / (len(sample) - ones))
 
 
@@ -177,6 +180,17 @@ def score(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id",
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs: DataFrame, model: CompressionClassifier, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all columns stay."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = shared.value.scores([(x or "").encode() for x in batch.column(place).to_pylist()])
+        return batch.filter(pa.array(values >= THRESHOLD))
+
+    return common.map_batches(docs, work, docs.schema, text_col)
+
+
 def quality_scores(spark, folder: str) -> DataFrame:
     """Query op1: score of every document; documents with crc32(doc_id) mod 4 = 2 are never learned from."""
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
