@@ -9,11 +9,10 @@ Keys are grouped twice. In a task, a document that is linked to the smallest one
 sets) is not sent on under that key, so a group of copies of any size leaves each task as one entry per key. In the key's
 bucket every entry is paired with the smallest. Pairs are confirmed on the full sets of both texts.
 
-Pairs within a key that were not compared matter only where a hub stands between several components. There a few pivots are
-first compared with the documents of other components beside the hub, in steps, as far as the triangle inequality of the
-Jaccard distance allows a link; this joins dense families. Of what is left (documents beside such hubs, and the copies
-behind them) those pairs of different components are confirmed that share a shingle of both prefixes, rarest shingles
-first, which no linked pair can fail. So no link that a key found is lost, and no group is expanded into all its pairs.
+Pairs within a key that were not compared matter only where a hub stands between several components. The documents beside such
+hubs, and the copies behind them, are joined exactly: pairs of different components are confirmed if they share a shingle of
+both prefixes, rarest shingles first, which no linked pair can fail. So no link that a key found is lost, and no group is
+expanded into all its pairs.
 
 Null and empty texts have an empty set and are linked with nothing. Rows with a null id are linked with nothing and are kept
 (their component is null). Rows that share an id are one document: a link of any of its texts is its link. Repeated rows
@@ -33,19 +32,17 @@ from pyspark.sql import functions as F
 from shelfcast.llm import common
 from shelfcast.llm.common import stored
 from shelfcast.llm.components import components
-from shelfcast.llm.packed import all_ids, bucket_of, by_bucket, pack, runs, spread_of, unpack
+from shelfcast.llm.packed import all_ids, binary_rows, bucket_of, by_bucket, pack, runs, spread_of, unpack
 from shelfcast.llm.words import NON_SPACE, Words, inside, mix, pieces, shingles, split_words
 
 HALF, HALVES = 3, 12
 #: Documents and shingles that a task holds before it writes its keys out.
 FLUSH_DOCS, FLUSH_SHINGLES = 12_000, 8_000_000
-#: Documents beside a hub that all others beside it are compared with in a step, and the steps.
-PIVOTS, PIVOT_STEPS = 4, 2
 #: Share of equal minhashes below which a pair is not tried inside a task (it is still tried across tasks).
 LIKELY = 0.5
 
 #: Classes of shingles whose frequency is counted for the exact join of the rest.
-RARITY_BITS = 20
+RARITY_BITS = 18
 _RARITY_MASK = np.uint64((1 << RARITY_BITS) - 1)
 
 _GENERATOR = np.random.default_rng(20240229)
@@ -259,50 +256,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, inter long, total long")
 
 
-def distance() -> Column:
-    """Jaccard distance of a confirmed pair."""
-    return 1 - F.col("inter") / (F.col("total") - F.col("inter"))
-
-
 def is_linked(percent: int) -> Column:
     return 100 * F.col("inter") >= percent * (F.col("total") - F.col("inter"))
 
 
-def beside_hubs(star: DataFrame, radius: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents beside each hub, the hub included: distance, component and the radius of their copies.
-
-    Only hubs that stand between several components are left."""
-    named = labels.select(F.col("id").alias("x"), "component")
-    rows = star.select(F.col("a").alias("hub"), F.col("b").alias("x"), distance().alias("d"))
-    rows = rows.unionByName(rows.select("hub", F.col("hub").alias("x"), F.lit(0.0).alias("d")).distinct())
-    rows = rows.join(named, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
-    open_hubs = rows.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("hub")
-    rows = rows.join(open_hubs, "hub", "left_semi")
-    return rows.join(radius.select(F.col("a").alias("x"), "r"), "x", "left").fillna(0.0, ["r"])
-
-
-def near_pairs(left: DataFrame, right: DataFrame, limit: float) -> DataFrame:
-    """Pairs beside a common hub, in different components, that the distances allow to be linked, or to stand for linked copies."""
-    right = right.withColumnsRenamed({"x": "y", "d": "e", "label": "other", "r": "q"})
-    near = F.abs(F.col("d") - F.col("e")) <= limit + F.col("r") + F.col("q") + 1e-9
-    pairs = left.join(right, "hub").where((F.col("label") != F.col("other")) & near & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def pivots(beside: DataFrame, step: int) -> DataFrame:
-    """A few documents beside each hub, other ones in each step."""
-    row = [F.min(F.struct(F.xxhash64("x", F.lit(step * PIVOTS + i)).alias("h"), "x", "d", "label", "r")).alias(f"p{i}") for i in range(PIVOTS)]
-    chosen = beside.where("x <> hub").groupBy("hub").agg(*row)
-    return chosen.select("hub", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p")).select(
-        "hub", "p.x", "p.d", "p.label", "p.r").distinct()
+def unsettled(star: DataFrame, local: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of the documents whose hub stands between components, of these hubs, and of the copies behind them all."""
+    named = labels.select("id", F.col("component").alias("label"))
 
+    def labelled(ids: DataFrame) -> DataFrame:
+        return ids.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-def unsettled(beside: DataFrame, local: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label) of the documents beside hubs that stand between components, and of the copies behind them."""
-    ids = beside.select(F.col("x").alias("id")).distinct()
-    copies = local.select(F.col("a").alias("id"), "b").join(ids, "id").select(F.col("b").alias("id"))
-    named = labels.select("id", F.col("component").alias("label"))
-    return ids.unionByName(copies).distinct().join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = star.select(F.col("a").alias("hub"), F.col("b").alias("id"))
+    rows = labelled(rows.unionByName(rows.select("hub", F.col("hub").alias("id")).distinct()))
+    between = rows.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("hub")
+    ids = rows.join(between, "hub", "left_semi").select("id").distinct()
+    copies = local.select(F.col("a").alias("id"), "b").join(ids, "id", "left_semi").select(F.col("b").alias("id"))
+    return labelled(ids.unionByName(copies).distinct())
 
 
 def _sets_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,17 +289,22 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(rows: DataFrame, size: int) -> np.ndarray:
     """How many documents have a shingle of each hash class: a table of fixed size."""
+    parts, width = 1 << (RARITY_BITS - 12), 1 << 12
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
+        total = np.zeros(parts * width, np.int64)
         for batch in _slices(batches):
             total += np.bincount((_sets_of(batch, size)[0] & _RARITY_MASK).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), binary_rows(total, np.arange(parts + 1) * width)], ["part", "n"])
 
-    table = np.zeros(1 << RARITY_BITS, np.int64)
-    found = rows.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
-    table[found["class"]] = found["n"]
-    return table
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table["part"].slice(0, 1), "n": [unpack(table["n"], np.int64).reshape(-1, width).sum(axis=0).tobytes()]})
+
+    found = rows.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()
+    out = np.zeros((parts, width), np.int64)
+    for r in found:
+        out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    return out.ravel()
 
 
 def remaining_pairs(rows: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
@@ -393,24 +368,12 @@ def find_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     local = found.where(F.col("kind") == LINK).drop("kind").distinct()
     star = stored(confirm(found.where(F.col("kind") == PAIR), texts, size), "confirmed")
     labels = components(local.unionByName(star.where(is_linked(percent))).select("a", "b"))
-    limit, radius = 1 - percent / 100, local.groupBy("a").agg(F.max(distance()).alias("r"))
-
-    def compare(pairs: DataFrame) -> bool:
-        """Confirm pairs and join the components of those linked; false if there were none."""
-        nonlocal labels
-        new = stored(confirm(pairs, texts, size), "confirmed")
-        linked = new.where(is_linked(percent)).select("a", "b")
-        if linked.limit(1).count():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked))
-        return bool(new.limit(1).count())
-
     if star.where(~is_linked(percent)).limit(1).count():
-        for step in range(PIVOT_STEPS):
-            beside = stored(beside_hubs(star, radius, labels), "beside")
-            if not compare(near_pairs(pivots(beside, step), beside, limit)):
-                break
-        rest = unsettled(beside_hubs(star, radius, labels), local, labels).join(texts, "id")
-        compare(remaining_pairs(stored(rest, "rest"), size, percent, common.bucket_count(docs)))
+        rest = stored(unsettled(star, local, labels).join(texts, "id"), "rest")
+        more = stored(confirm(remaining_pairs(rest, size, percent, common.bucket_count(docs)), texts, size), "confirmed")
+        more = more.where(is_linked(percent)).select("a", "b")
+        if more.limit(1).count():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     rows = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("inter").alias("n_shingles"))
     rows = rows.join(labels.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))

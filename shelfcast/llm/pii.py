@@ -49,9 +49,12 @@ DIGIT_WORDS = {
 LEAST_SPELLED = 7
 
 _AT_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.|punkt|punto|point|arroba)[ \t]*[\])}>][ \t]*", re.I)
+# What a host ends in after a spoken dot; other words after "dot" are ordinary text.
+_TOP_LEVEL = ("com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pl|pt|se|no|dk|fi|cz|"
+              "ru|ua|jp|cn|in|br|mx|ar|ca|au|nz|za|test|example|invalid|local")
 _SPOKEN = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9_%+-]+){0,4}[ \t]+at[ \t]+"
-    r"[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z]{2,24}(?![A-Za-z0-9])", re.I)
+    rf"[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{_TOP_LEVEL})(?![A-Za-z0-9])", re.I)
 _SPOKEN_SIGN = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(
