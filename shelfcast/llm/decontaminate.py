@@ -238,11 +238,10 @@ def merge_spans(spans):
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def add(done, span):
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"]),
-                      F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(
-                          F.concat(done, F.array(span)))
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.named_struct(F.lit("start"), last["start"], F.lit("end"), F.greatest(last["end"], span["end"]))
+        return F.when(last["end"] >= span["start"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(
+            F.concat(done, F.array(span)))
 
     return F.aggregate(F.array_sort(spans), empty, add)
 

@@ -32,7 +32,6 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from shelfcast.llm import common
 from shelfcast.llm.common import stored
-from shelfcast.llm.packed import runs
 from shelfcast.llm.words import LETTERS_DIGITS, NON_SPACE, Words, split_words
 
 #: Share of tokens per domain (quality, toxic) after mixing, and tokens after mixing per token before.

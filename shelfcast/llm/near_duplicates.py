@@ -38,6 +38,8 @@ from shelfcast.llm.words import NON_SPACE, Words, inside, mix, pieces, shingles,
 HALF, HALVES = 3, 12
 #: Documents and shingles that a task holds before it writes its keys out.
 FLUSH_DOCS, FLUSH_SHINGLES = 12_000, 8_000_000
+#: Pairs that a bucket of the exact join looks at together.
+PAIRS_AT_ONCE = 2_000_000
 #: Share of equal minhashes below which a pair is not tried inside a task (it is still tried across tasks).
 LIKELY = 0.5
 
@@ -104,8 +106,8 @@ def linked(inter: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 class Held:
     """Sets of the documents of one task, until there are enough to write out."""
 
-    def __init__(self, size: int, percent: int, buckets: int):
-        self.size, self.percent, self.buckets = size, percent, buckets
+    def __init__(self, size: int, percent: int, buckets: int, most_docs: int = FLUSH_DOCS):
+        self.size, self.percent, self.buckets, self.most_docs = size, percent, buckets, most_docs
         self.clear()
 
     def clear(self) -> None:
@@ -118,7 +120,7 @@ class Held:
         self.sizes.append(np.diff(first))
         self.shingles += len(hashes)
         self.docs += piece.num_rows
-        if self.docs >= FLUSH_DOCS or self.shingles >= FLUSH_SHINGLES:
+        if self.docs >= self.most_docs or self.shingles >= FLUSH_SHINGLES:
             yield from self.done()
 
     def done(self) -> Iterator[pa.RecordBatch]:
@@ -126,7 +128,7 @@ class Held:
             return
         ids, hashes, sizes = (np.concatenate(x) for x in (self.ids, self.hashes, self.sizes))
         self.clear()
-        yield self.rows(DOC, spread_of(ids, self.buckets), ids, inter=sizes)
+        yield packed_rows(DOC, spread_of(ids, self.buckets), ids, inter=sizes)
         full = np.flatnonzero(sizes > 0)
         if not len(full):
             return
@@ -153,21 +155,14 @@ class Held:
         good = linked(inter, total, self.percent)
         hub, other, inter, total = hub[good], other[good], inter[good], total[good]
         if len(hub):
-            yield self.rows(LINK, spread_of(ids[other], self.buckets), ids[other], code=ids[hub], inter=inter, total=total)
+            yield packed_rows(LINK, spread_of(ids[other], self.buckets), ids[other], code=ids[hub], inter=inter, total=total)
         settled = hub << 32 | other
         sent = ~np.isin(lead.astype(np.int64) << 32 | place, settled)
         again = np.zeros(len(sent), bool)  # rows of one id count once per key
         again[1:] = (keys[1:] == keys[:-1]) & (ids[place[1:]] == ids[place[:-1]])
         sent &= ~again
         keys, found = keys[sent], ids[place[sent]]
-        yield self.rows(PAIR, bucket_of(keys, self.buckets), found, code=keys)
-
-    def rows(self, kind: int, bucket: np.ndarray, ids: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-        batch = pack(bucket, ids, columns)
-        empty = pa.array([None] * batch.num_rows, pa.binary())
-        return pa.RecordBatch.from_pydict(
-            {"bucket": batch["bucket"], "kind": pa.array([kind] * batch.num_rows, pa.int32()), "ids": batch["ids"]}
-            | {k: batch[k] if k in columns else empty for k in ("code", "inter", "total")})
+        yield packed_rows(PAIR, bucket_of(keys, self.buckets), found, code=keys)
 
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,40 +173,63 @@ def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
-def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def candidates(docs: DataFrame, size: int, percent: int, most_docs: int = FLUSH_DOCS) -> DataFrame:
     """Documents with their set sizes, links confirmed in tasks, and hub pairs still to confirm."""
     buckets = common.bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held(size, percent, buckets)
+        held = Held(size, percent, buckets, most_docs)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 yield from held.add(piece)
         yield from held.done()
 
-    def work(rows: pa.Table) -> pa.Table:
-        kinds = np.asarray(rows["kind"])
-        docs, links, entries = (rows.filter(pa.array(kinds == k)) for k in (DOC, LINK, PAIR))
-        ids = all_ids(docs["ids"])
-        none = np.zeros(len(ids), np.int64)
-        out = [[np.full(len(ids), DOC), ids, none, unpack(docs["inter"], np.int64), none]]
-        ids = all_ids(links["ids"])
-        out.append([np.full(len(ids), LINK), *(unpack(links["code"], np.int64), ids), *(unpack(links[x], np.int64) for x in ("inter", "total"))])
+    def pair(rows: pa.Table) -> pa.Table:
+        """The smallest document of each key with every other one; the rest passes through."""
+        entries = rows.filter(pa.array(np.asarray(rows["kind"]) == PAIR))
         keys, ids = unpack(entries["code"], np.uint64), all_ids(entries["ids"])
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         bounds = runs(keys)
         lead = np.repeat(ids[bounds[:-1]], np.diff(bounds))
-        follows = lead != ids
-        order = np.lexsort((ids[follows], lead[follows]))
-        hub, other = lead[follows][order], ids[follows][order]
-        keep = runs(hub, other)[:-1]
-        none = np.zeros(len(keep), np.int64)
-        out.append([np.full(len(keep), PAIR), hub[keep], other[keep], none, none])
+        hub, other = distinct_pairs(lead[lead != ids], ids[lead != ids])
+        passed = rows.filter(pa.array(np.asarray(rows["kind"]) != PAIR))
+        if not len(hub):
+            return passed
+        spread = bucket_of(mix(hub.view(np.uint64)) ^ other.view(np.uint64), buckets)
+        return pa.concat_tables([passed, pa.Table.from_batches([packed_rows(PAIR, spread, other, code=hub)])])
+
+    def unfold(rows: pa.Table) -> pa.Table:
+        kinds = np.asarray(rows["kind"])
+        docs, links, pairs = (rows.filter(pa.array(kinds == k)) for k in (DOC, LINK, PAIR))
+        ids = all_ids(docs["ids"])
+        none = np.zeros(len(ids), np.int64)
+        out = [[np.full(len(ids), DOC), ids, none, unpack(docs["inter"], np.int64), none]]
+        ids = all_ids(links["ids"])
+        out.append([np.full(len(ids), LINK), unpack(links["code"], np.int64), ids, *(unpack(links[x], np.int64) for x in ("inter", "total"))])
+        hub, other = distinct_pairs(unpack(pairs["code"], np.int64), all_ids(pairs["ids"]))
+        none = np.zeros(len(hub), np.int64)
+        out.append([np.full(len(hub), PAIR), hub, other, none, none])
         kind, a, b, inter, total = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": a, "b": b, "inter": inter, "total": total})
 
-    return by_bucket(docs.where("doc_id IS NOT NULL").mapInArrow(run, _PACKED), work, FOUND)
+    entries = docs.where("doc_id IS NOT NULL").mapInArrow(run, _PACKED)
+    return by_bucket(by_bucket(entries, pair, _PACKED), unfold, FOUND)
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = runs(a, b)[:-1]
+    return a[keep], b[keep]
+
+
+def packed_rows(kind: int, bucket: np.ndarray, ids: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    batch = pack(bucket, ids, columns)
+    empty = pa.array([None] * batch.num_rows, pa.binary())
+    return pa.RecordBatch.from_pydict(
+        {"bucket": batch["bucket"], "kind": pa.array([kind] * batch.num_rows, pa.int32()), "ids": batch["ids"]}
+        | {k: batch[k] if k in columns else empty for k in ("code", "inter", "total")})
 
 
 def payloads(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -338,32 +356,36 @@ def remaining_pairs(rows: DataFrame, size: int, percent: int, buckets: int) -> D
         label, n, place = unpack(table["label"], np.int64), unpack(table["n"], np.int32), unpack(table["place"], np.int32)
         order = np.lexsort((n, code))
         code, ids, label, n, place = code[order], ids[order], label[order], n[order].astype(np.int64), place[order]
-        bounds, found = runs(code), [np.empty((0, 2), np.int64)]
-        several = np.minimum.reduceat(label, bounds[:-1]) != np.maximum.reduceat(label, bounds[:-1]) if len(code) else []
-        for i in np.flatnonzero(several):
-            a, b = bounds[i], bounds[i + 1]
-            for k in range(a, b):  # sizes rise, so partners end where they are too large
-                to = a + np.searchsorted(n[a:b], 100 * int(n[k]) // percent, side="right")
-                least = (percent * (n[k + 1:to] + n[k]) + 99 + percent) // (100 + percent)  # shared shingles of a linked pair
-                fits = (label[k + 1:to] != label[k]) & (place[k] <= n[k] - least) & (place[k + 1:to] <= n[k + 1:to] - least)
-                other = ids[k + 1:to][fits]
-                if len(other):
-                    found.append(np.column_stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])]))
-            if sum(map(len, found)) > 4_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0)
+        bounds = runs(code)
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        several = np.minimum.reduceat(label, bounds[:-1]) != np.maximum.reduceat(label, bounds[:-1]) if len(code) else np.empty(0, bool)
+        # sizes rise within a group, so the partners of an entry follow it and end where they are too large
+        wide = int(n.max(initial=0)) * 200 + 1
+        to = np.searchsorted(group * wide + n, group * wide + 100 * n // percent, side="right")
+        rows = np.flatnonzero(several[group])
+        many, found = to[rows] - rows - 1, [np.empty((0, 2), np.int64)]
+        for chosen in np.split(rows, np.searchsorted(np.cumsum(many), np.arange(PAIRS_AT_ONCE, many.sum() + 1, PAIRS_AT_ONCE))):
+            k = to[chosen] - chosen - 1
+            left = np.repeat(chosen, k)
+            right = left + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            least = (percent * (n[left] + n[right]) + 99 + percent) // (100 + percent)  # shared shingles of a linked pair
+            fits = (label[left] != label[right]) & (place[left] <= n[left] - least) & (place[right] <= n[right] - least)
+            a, b = ids[left[fits]], ids[right[fits]]
+            found.append(np.column_stack(distinct_pairs(np.minimum(a, b), np.maximum(a, b))))
+        pairs = np.column_stack(distinct_pairs(*np.concatenate(found).T))
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return by_bucket(rows.mapInArrow(run, "bucket int, ids binary, code binary, label binary, n binary, place binary"), work, "a long, b long")
 
 
 def find_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", most_docs: int = FLUSH_DOCS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
-    ``size`` words make a shingle; documents with a Jaccard similarity of ``percent`` hundredths or more are linked."""
+    ``size`` words make a shingle; documents with a Jaccard similarity of ``percent`` hundredths or more are linked.
+    A task compares at most about ``most_docs`` documents at once before it sends their keys on."""
     docs = common.documents(docs, id_col, text_col)
-    found = stored(candidates(docs, size, percent), "candidates")
+    found = stored(candidates(docs, size, percent, most_docs), "candidates")
     texts = stored(payloads(docs, found), "payloads")
     local = found.where(F.col("kind") == LINK).drop("kind").distinct()
     star = stored(confirm(found.where(F.col("kind") == PAIR), texts, size), "confirmed")

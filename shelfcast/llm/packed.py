@@ -131,13 +131,13 @@ LISTS = "group int, ids binary, codes binary"
 class Collector:
     """Entries of one task: arrays per column, written out by ``flush`` when there are many."""
 
-    def __init__(self, flush: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]]):
-        self.flush, self.parts, self.count = flush, [], 0
+    def __init__(self, flush: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], most: int = FLUSH_ENTRIES):
+        self.flush, self.most, self.parts, self.count = flush, most, [], 0
 
     def add(self, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(columns)
         self.count += len(next(iter(columns.values())))
-        if self.count >= FLUSH_ENTRIES:
+        if self.count >= self.most:
             yield from self.done()
 
     def done(self) -> Iterator[pa.RecordBatch]:
@@ -149,10 +149,11 @@ class Collector:
 
 
 def collect_map(df: DataFrame, entries: Callable[[pa.RecordBatch], dict[str, np.ndarray] | None],
-                flush: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+                flush: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str, column: str = "text",
+                most: int = FLUSH_ENTRIES) -> DataFrame:
     """Entries of every piece of text, packed per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Collector(flush)
+        held = Collector(flush, most)
         for batch in batches:
             for piece in pieces(batch, column):
                 found = entries(piece)

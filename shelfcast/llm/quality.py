@@ -127,7 +127,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     if not chosen:
         return []
     chosen = docs.sparkSession.createDataFrame(chosen, known.schema)  # at most 2 * rows ids
-    texts = docs.join(F.broadcast(chosen), "doc_id").where(
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(
         F.length("text").between(1, most_chars)).dropDuplicates(["doc_id"]).select("text", "label", *order)
     return [(x["text"].encode(), x["label"]) for x in sorted(texts.collect(), key=lambda x: x[2:])]
 

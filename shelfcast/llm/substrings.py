@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import common
 from shelfcast.llm.packed import (
-    LISTS, Collector, all_ids, bucket_of, by_bucket, by_group, collect_map, group_column, lengthened, lists_by_group, pack, runs, short,
+    FLUSH_ENTRIES, LISTS, Collector, all_ids, bucket_of, by_bucket, by_group, collect_map, group_column, lengthened, lists_by_group, pack, runs, short,
     spread_of, unpack)
 from shelfcast.llm.words import Words, inside, mix, pieces, shingles, split_words
 
@@ -109,7 +109,7 @@ def _read(rows: pa.Table, *states: int) -> pa.Table:
     return rows.filter(pa.compute.is_in(rows["state"], value_set=pa.array(states, pa.int32())))
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int, most: int = FLUSH_ENTRIES) -> DataFrame:
     """Per document the anchors that another document has too.
 
     Anchors travel as 48 bits: a chance match only adds a candidate window."""
@@ -140,10 +140,10 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         return lists_by_group(np.concatenate([ids[shared], all_ids(settled["ids"])]),
                               np.concatenate([codes[shared], lengthened(unpack(settled["codes"], np.uint8))]), buckets, True)
 
-    return by_bucket(collect_map(docs, entries, flush, _PACKED), work, LISTS)
+    return by_bucket(collect_map(docs, entries, flush, _PACKED, most=most), work, LISTS)
 
 
-def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int, most: int = FLUSH_ENTRIES) -> DataFrame:
     """Per document the hashes of windows that a document with a smaller id has too."""
     def entries(piece: pa.RecordBatch, anchors_of_group: np.ndarray) -> dict[str, np.ndarray]:
         words = split_words(piece.column(1))
@@ -154,7 +154,7 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFr
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         wanted = np.unique(lengthened(unpack(right["codes"], np.uint8)))
-        held, out = Collector(flush), []
+        held, out = Collector(flush, most), []
         if len(wanted):
             for batch in left.select(["doc_id", "text"]).to_batches():
                 for piece in pieces(_usable(batch), "text"):
@@ -195,12 +195,14 @@ def _settled(columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -
                                           pa.array([None] * n, pa.binary())], ["bucket", "state", "ids", "codes", "checks"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, removed (word spans, end exclusive) and kept (words joined by a space) of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FLUSH_ENTRIES) -> DataFrame:
+    """doc_id, n_words, removed (word spans, end exclusive) and kept (words joined by a space) of every row.
+
+    A task packs at most about ``most`` hashes at a time."""
     docs = common.documents(docs, id_col, text_col)
     buckets = common.bucket_count(docs)
     grouped = docs.withColumn("group", group_column("doc_id", "text", buckets))
-    repeated = repeated_windows(grouped, shared_anchors(docs, buckets), buckets)
+    repeated = repeated_windows(grouped, shared_anchors(docs, buckets, most), buckets, most)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, codes = all_ids(right["ids"]), unpack(right["codes"], np.uint64)

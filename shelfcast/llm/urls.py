@@ -76,11 +76,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rows = rows.withColumns({"host": F.coalesce(url_host(F.col("url")), F.lit("")), "path": F.coalesce(url_path(F.col("url")), F.lit(""))})
     most = deepest.first()  # two numbers
     expressions = rows.where(F.col("host") != "").select("page_id", "url", "path", F.explode(host_suffixes(
-        F.col("host"), F.lit(most["labels"]))).alias("suffix")).select(
+        F.col("host"), F.lit(max(most["labels"], 1)))).alias("suffix")).select(
         "page_id", "url", "path", F.col("suffix"), F.explode(path_prefixes(F.col("path"), F.lit(most["slashes"]))).alias("prefix"))
     expressions = expressions.withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256)).withColumn(
-        "key", F.substring("digest", 1, HASH_PREFIX_DIGITS)) if most["labels"] else expressions.withColumns(
-        {"digest": F.lit(""), "key": F.lit("")})
+        "key", F.substring("digest", 1, HASH_PREFIX_DIGITS))
     matched = expressions.join(known, F.col("key") == F.col("rule_key")).where(
         (F.col("digest") == F.col("rule_digest")) & F.startswith("path", "rule_path"))
     rule = F.concat("rule_host", "rule_path")

@@ -1,0 +1,13 @@
+"""Texts for the tests of this folder."""
+
+import random
+
+
+def prose(seed, words, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words))
+
+
+def edited(text, seed, share):
+    rng = random.Random(seed)
+    return " ".join(f"x{seed}e{i}" if rng.random() < share else w for i, w in enumerate(text.split()))
