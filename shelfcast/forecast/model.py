@@ -18,8 +18,6 @@ from shelfcast.session import shared_folder
 # Trees have no branch for missing values; all features are at least zero, so a negative
 # number keeps missing ones apart.
 MISSING = -1.0
-# Categories up to this many values get one bin each in the trees.
-CATEGORY_LIMIT = 1024
 
 
 @dataclass(frozen=True)
@@ -106,16 +104,10 @@ def _fit(training: DataFrame, features: list[str], estimator, label: str) -> Pip
     if categorical:
         indexer = encode_categories(training, categorical)
         stages.append(indexer)
-        small = {c: len(labels) + 1 for c, labels in zip(categorical, indexer.labelsArray)
-                 if len(labels) < CATEGORY_LIMIT}
-        large = [c for c in categorical if c not in small]
-        if small:
-            estimator = estimator.setMaxBins(max(estimator.getMaxBins(), *small.values()))
-        if large:
-            # Too many values for one bin each: their order is split on like a number.
-            plain = ", ".join(f"{c}_index + 0.0 AS {c}_order" for c in large)
-            stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-        inputs = [f"{c}_index" if c in small else f"{c}_order" for c in categorical] + inputs
+        # The order of a category is split on like a number, however many values there are.
+        plain = ", ".join(f"{c}_index + 0.0 AS {c}_order" for c in categorical)
+        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
+        inputs = [f"{c}_order" for c in categorical] + inputs
     stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
                estimator.setFeaturesCol("features").setLabelCol(label)]
     return Pipeline(stages=stages).fit(training)

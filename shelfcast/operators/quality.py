@@ -12,7 +12,7 @@ from shelfcast.operators.audit import (
     grain_counts, grain_summary, orphan_keys, union_all,
 )
 from shelfcast.operators.marts import MART_GRAINS
-from shelfcast.operators.warehouse import STORE_KEY_LIMIT, store_day_key
+from shelfcast.operators.warehouse import store_day_key
 from shelfcast.schemas import CLEAN_GRAINS, WAREHOUSE_GRAINS
 
 Tables = Mapping[str, DataFrame]
@@ -568,7 +568,7 @@ def warehouse_reconciliation(clean: Tables, t: Tables) -> DataFrame:
     ])
 
 
-def store_day_and_holiday_checks(t: Tables, key_limit: int = STORE_KEY_LIMIT) -> DataFrame:
+def store_day_and_holiday_checks(t: Tables) -> DataFrame:
     """Grid completeness, key formula, key coverage and holiday mapping."""
     grid, keys = t["dim_store_date"], ["date_key", "store_key"]
     rows = F.count(F.lit(1))
@@ -578,7 +578,7 @@ def store_day_and_holiday_checks(t: Tables, key_limit: int = STORE_KEY_LIMIT) ->
     one = grid.sparkSession.range(1)
     holiday_rows = one_row(t["bridge_store_holiday"].agg(rows.alias("n")))["n"]
     marked = one_row(_counted(grid, F.col("holiday_count") > 0))["n"]
-    wrong_key = _counted(grid, F.col("date_store_key") != store_day_key(key_limit))
+    wrong_key = _counted(grid, F.col("date_store_key") != store_day_key())
     return union_all([
         one.select(F.lit("grid_is_complete").alias("check_name"),
                    F.abs(size - expected).cast("long").alias("violations")),

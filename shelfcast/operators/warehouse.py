@@ -9,7 +9,7 @@ from shelfcast.functions.columns import daily_sequence, date_key, flag, one_row
 from shelfcast.operators.audit import assert_unique, require_columns
 from shelfcast.schemas import HOLIDAY_FLAGS, HOLIDAY_TEXTS, STORE_ATTRIBUTES
 
-STORE_KEY_LIMIT = 100
+STORE_KEYS = 2**31
 
 
 def date_attributes(date: Column) -> dict[str, Column]:
@@ -140,14 +140,11 @@ def observed_store_days(observations: DataFrame, dim_date: DataFrame, dim_store:
 
 
 def build_dim_store_date(dim_date: DataFrame, dim_store: DataFrame, bridge: DataFrame,
-                         train: DataFrame, transactions: DataFrame, check: bool = True,
-                         key_limit: int = STORE_KEY_LIMIT) -> DataFrame:
+                         train: DataFrame, transactions: DataFrame, check: bool = True) -> DataFrame:
     """Every store on every calendar day, with holiday defaults and presence flags.
 
     Each store row generates its own days, so the grid needs no product of two tables.
     """
-    if check and dim_store.filter(F.col("store_key") >= key_limit).limit(1).count():
-        raise ValueError(f"dim_store contains store_key >= {key_limit}; raise the key limit")
     span = one_row(dim_date.agg(F.min("full_date").alias("a"), F.max("full_date").alias("z")))
     grid = dim_store.select("store_key", daily_sequence(span["a"], span["z"]).alias("_d")).select(
         date_key("_d").alias("date_key"), "store_key")
@@ -160,7 +157,7 @@ def build_dim_store_date(dim_date: DataFrame, dim_store: DataFrame, bridge: Data
         .join(seen_visits.withColumn("_t", F.lit(1)), keys, "left")
     )
     return joined.select(
-        store_day_key(key_limit).alias("date_store_key"),
+        store_day_key().alias("date_store_key"),
         *keys,
         F.coalesce("holiday_count", F.lit(0).cast("long")).alias("holiday_count"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in HOLIDAY_TEXTS],
@@ -170,12 +167,12 @@ def build_dim_store_date(dim_date: DataFrame, dim_store: DataFrame, bridge: Data
     )
 
 
-def store_day_key(key_limit: int = STORE_KEY_LIMIT) -> Column:
-    return F.col("date_key").cast("long") * key_limit + F.col("store_key")
+def store_day_key() -> Column:
+    """One key for every date and store key that fits 31 bits; facts, grid and checks all use it."""
+    return F.col("date_key").cast("long") * STORE_KEYS + F.col("store_key")
 
 
-def attach_date_store_key(fact: DataFrame, dim_store_date: DataFrame, check: bool = True,
-                          key_limit: int = STORE_KEY_LIMIT) -> DataFrame:
+def attach_date_store_key(fact: DataFrame, dim_store_date: DataFrame, check: bool = True) -> DataFrame:
     """Store-day key of every fact row.
 
     The key is a function of its two parts, so the fact is not shuffled for a join with
@@ -187,7 +184,7 @@ def attach_date_store_key(fact: DataFrame, dim_store_date: DataFrame, check: boo
         examples = [tuple(row) for row in lost.limit(5).collect()]
         if examples:
             raise ValueError(f"fact rows outside the store-day grid: {examples}")
-    return fact.withColumn("date_store_key", store_day_key(key_limit))
+    return fact.withColumn("date_store_key", store_day_key())
 
 
 def build_fact_daily_sales(train: DataFrame, dim_date: DataFrame, dim_store: DataFrame,
@@ -197,7 +194,7 @@ def build_fact_daily_sales(train: DataFrame, dim_date: DataFrame, dim_store: Dat
                             "is_promotion"], "train")
     mapped = _map_store_day(train, dim_date, dim_store).join(
         dim_family.select("family_key", "family"), "family", "left")
-    fact = attach_date_store_key(mapped, dim_store_date, check=False).select(
+    fact = attach_date_store_key(mapped, dim_store_date, check=check).select(
         F.col("id").alias("sales_id"), "date_key", "store_key", "date_store_key", "family_key",
         F.col("sales").cast("double").alias("sales"), "onpromotion", "is_promotion",
     )

@@ -260,8 +260,7 @@ def daily_store_reconciliation(ws: Workspace) -> DataFrame:
 @query("q28_family_differences")
 def family_differences(ws: Workspace) -> DataFrame:
     t = ws.warehouse()
-    # The mart side leaves out months with many zero rows, so the list has rows to show.
-    return quality.family_differences(t, ws.marts()["family_performance"].filter("zero_sales_rate < 0.3"))
+    return quality.family_differences(t, ws.marts()["family_performance"])
 
 
 @query("q29_store_reconciliation")

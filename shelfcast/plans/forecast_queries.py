@@ -226,5 +226,5 @@ def interval_segments(ws: Workspace) -> DataFrame:
 query("z3_submission")(lambda ws: submission.create_submission(ws.rollup()["future"], _future_baseline(ws)))
 query("q39_z4_submission_checks")(lambda ws: submission.submission_checks(
     submission.create_submission(ws.rollup()["future"], _future_baseline(ws)), ws.rollup()["future"]))
-query("z2_final_inputs")(lambda ws: ws.training_frame().filter("sales IS NULL").select(
+query("z2_final_inputs")(lambda ws: ws.training_frame().select(
     "id", *SALES_GRAIN, *features.FEATURES[2:]))

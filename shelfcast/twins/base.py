@@ -73,7 +73,7 @@ bridge_store_holiday AS MATERIALIZED (
   SELECT date_key, store_key, h.* EXCLUDE (date, store_nbr) FROM holiday_days h
   JOIN dim_date d ON d.full_date = h.date JOIN dim_store s ON s.store_nbr = h.store_nbr),
 fact_daily_sales AS MATERIALIZED (
-  SELECT t.id AS sales_id, date_key, store_key, CAST(date_key AS BIGINT) * 100 + store_key AS date_store_key,
+  SELECT t.id AS sales_id, date_key, store_key, CAST(date_key AS BIGINT) * 2147483648 + store_key AS date_store_key,
          family_key, sales, onpromotion, is_promotion
   FROM train t JOIN dim_date d ON d.full_date = t.date JOIN dim_store s ON s.store_nbr = t.store_nbr
   JOIN dim_family f ON f.family = t.family),
@@ -81,7 +81,7 @@ fact_store_transactions AS MATERIALIZED (
   SELECT date_key, store_key, transactions FROM src_transactions t
   JOIN dim_date d ON d.full_date = t.date JOIN dim_store s ON s.store_nbr = t.store_nbr),
 dim_store_date AS MATERIALIZED (
-  SELECT CAST(d.date_key AS BIGINT) * 100 + s.store_key AS date_store_key, d.date_key, s.store_key,
+  SELECT CAST(d.date_key AS BIGINT) * 2147483648 + s.store_key AS date_store_key, d.date_key, s.store_key,
          COALESCE(b.holiday_count, 0) AS holiday_count,
          COALESCE(b.holiday_descriptions, '') AS holiday_descriptions,
          COALESCE(b.holiday_types, '') AS holiday_types, COALESCE(b.holiday_locales, '') AS holiday_locales,

@@ -350,7 +350,7 @@ SELECT COALESCE(f.year, m.year) AS year, COALESCE(f.month, m.month) AS month, CO
        f.family IS NOT NULL AND m.family IS NOT NULL AS family_preserved, f.s = m.total_sales AS total_sales_reconciled
 FROM (SELECT year, month, family, SUM(sales) AS s FROM fact_daily_sales JOIN dim_date USING (date_key)
       JOIN dim_family USING (family_key) GROUP BY ALL) f
-FULL JOIN (SELECT * FROM family_performance WHERE zero_sales_rate < 0.3) m
+FULL JOIN family_performance m
   ON m.year = f.year AND m.month = f.month AND m.family = f.family
 WHERE f.family IS NULL OR m.family IS NULL OR f.s IS DISTINCT FROM m.total_sales
 """, "fact_total_sales mart_total_sales", layers=ALL)
@@ -445,7 +445,7 @@ TWINS["q33_fact_constraints"] = twin(" UNION ALL ".join(_rules(
 TWINS["q36_store_day_checks"] = twin(f"""
 SELECT check_name, violations, violations = 0 AS passed FROM (
   SELECT 'grid_is_complete' AS check_name, abs((SELECT COUNT(*) FROM dim_store_date) - (SELECT COUNT(*) FROM dim_date) * (SELECT COUNT(*) FROM dim_store)) AS violations
-  UNION ALL SELECT 'key_formula', (SELECT COUNT(*) FROM dim_store_date WHERE date_store_key <> CAST(date_key AS BIGINT) * 100 + store_key)
+  UNION ALL SELECT 'key_formula', (SELECT COUNT(*) FROM dim_store_date WHERE date_store_key <> CAST(date_key AS BIGINT) * 2147483648 + store_key)
   UNION ALL SELECT 'sales_store_days_covered', ({_lost('fact_daily_sales', 'dim_store_date', 'date_store_key')})
   UNION ALL SELECT 'transaction_store_days_covered', ({_lost('fact_store_transactions', 'dim_store_date', 'date_key store_key')})
   UNION ALL SELECT 'holiday_days_marked', abs((SELECT COUNT(*) FROM bridge_store_holiday) - (SELECT COUNT(*) FROM dim_store_date WHERE holiday_count > 0))

@@ -114,7 +114,7 @@ FEATURES = [*CATEGORIES, "day_of_week", "week_of_year", "month", "quarter", "yea
             "is_payday", "onpromotion", "promotion_active", "holiday_count", "is_holiday", "is_work_day", "is_event", *LAG_NAMES, *ROLLINGS]
 TWINS["f22_feature_matrix"] = frame(f"SELECT {', '.join(FEATURES)} FROM ca", known("da", "ka") + "," + causal("ka", "ca"),
                                     " ".join([*LAG_NAMES, *ROLLINGS]))
-TWINS["z2_final_inputs"] = frame(f"SELECT id, date, store_nbr, family, {', '.join(FEATURES[2:])} FROM ca WHERE sales IS NULL",
+TWINS["z2_final_inputs"] = frame(f"SELECT id, date, store_nbr, family, {', '.join(FEATURES[2:])} FROM ca",
                                  known("da", "ka") + "," + causal("ka", "ca"), " ".join([*LAG_NAMES, *ROLLINGS]))
 TWINS["f1_forecast_contract"] = twin("""
 SELECT *, store_count * family_count * forecast_horizon_days AS expected_predictions, forecast_start = last_actual_date + 1 AS starts_after_last_actual,

@@ -33,7 +33,8 @@ def test_fact_keeps_rows_sums_and_grain(spark, k1):
     assert grid.agg(F.sum("has_sales_observation"), F.sum("has_transaction_observation")).first()[:] == (2, 1)
     fact = warehouse.build_fact_daily_sales(train, dim_date, dim_store, dim_family, grid)
     assert rows(fact.select("sales_id", "date_key", "store_key", "date_store_key", "family_key"), "sales_id") == [
-        (10, 20200101, 1, 2020010101, 1), (11, 20200101, 1, 2020010101, 2), (12, 20200102, 2, 2020010202, 1)]
+        (10, 20200101, 1, 20200101 * 2**31 + 1, 1), (11, 20200101, 1, 20200101 * 2**31 + 1, 2),
+        (12, 20200102, 2, 20200102 * 2**31 + 2, 1)]
     assert fact.agg(F.sum("sales")).first()[0] == pytest.approx(4.8888888, abs=1e-9)
     other = train.withColumn("family", F.lit("Z"))
     with pytest.raises(ValueError, match="unmapped family"):
@@ -41,8 +42,26 @@ def test_fact_keeps_rows_sums_and_grain(spark, k1):
     with pytest.raises(ValueError, match="unmapped date"):
         warehouse.build_fact_store_transactions(visits.withColumn("date", date("2021-01-01")), dim_date, dim_store)
     assert [r[1] for r in rows(dim_store.select("store_key", "city"), "store_key")] == ["Quito", "Cuenca"]
-    with pytest.raises(ValueError, match="store_key >= 2"):
-        warehouse.build_dim_store_date(dim_date, dim_store, bridge, train, visits, key_limit=2)
+    short_grid = grid.filter("date_key > 20200101")
+    with pytest.raises(ValueError, match="outside the store-day grid"):
+        warehouse.build_fact_daily_sales(train, dim_date, dim_store, dim_family, short_grid)
+
+
+def test_store_day_keys_of_many_stores(spark, k1):
+    train, stores = k1
+    one_day = train.filter("id = 10")
+    many = spark.range(1, 151).select(F.col("id").cast("int").alias("n")).crossJoin(stores.limit(1)).withColumn("store_nbr", F.col("n")).drop("n")
+    train = one_day.crossJoin(spark.range(1, 151).withColumnRenamed("id", "n")).withColumns(
+        {"store_nbr": F.col("n").cast("int"), "id": F.col("n")}).drop("n")
+    dim_date = warehouse.build_dim_date(spark, date("2020-01-01"), date("2020-01-02"))
+    dim_store, dim_family = warehouse.build_dim_store(many), warehouse.build_dim_family(train)
+    bridge = spark.createDataFrame([], "date_key int, store_key int, holiday_count long, holiday_descriptions string, "
+                                   "holiday_types string, holiday_locales string, is_holiday int, is_work_day int, is_event int")
+    visits = spark.createDataFrame([(day("2020-01-01"), 150, 5)], schemas.TRANSACTIONS_SCHEMA)
+    grid = warehouse.build_dim_store_date(dim_date, dim_store, bridge, train, visits)
+    fact = warehouse.build_fact_daily_sales(train, dim_date, dim_store, dim_family, grid)
+    assert grid.select("date_store_key").distinct().count() == grid.count() == 300
+    assert fact.join(grid, ["date_store_key", "date_key", "store_key"]).count() == fact.count() == 150
 
 
 def test_date_dimension_rules(spark):
