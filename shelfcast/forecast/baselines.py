@@ -32,7 +32,7 @@ def check_history(history: DataFrame, cutoff: Column) -> None:
     if not row["n"]:
         raise ValueError("history contains no rows on or before the cutoff")
     if row["bad"]:
-        raise ValueError("historical sales must contain only finite values")
+        raise ValueError("sales before the origin include values that are not numbers")
     assert_unique(usable, SALES_GRAIN, "history")
 
 
@@ -103,7 +103,7 @@ def predict(history: DataFrame, folds: Column, models: list[str] | None = None,
     wanted = list(expressions) if models is None else models
     unknown = [m for m in wanted if m not in expressions]
     if unknown:
-        raise ValueError(f"unsupported baseline model: {', '.join(unknown)}")
+        raise ValueError(f"unsupported name of a baseline: {', '.join(unknown)}")
     profile = series_profile(history, folds, rolling_days)
     if series is not None:
         keys = series.select(*SERIES).distinct().select("*", F.inline(folds))

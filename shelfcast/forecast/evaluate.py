@@ -18,7 +18,7 @@ def score_predictions(actual: DataFrame, predictions: DataFrame, check: bool = T
     joined = actual.select(*SALES_GRAIN, "sales").join(
         predictions.select(*SALES_GRAIN, "prediction"), SALES_GRAIN, "left")
     if check and joined.filter(F.col("prediction").isNull()).limit(1).count():
-        raise ValueError("predictions do not cover the complete actual grain")
+        raise ValueError("predictions cover only part of the actual rows")
     return joined.agg(*error_metrics())
 
 

@@ -132,7 +132,7 @@ def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapp
         assert_dense_calendar(known)
         ends = known.agg(F.min("date").alias("a"), F.max("date").alias("z")).first()
         if max(origins.values()) + dt.timedelta(days=horizon) > ends["z"] or min(origins.values()) < ends["a"]:
-            raise ValueError("the known frame does not cover the complete forecast horizon")
+            raise ValueError("the known frame ends before the horizon does")
     states = cut_lineage(series_states(known, origins, horizon).withColumn(
         "_forecast", F.array().cast("array<double>")))
 
@@ -152,9 +152,9 @@ def forecast_folds(models: Mapping[int, object], known: DataFrame, origins: Mapp
         row = result.agg(F.count(F.lit(1)).alias("n"), F.count_if(
             ~is_finite("prediction") | (F.col("prediction") < 0)).alias("bad")).first()
         if row["n"] != states.count() * horizon:
-            raise RuntimeError("recursive forecast row count is incomplete")
+            raise RuntimeError("the recursion lost or gained rows")
         if row["bad"]:
-            raise RuntimeError("recursive predictions must be finite and not negative")
+            raise RuntimeError("the predictor gave a value that is negative or not finite")
     return result
 
 

@@ -13,7 +13,7 @@ HORIZON, FOLDS = 16, 4
 
 def _positive(value: int, name: str) -> int:
     if isinstance(value, bool) or not isinstance(value, Integral) or value <= 0:
-        raise ValueError(f"{name} must be a positive integer")
+        raise ValueError(f"{name}: a whole number of 1 or more is needed")
     return int(value)
 
 
@@ -39,7 +39,7 @@ def rolling_splits(spark: SparkSession, last: Column | dt.date | str, horizon: i
     end = last if isinstance(last, Column) else F.lit(str(last)).cast("date")
     table = spark.range(1).select(F.inline(fold_array(end, horizon, folds)))
     if not isinstance(last, Column) and table.first()["train_end"] is None:
-        raise ValueError("last must be a valid date")
+        raise ValueError("the last day is not a date")
     return table
 
 

@@ -20,7 +20,7 @@ def validate_future(future: DataFrame, train: DataFrame, cross_product: bool = T
     """The future table must be the complete horizon of exactly the known series."""
     require_columns(future, ["id", *SALES_GRAIN, "onpromotion"], "future")
     if future.filter(F.col("id").isNull()).limit(1).count():
-        raise ValueError("future ids must be complete")
+        raise ValueError("a future row has no id")
     assert_contract(train, future, cross_product)
     for columns in ([SERIES[0]], [SERIES[1]]):
         a, b = future.select(*columns).distinct(), train.select(*columns).distinct()
@@ -45,9 +45,9 @@ def create_submission(future: DataFrame, predictions: DataFrame, check: bool = T
         assert_unique(predictions, SALES_GRAIN, "predictions")
         a, b = future.select(*SALES_GRAIN), predictions.select(*SALES_GRAIN)
         if a.exceptAll(b).limit(1).count():
-            raise ValueError("predictions do not cover the complete future grain")
+            raise ValueError("predictions cover only part of the future rows")
         if b.exceptAll(a).limit(1).count():
-            raise ValueError("predictions contain rows outside the future grain")
+            raise ValueError("some predictions belong to no future row")
     return future.select("id", *SALES_GRAIN).join(
         predictions.select(*SALES_GRAIN, "prediction"), SALES_GRAIN, "left").select(
         "id", F.col("prediction").alias("sales"))
@@ -69,7 +69,7 @@ def submission_checks(submission: DataFrame, future: DataFrame) -> DataFrame:
 def validate_submission(submission: DataFrame, future: DataFrame, train: DataFrame,
                         cross_product: bool = True) -> None:
     if submission.columns != ["id", "sales"]:
-        raise ValueError("submission schema must be exactly: id, sales")
+        raise ValueError("a submission has two columns, id and sales")
     validate_future(future, train, cross_product)
     row = submission_checks(submission, future).first().asDict()
     broken = [k for k, v in row.items() if not k.endswith("_rows") and v]

@@ -20,7 +20,9 @@ ROLLING_ROWS, ROLLING_MIN_ROWS = 28, 7
 
 
 def store_day_frame(t: Tables, check: bool = True) -> DataFrame:
-    """Transactions with the sales of the same store-day; every row must have sales."""
+    """Transactions with the sales of the same store-day, null where there are none.
+
+    ``check`` refuses tables in which a transaction row has no sales."""
     keys = ["date_key", "store_key"]
     sales = t["fact_daily_sales"].groupBy(*keys).agg(F.sum("sales").alias("total_sales"))
     visits = t["fact_store_transactions"]
@@ -30,17 +32,16 @@ def store_day_frame(t: Tables, check: bool = True) -> DataFrame:
             raise ValueError(f"transactions without daily store sales: {[tuple(r) for r in lost]}")
     days = t["dim_date"].select("date_key", "full_date", "day_of_week", "day_name", "month", "month_name", "year")
     return (
-        visits.join(sales, keys).join(days, "date_key").join(t["dim_store"], "store_key")
+        visits.join(sales, keys, "left").join(days, "date_key").join(t["dim_store"], "store_key")
         .withColumns({"sales_volume_per_transaction": safe_ratio("total_sales", "transactions"),
                       "zero_transaction_flag": flag(F.col("transactions") == 0)})
     )
 
 
-def mapped_tables(t: Tables) -> dict[str, DataFrame]:
-    """The same tables with only those transactions whose store-day has sales."""
-    keys = ["date_key", "store_key"]
-    seen = t["fact_daily_sales"].select(*keys).distinct()
-    return {**t, "fact_store_transactions": t["fact_store_transactions"].join(seen, keys, "left_semi")}
+def unmapped_store_days(frame: DataFrame) -> DataFrame:
+    """How many transaction rows have no sales, and their transactions."""
+    return frame.filter("total_sales IS NULL").agg(
+        F.count(F.lit(1)).alias("store_days_without_sales"), F.coalesce(F.sum("transactions"), F.lit(0)).alias("transactions_without_sales"))
 
 
 def add_outliers_and_trend(frame: DataFrame) -> DataFrame:

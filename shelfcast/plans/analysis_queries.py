@@ -28,7 +28,7 @@ def _holidays(ws: Workspace) -> DataFrame:
 
 def _store_days(ws: Workspace) -> DataFrame:
     return ws.stored("result_transaction_days", lambda: transaction_analysis.add_outliers_and_trend(
-        transaction_analysis.store_day_frame(transaction_analysis.mapped_tables(ws.warehouse()))))
+        transaction_analysis.store_day_frame(ws.warehouse(), check=False)))
 
 
 def _stores(ws: Workspace) -> DataFrame:
@@ -95,10 +95,10 @@ query("h8_payday_holiday_groups")(lambda ws: holiday_analysis.payday_holiday_gro
 query("h9_log_sales_distributions")(lambda ws: holiday_analysis.log_sales_distributions(_holidays(ws)))
 query("h10_limit_counters")(lambda ws: holiday_analysis.limit_counters(_holidays(ws)))
 
-query("t1_store_day_frame")(lambda ws: transaction_analysis.store_day_frame(
-    transaction_analysis.mapped_tables(ws.warehouse())))
+query("t1_store_day_frame")(lambda ws: transaction_analysis.store_day_frame(ws.warehouse(), check=False))
+query("t1_unmapped_store_days")(lambda ws: transaction_analysis.unmapped_store_days(_store_days(ws)))
 query("t2_t3_outliers_and_trend")(lambda ws: transaction_analysis.add_outliers_and_trend(
-    transaction_analysis.store_day_frame(transaction_analysis.mapped_tables(ws.warehouse()))))
+    transaction_analysis.store_day_frame(ws.warehouse(), check=False)))
 query("t4_store_summary")(lambda ws: transaction_analysis.store_summary(_store_days(ws)))
 query("t5_monthly_driver")(lambda ws: transaction_analysis.monthly_driver(_store_days(ws)))
 query("t6_daily_totals")(lambda ws: transaction_analysis.daily_totals(_store_days(ws)))

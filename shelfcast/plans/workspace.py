@@ -61,8 +61,7 @@ class Workspace:
         return {
             "train": self.stored("raw_train", lambda: star_adapter.numbered_sales(sales)),
             "stores": self.stored("raw_stores", lambda: star_adapter.stores(spark, folder)),
-            "transactions": self.stored("raw_transactions", lambda: star_adapter.transactions_in_span(
-                spark, folder, sales)),
+            "transactions": self.stored("raw_transactions", lambda: star_adapter.transactions(spark, folder)),
             "oil": self.stored("raw_oil", lambda: star_adapter.oil(spark, folder)),
             "holidays": self.stored("raw_holidays", lambda: star_adapter.holidays(spark, folder)),
         }
@@ -72,7 +71,7 @@ class Workspace:
         names = ("train", "stores", "transactions", "oil", "holidays")
         if "clean_train" not in self._done:
             stores = cleaning.clean_stores(raw["stores"])
-            start, end = cleaning.calendar_bounds(raw["train"])
+            start, end = cleaning.calendar_bounds(raw["train"], raw["transactions"])
             tables = {
                 "train": cleaning.clean_train(raw["train"]),
                 "stores": stores,
@@ -151,7 +150,7 @@ class Workspace:
 
 def warehouse_tables(space: Workspace, clean: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The eight tables in parent-first order; dimensions are stored before facts use them."""
-    start, end = cleaning.calendar_bounds(clean["train"])
+    start, end = cleaning.calendar_bounds(clean["train"], clean["transactions"])
     dim_date = space.stored("dim_date", lambda: warehouse.build_dim_date(space.spark, start, end))
     dim_store = space.stored("dim_store", lambda: warehouse.build_dim_store(clean["stores"]))
     dim_family = space.stored("dim_family", lambda: warehouse.build_dim_family(clean["train"]))

@@ -169,9 +169,3 @@ def numbered_sales(sales_table: DataFrame) -> DataFrame:
     ``sales_table`` is read several times: pass a stored table, not the join itself.
     """
     return nested_row_number(sales_table, SALES_GRAIN, "id").select("id", *SALES_GRAIN, "sales", "onpromotion")
-
-
-def transactions_in_span(spark: SparkSession, folder: str, sales_table: DataFrame) -> DataFrame:
-    """Transactions on the sales calendar."""
-    span = one_row(sales_table.agg(F.min("date").alias("a"), F.max("date").alias("z")))
-    return transactions(spark, folder).filter(F.col("date").between(span["a"], span["z"]))

@@ -377,7 +377,7 @@ tf AS MATERIALIZED (
   SELECT t.date_key, t.store_key, t.transactions, f.total_sales, d.full_date, d.day_of_week, d.day_name, d.month, d.month_name, d.year,
          s.store_nbr, s.city, s.state, s.store_type, s.cluster, f.total_sales / NULLIF(CAST(t.transactions AS DOUBLE), 0) AS sales_volume_per_transaction,
          CAST(t.transactions = 0 AS INT) AS zero_transaction_flag
-  FROM fact_store_transactions t JOIN store_day f ON f.date_key = t.date_key AND f.store_key = t.store_key
+  FROM fact_store_transactions t LEFT JOIN store_day f ON f.date_key = t.date_key AND f.store_key = t.store_key
   JOIN dim_date d ON d.date_key = t.date_key JOIN dim_store s ON s.store_key = t.store_key),
 med AS (SELECT store_nbr, quantile_cont(CAST(transactions AS DOUBLE), 0.5) AS m FROM tf GROUP BY 1),
 mad AS (SELECT store_nbr, quantile_cont(abs(transactions - m), 0.5) AS a FROM tf JOIN med USING (store_nbr) GROUP BY 1),
@@ -407,17 +407,21 @@ def visits(body: str, doubles: str = "", ints: str = "") -> str:
 
 
 TWINS["t1_store_day_frame"] = visits("SELECT * FROM tf", "total_sales sales_volume_per_transaction")
+TWINS["t1_unmapped_store_days"] = visits("""
+SELECT COUNT(*) AS store_days_without_sales, CAST(COALESCE(SUM(transactions), 0) AS BIGINT) AS transactions_without_sales FROM tf WHERE total_sales IS NULL""")
 TWINS["t2_t3_outliers_and_trend"] = visits(
     "SELECT * FROM td", "total_sales sales_volume_per_transaction transaction_store_median transaction_store_mad "
     "transaction_robust_z transactions_28_observation_rolling_average")
 TWINS["t4_store_summary"] = visits("""
 SELECT *, RANK() OVER (ORDER BY total_transactions DESC) AS rank_total_transactions,
-       RANK() OVER (ORDER BY sales_volume_per_transaction DESC NULLS LAST) AS rank_sales_volume_per_transaction
+       CASE WHEN sales_volume_per_transaction IS NOT NULL
+            THEN RANK() OVER (ORDER BY sales_volume_per_transaction DESC NULLS LAST) END AS rank_sales_volume_per_transaction
 FROM (SELECT store_nbr, city, state, store_type, cluster, SUM(total_sales) AS total_sales, CAST(SUM(transactions) AS BIGINT) AS total_transactions,
              AVG(transactions) AS average_daily_transactions, quantile_cont(CAST(transactions AS DOUBLE), 0.5) AS median_daily_transactions,
              COUNT(*) AS transaction_observation_count, CAST(SUM(unusual_transaction_day) AS BIGINT) AS unusual_transaction_days,
              SUM(total_sales) / NULLIF(CAST(SUM(transactions) AS DOUBLE), 0) AS sales_volume_per_transaction,
-             CASE WHEN stddev_pop(total_sales) * stddev_pop(transactions) > 0 THEN corr(total_sales, transactions) END AS sales_transactions_correlation FROM td GROUP BY ALL)
+             CASE WHEN stddev_pop(total_sales) * stddev_pop(transactions) FILTER (WHERE total_sales IS NOT NULL) > 0
+                  THEN corr(total_sales, transactions) END AS sales_transactions_correlation FROM td GROUP BY ALL)
 """, "total_sales average_daily_transactions median_daily_transactions sales_volume_per_transaction sales_transactions_correlation")
 TWINS["t5_monthly_driver"] = visits(
     "SELECT * FROM driver", "total_sales sales_volume_per_transaction previous_total_sales previous_sales_volume_per_transaction "

@@ -21,8 +21,7 @@ span AS (SELECT MIN(date) AS a, MAX(date) AS z FROM src_sales),
 src_transactions AS (
   SELECT CAST(o_orderdate AS DATE) AS date, c_nationkey + 1 AS store_nbr,
          CAST(COUNT(*) AS INT) AS transactions
-  FROM orders JOIN customer ON o_custkey = c_custkey, span
-  WHERE CAST(o_orderdate AS DATE) BETWEEN a AND z GROUP BY 1, 2),
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 src_oil AS (
   SELECT CAST(o_orderdate AS DATE) AS date, ROUND(AVG(o_totalprice) / 1000, 2) AS dcoilwtico
   FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) <= 5 GROUP BY 1),
@@ -42,7 +41,8 @@ src_holidays AS (
 WAREHOUSE = """
 train AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY date, store_nbr, family) AS id, s.*,
   CASE WHEN onpromotion > 0 THEN 1 ELSE 0 END AS is_promotion FROM src_sales s),
-calendar AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+calendar_span AS (SELECT MIN(date) AS a, MAX(date) AS z FROM (SELECT date FROM src_sales UNION ALL SELECT date FROM src_transactions)),
+calendar AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS d FROM calendar_span),
 dim_date AS MATERIALIZED (
   SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, d AS full_date, day(d) AS day,
          isodow(d) - 1 AS day_of_week, dayname(d) AS day_name, weekofyear(d) AS week_of_year,
