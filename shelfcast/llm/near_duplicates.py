@@ -242,14 +242,16 @@ def payloads(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = found.where(F.col("kind") != DOC)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     packed = common.map_batches(docs.where("doc_id IS NOT NULL"), work, "id long, payload binary", "text")
-    return packed.join(ids, "id", "left_semi")
+    return packed.join(ids.hint("merge"), "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) with the size of the intersection and the sum of both sizes, from whole texts."""
+    """Pairs (a, b) with the size of the intersection and the sum of both sizes, from whole texts.
+
+    Texts are always joined by sorting, so that small and large tables take the same way."""
     pairs = pairs.select("a", "b").distinct()
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "payload": "first"}), "a").join(
-        texts.withColumnsRenamed({"id": "b", "payload": "second"}), "b").select("a", "b", "first", "second")
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "payload": "first"}).hint("merge"), "a").join(
+        texts.withColumnsRenamed({"id": "b", "payload": "second"}).hint("merge"), "b").select("a", "b", "first", "second")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         expand = zstandard.ZstdDecompressor()
