@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def window_codes(words: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _usable(piece: pa.RecordBatch) -> pa.RecordBatch:
-    return piece.filter(pa.compute.is_valid(piece.column(0))) if piece.column(0).null_count else piece
+    return piece.filter(pc.is_valid(piece.column(0))) if piece.column(0).null_count else piece
 
 
 def _distinct(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -106,7 +107,7 @@ def _rows(state: int, columns: dict[str, np.ndarray], chosen: np.ndarray, bucket
 
 
 def _read(rows: pa.Table, *states: int) -> pa.Table:
-    return rows.filter(pa.compute.is_in(rows["state"], value_set=pa.array(states, pa.int32())))
+    return rows.filter(pc.is_in(rows["state"], value_set=pa.array(states, pa.int32())))
 
 
 def shared_anchors(docs: DataFrame, buckets: int, most: int = FLUSH_ENTRIES) -> DataFrame:
