@@ -1,3 +1,7 @@
+"""Tables and texts for the tests of this folder."""
+
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,3 +16,13 @@ def frame(spark):
         extra = ["bucket", "group", "payload", "label", "component_id", "spans", "items", "score", "kept", "id", "a", "b", "codes"]
         return df.withColumns({x: F.lit("clash") for x in extra if x not in df.columns})
     return make
+
+
+def prose(seed, words, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words))
+
+
+def edited(text, seed, share):
+    rng = random.Random(seed)
+    return " ".join(f"x{seed}e{i}" if rng.random() < share else w for i, w in enumerate(text.split()))

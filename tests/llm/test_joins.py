@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest_llm import edited, prose
+from llm_tables import edited, frame, prose  # noqa: F401
 
 from shelfcast.llm import common, decontaminate, near_duplicates, substrings
 from shelfcast.llm.components import components

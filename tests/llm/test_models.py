@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import prose
+from llm_tables import frame, prose  # noqa: F401
 
 import corpus_pipeline
 from shelfcast.llm import common, decontaminate, mixing, near_duplicates, pii, quality

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest_llm import prose
+from llm_tables import frame, prose  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

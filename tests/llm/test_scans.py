@@ -3,6 +3,7 @@ import hashlib
 import re
 
 import pytest
+from llm_tables import frame  # noqa: F401
 
 from shelfcast.llm import common, pii, secrets
 
