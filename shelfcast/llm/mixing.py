@@ -11,8 +11,9 @@ preconditioned by the tokens, so a step changes x_d by p_d . (E - t) / c + ridge
 each is one distributed sum of as many numbers as there are domains. Rates are a function of the posteriors and of the
 residuals so far; tasks replay them, so there is no state to keep or to lose.
 
-Domains are pairs of labels. The classifier takes a bounded sample: at most ``SAMPLE_ROWS`` labelled documents per domain
-in hash order of their id, of at most ``SAMPLE_CHARS`` characters. All else covers all documents, read whole.
+Domains are pairs of labels. The classifier takes a bounded sample of the documents given: at most ``SAMPLE_ROWS`` labelled
+documents per domain in hash order of their id, of at most ``SAMPLE_CHARS`` characters. Its posteriors have the domain shares of
+all labelled documents given that have text. All else covers all documents, read whole.
 
 Null and empty texts have no tokens: their rate is as the posteriors say, and they add nothing to totals. Null labels are not
 learned from; several labels of a document give one domain (the rounded means). A domain without documents cannot reach its
@@ -98,14 +99,21 @@ def softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def domain_sample(docs: DataFrame, labels: DataFrame, domains: list[tuple[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Bounded training texts with their domain, and the labelled documents of each domain."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality, toxic and usable (short enough to learn from) of the labelled documents among ``docs`` that have text."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         (F.avg("quality") >= 0.5).cast("int").alias("quality"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    given = docs.where(F.length("text") > 0).groupBy("doc_id").agg(F.max(F.length("text") <= SAMPLE_CHARS).alias("usable"))
+    return known.join(given, "doc_id")
+
+
+def domain_sample(docs: DataFrame, labels: DataFrame, domains: list[tuple[int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Bounded training texts with their domain, and the labelled documents of each domain among ``docs``."""
+    known = stored(labelled(docs, labels), "labelled")  # read for the counts and for each domain
     counts = {(r["quality"], r["toxic"]): r["n"] for r in known.groupBy("quality", "toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [(r["doc_id"], i) for i, (q, t) in enumerate(domains) for r in known.where((F.col("quality") == q) & (F.col("toxic") == t)).orderBy(
-        *order).limit(SAMPLE_ROWS).select("doc_id").collect()]
+    chosen = [(r["doc_id"], i) for i, (q, t) in enumerate(domains) for r in known.where(
+        F.col("usable") & (F.col("quality") == q) & (F.col("toxic") == t)).orderBy(*order).limit(SAMPLE_ROWS).select("doc_id").collect()]
     totals = np.array([counts.get(d, 0) for d in domains], float)
     if not chosen:
         return [], np.empty(0, int), totals

@@ -106,6 +106,22 @@ def test_unreachable_domain(frame):
     assert all(np.isfinite(r["rate"]) for r in rows)
 
 
+def test_labels_of_the_documents_given(frame, monkeypatch):
+    """A stage that follows a filter learns from, and has the domain shares of, what the filter left."""
+    texts = [(i, junk(i, 30) if i % 2 else prose(i, 30)) for i in range(600)]
+    marks = [(i, 1 - i % 2, 0) for i in range(600)]
+    left = [x for x in texts if x[0] % 2 == 0 or x[0] % 20 == 1]
+    rows = mixing.mix(frame([*left, (601, ""), (603, "w1 " * 9000)]), frame([*marks, (601, 0, 0), (603, 0, 0)], LABELS)).collect()
+    domains = sorted(mixing.TARGETS)
+    mean = np.mean([r["posterior"] for r in rows if r["n_tokens"]], axis=0)
+    assert abs(mean[domains.index((0, 0))] - 31 / 331) < 0.02 and abs(mean[domains.index((1, 0))] - 300 / 331) < 0.02
+    monkeypatch.setattr(mixing, "SAMPLE_ROWS", 25)
+    found, domain, totals = mixing.domain_sample(common.documents(frame([*left, (601, ""), (603, "w1 " * 9000)]), "doc_id", "text"),
+                                                 frame([*marks, (601, 0, 0), (603, 0, 0)], LABELS), domains)
+    assert np.bincount(domain, minlength=4).tolist() == [25, 0, 25, 0] and totals.tolist() == [31, 0, 300, 0]
+    assert set(found) <= {t for _, t in left}
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_is_its_stages_in_turn(spark, folder):
