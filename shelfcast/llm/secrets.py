@@ -2,7 +2,9 @@
 
 The lexer reads ``name = literal``, ``name: literal``, ``name => literal`` and sums of literals and names. A name
 bound to a literal is a constant, so ``x = "..."`` followed by ``password = x`` marks the literal of ``x``.
-A literal is scored by the sensitive words in its target name and by how evenly its characters are used.
+A literal is scored by the sensitive words in its target name and by how evenly its characters are used; each has a bound
+of its own, so every listed word can mark a literal. Names of less weight also stand for much that is no secret: their
+literals need signs that words and paths do not have.
 
 Null text is empty and has no spans; repeated rows are scanned like any other row; an empty table gives no rows.
 Spans count code points, end exclusive, and are ordered by start, kind and end. Only the id and text columns are
@@ -36,14 +38,18 @@ NAME_WEIGHTS = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "bearer": 0.8,
     "signature": 0.5, "salt": 0.5, "key": 0.5,
 }
-#: Least score and length of an added literal.
-LEAST_SCORE, LEAST_LENGTH = 0.55, 8
+#: Least evenness and length of an added literal, and the weight from which any literal in quotes counts.
+LEAST_EVENNESS, LEAST_LENGTH, STRONG_WEIGHT = 0.55, 8, 0.8
+#: Below ``STRONG_WEIGHT``: least weight at which any sign that is no letter or digit tells, and least length of digits alone.
+MIDDLE_WEIGHT, DIGITS_LENGTH = 0.6, 16
 
 _OPERATOR = re.compile(r"[:=]+>?")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]{0,2}[ \t]*\Z""")
 _TERM = re.compile(
     r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$@!#%^&*~?-]+))[ \t]*""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+_QUOTES = frozenset("\"'`")
+_KEY_SIGN = re.compile(r"[+=$@!#%^&*~?]")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
@@ -82,6 +88,17 @@ def evenness(literal: str) -> float:
     return entropy / math.log2(min(n, 64))
 
 
+def tells(value: str, weight: float, quoted: bool) -> bool:
+    """Whether a literal under a name of this weight reads as a secret and not as a word, a name or a path."""
+    if weight >= MIDDLE_WEIGHT and (any(c.isdigit() for c in value) or not value.isalnum()):
+        return True
+    if weight >= STRONG_WEIGHT:  # words only: as long as the base pattern wants them, unless in quotes
+        return quoted or len(value) >= ASSIGN_LENGTH
+    if any(c.isdigit() for c in value):
+        return any(c.isalpha() for c in value) or len(value) >= DIGITS_LENGTH
+    return not any(c.isspace() for c in value) and bool(_KEY_SIGN.search(value))
+
+
 def terms(text: str, at: int) -> list[tuple[str | None, str, int, int]]:
     """Literals and names of ``a + "b" + c`` from ``at`` on: (literal or None, name, start, end)."""
     out = []
@@ -119,9 +136,10 @@ def assigned_spans(text: str) -> list[tuple]:
         value = "".join(x for x, _, _ in literals)
         if not weight or len(value) < LEAST_LENGTH:
             continue
-        score = weight * evenness(value)
-        mixed = any(c.isdigit() for c in value) or any(not c.isalnum() for c in value)
-        if score >= LEAST_SCORE and mixed:
+        even = evenness(value)
+        score = weight * even
+        quoted = any(text[start - 1:start] in _QUOTES for _, start, _ in literals)
+        if even >= LEAST_EVENNESS and tells(value, weight, quoted):
             kind = "constant" if through else "literal"
             found += [(kind, start, end, name[1], round(score, 6), False) for x, start, end in literals if x]
     return found

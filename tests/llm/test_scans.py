@@ -78,6 +78,21 @@ def test_assignments_and_constants():
     assert secrets.name_weight("dbPassword") == 1.0 and secrets.name_weight("monkey") == 0
 
 
+@pytest.mark.parametrize("name", [*secrets.NAME_WEIGHTS, "encryption_key", "signing_key", "ssh_key", "requestSignature", "pwd_salt"])
+def test_every_listed_name_can_mark(name):
+    for value in ("q9Zt+Lw4/RxVb7Nc2HsKd8Yf3MgPj5Ua", "aB3$dE5!", "Xk+QzRtLpWvBnMcJ=="):
+        found = values(f'{name} = "{value}"', secrets.scan_text(f'{name} = "{value}"'))
+        assert found == [("literal", value)] or any(x[-1] for x in secrets.scan_text(f'{name} = "{value}"')), (name, value)
+
+
+def test_words_under_strong_and_weak_names():
+    for text in ('pwd = "SuperSecretPhrase"', "pwd=SuperSecretPhrase\n"):
+        assert values(text, secrets.scan_text(text)) == [("literal", "SuperSecretPhrase")]
+    for text in ('key = "user.name"', "key: well-known", 'key = "Content-Type"', "sort(key=operator.itemgetter)", "pwd: required",
+                 'key = "press any of these!"', "key = 20240101", 'pwd = "aaaaaaaaaaaa"', 'monkey = "q9Zt+Lw4/RxVb7Nc2HsKd8Yf"'):
+        assert secrets.scan_text(text) == [], text
+
+
 @pytest.mark.parametrize("text,kind,span", [
     ("write to ann dot lee at example dot com today", "email", "ann dot lee at example dot com"),
     ("ann [at] example (dot) org", "email", "ann [at] example (dot) org"),
