@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import common
+from shelfcast.llm.endings import ENDINGS
 
 # Fixed values of the contract: the base patterns.
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -49,16 +50,24 @@ DIGIT_WORDS = {
 LEAST_SPELLED = 7
 
 _AT_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.|punkt|punto|point|arroba)[ \t]*[\])}>][ \t]*", re.I)
-# What a host ends in after a spoken dot; other words after "dot" are ordinary text.
-_TOP_LEVEL = ("com|org|net|edu|gov|mil|int|info|biz|io|dev|app|ai|me|tv|co|uk|us|eu|de|fr|es|it|nl|ch|at|be|pl|pt|se|no|dk|fi|cz|"
-              "ru|ua|jp|cn|in|br|mx|ar|ca|au|nz|za|test|example|invalid|local")
+# Spoken at sign and dot, or a written one in either place; which of them make an address is settled by ``address_end``.
+_DOT = r"(?:[ \t]+dot[ \t]+|\.)"
 _SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9_%+-]+){0,4}[ \t]+at[ \t]+"
-    rf"[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{_TOP_LEVEL})(?![A-Za-z0-9])", re.I)
-_SPOKEN_SIGN = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9_%+-]+){0,4}(?P<at>@|[ \t]+(?:at|@)[ \t]+)"
+    rf"(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.I)
+_SPOKEN_HOST = re.compile(rf"({_DOT})([A-Za-z0-9-]+)", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![A-Za-z0-9.])[0-9]+(?:{_DOT}[0-9]+){{3}}(?![A-Za-z0-9])", re.I)
+_SPOKEN_SIGN = re.compile(r"[ \t]+(at|@|dot)[ \t]+", re.I)
+#: Endings that are read after any host; others not where the host is one of ``_NOT_HOSTS`` ("look at this dot here").
+_USUAL_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io dev app ai me tv co uk us eu de fr es it nl ch at be pl pt se no dk fi cz "
+    "ru ua jp cn in br mx ar ca au nz za test example invalid local".split())
+_NOT_HOSTS = frozenset("the this that these those a an each every my your his her its our their some any which what no one".split())
+# A label up to its first hyphen, unless it is an encoded one.
+_ENDING = re.compile(r"xn--[A-Za-z0-9-]*[A-Za-z0-9]|[A-Za-z0-9]+", re.I)
 _NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(
-    rf"(?<![^\W_])(?:(?:plus|\+)[ \t]*)?(?:(?:{_NUMBER_WORD})|[0-9])(?:[ \t,.\-]{{0,2}}(?:(?:{_NUMBER_WORD})(?![^\W_])|[0-9]))"
+    rf"(?<![^\W_])(?:(?:plus|\+)[ \t\r\n(]{{0,4}})?(?:(?:{_NUMBER_WORD})|[0-9])(?:[ \t\r\n,.()\-]{{0,4}}(?:(?:{_NUMBER_WORD})(?![^\W_])|[0-9]))"
     rf"{{{LEAST_SPELLED - 1},}}(?![^\W_])", re.I)
 _SPELLED_TERM = re.compile(rf"plus|\+|{_NUMBER_WORD}|[0-9]", re.I)
 
@@ -151,13 +160,49 @@ def fold_look_alikes(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), table[ord(m[0])]) for m in _look_alike_class().finditer(tape.text)])
 
 
+def address_end(tape: Tape, m: re.Match) -> int:
+    """Where the spoken address of a match ends, or 0 if it is ordinary text.
+
+    An at sign that is written or in brackets is certain, and so is a dot in brackets: the host may then end in any label of
+    two or more letters. Otherwise one dot is spoken and the ending is one that exists."""
+    certain = m["at"] == "@"
+    spoken = bool(certain and _SPOKEN_SIGN.search(m[0], 0, m.start("at") - m.start()))
+    known = likely = 0
+    first = _ENDING.match(m["host"])
+    for part in _SPOKEN_HOST.finditer(m["host"]):
+        label, at = _ENDING.match(part[2]), m.start("host") + part.start()
+        if not label:
+            break
+        if part[1] == ".":  # one that was in brackets stands for more than one character
+            folded = tape.end[at] - tape.start[at] > 1
+            certain |= folded
+            spoken |= folded
+        else:
+            spoken = True
+        ending, end = label[0].lower(), m.start("host") + part.start(2) + label.end()
+        if not spoken or len(ending) < 2:
+            continue
+        if ending in _USUAL_ENDINGS or ending in ENDINGS and (certain or not first or first[0].lower() not in _NOT_HOSTS):
+            known = end
+        elif certain and (ending.isalpha() or ending.startswith("xn--")):
+            likely = end
+    return known or likely
+
+
 def fold_at_dot(tape: Tape) -> None:
-    """Bracketed at and dot anywhere; bare words only in a whole ``name at host dot tld``."""
+    """Bracketed at and dot anywhere; bare words only in a whole address, with signs of either kind."""
     tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else ".")
                   for m in _AT_DOT.finditer(tape.text)])
-    changes = [(s.start() + m.start(), s.end() + m.start(), "@" if s[1].lower() == "at" else ".")
-               for m in _SPOKEN.finditer(tape.text) for s in _SPOKEN_SIGN.finditer(m[0])]
+    changes, last = [], 0
+    while m := _SPOKEN.search(tape.text, last):
+        last = address_end(tape, m)
+        if last:
+            changes += [(s.start(), s.end(), "." if s[1].lower() == "dot" else "@") for s in _SPOKEN_SIGN.finditer(tape.text, m.start(), last)]
+        else:  # an address may begin within it
+            last = m.end("at")
     tape.rewrite(changes)
+    tape.rewrite([(s.start(), s.end(), ".") for m in _SPOKEN_IP.finditer(tape.text)
+                  for s in _SPOKEN_SIGN.finditer(tape.text, m.start(), m.end())])
 
 
 def fold_spelled_digits(tape: Tape) -> None:
@@ -206,7 +251,7 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 # that are glued to others ("555") count as one word here.
 _SPELLED_SIGNS = frozenset(x.encode() for x in [*DIGIT_WORDS, *map(str, range(1000))])
 _SPELLED_RUN = b"\x01" * 3
-_SPACED = bytes.maketrans(b",.-\t", b"    ")
+_SPACED = bytes.maketrans(b",.-()\t", b"      ")
 # No look-alike is ASCII or has the UTF-8 lead byte 0xC3 (accented Latin letters).
 _PLAIN_BYTES = bytes([*range(0xC0), 0xC3])
 _DIGITS_ONLY = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]*\Z")

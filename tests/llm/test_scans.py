@@ -106,6 +106,37 @@ def test_disguises(text, kind, span):
     assert span not in pii.redact_text(text) and f"[{kind}]" in pii.redact_text(text)
 
 
+@pytest.mark.parametrize("span", [
+    "ann (at) example dot com", "ann at example [dot] com", "ann@example dot com", "ann dot lee (at) mail dot example [dot] org",
+    "ann at mail [dot] example dot com", "ann {at} example.co dot uk", "x at mail dot xyz", "x at mail dot museum", "ann (at) host dot intranet",
+    "ann @ example dot com", "ann at mail dot example.com"])
+def test_mixed_signs(span):
+    for text in (f"so {span}, today", span, f"look at this dot {span} or call"):
+        found = [x for x in values(text, pii.scan_text(text)) if x[0] == "email"]
+        assert len(found) == 1 and found[0][1].endswith(span), (text, found)
+        assert span.split()[-1] not in pii.redact_text(text)
+
+
+@pytest.mark.parametrize("text,kind,span", [
+    ("at 192 dot 168 dot 10 dot 7 now", "ip", "192 dot 168 dot 10 dot 7"),
+    ("at 192.168 dot 10 [dot] 7 now", "ip", "192.168 dot 10 [dot] 7"),
+    ("tel seven zero six - five five five - three one three eight.", "phone", "seven zero six - five five five - three one three eight"),
+    ("tel seven zero six\nfive five five\r\nthree one three eight.", "phone", "seven zero six\nfive five five\r\nthree one three eight"),
+    ("tel (seven zero six) five five five - three one three eight.", "phone", "seven zero six) five five five - three one three eight"),
+    ("tel plus one (seven zero six) - five five five, three one three eight.", "phone",
+     "plus one (seven zero six) - five five five, three one three eight"),
+])
+def test_dotted_numbers_and_broken_digits(text, kind, span):
+    assert (kind, span) in values(text, pii.scan_text(text))
+    assert span not in pii.redact_text(text) and f"[{kind}]" in pii.redact_text(text)
+
+
+@pytest.mark.parametrize("text", ["visit us at example.com today", "look at this dot here", "300 dot 1 dot 2 dot 3", "meet at noon dot then go",
+                                  "one\n\ntwo - (three)", "look at the dot near a line"])
+def test_ordinary_signs_are_left_alone(text):
+    assert pii.scan_text(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at this dot on the map", "one two three", "un un un un un un un un un un", "Größe éèê ñ ß", "meet at noon"])
 def test_plain_text_is_left_alone(text):
     assert pii.scan_text(text) == [] and pii.redact_text(text) == text
