@@ -11,15 +11,19 @@ from shelfcast.plans.forecast_queries import _labels, _scores
 from shelfcast.plans.registry import query
 from shelfcast.plans.workspace import Workspace
 
-# A short boosting schedule keeps the registered runs to minutes; the library defaults are longer.
-SHORT = model.TreeParameters(step_size=0.3, rounds=5, max_depth=4)
+#: Every registered model is fitted on the library's whole schedule.
+FULL = model.TreeParameters()
 
 
-def _shortened(parameters: model.TreeParameters) -> model.TreeParameters:
-    from dataclasses import replace
+def _choice(ws: Workspace, path: str) -> dict:
+    """The configuration that the parameter search marked, saved below ``path`` and read back."""
+    results = ws.stored("result_tuning", lambda: tuning_summary(ws))
+    selection.save_selection(results, selection.NO_HOLIDAY, path)
+    return selection.load_selection(ws.spark, path)
+
 
-    return replace(parameters, step_size=SHORT.step_size, rounds=SHORT.rounds,
-                   max_depth=parameters.max_depth - 1)
+def _chosen_parameters(chosen: dict) -> model.TreeParameters:
+    return model.TreeParameters(**{name: chosen[name] for name in FULL.as_row()})
 
 
 def _oof(ws: Workspace) -> DataFrame:
@@ -27,7 +31,7 @@ def _oof(ws: Workspace) -> DataFrame:
     actual = ws.rollup()["train"]
     return ws.stored("result_model_oof", lambda: backtest.backtest(
         ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual, first_fold=0),
-        SHORT, selection.NO_HOLIDAY))
+        FULL, selection.NO_HOLIDAY))
 
 
 def _folds(ws: Workspace) -> DataFrame:
@@ -44,7 +48,7 @@ query("m18_model_leaderboard")(lambda ws: evaluate.leaderboard(
 @query("g10_feature_importance")
 def feature_importance(ws: Workspace) -> DataFrame:
     train = ws.rollup()["train"]
-    fitted = model.train_global_model(ws.training_frame(), train.agg(F.max("date")).first()[0], SHORT)
+    fitted = model.train_global_model(ws.training_frame(), train.agg(F.max("date")).first()[0], FULL)
     return fitted.importances()
 
 
@@ -53,7 +57,7 @@ def ablation_summary(ws: Workspace) -> DataFrame:
     actual = ws.rollup()["train"]
     scores = backtest.run_experiments(
         ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual),
-        {name: (SHORT, columns) for name, columns in selection.EXPERIMENTS.items()}, f"{ws.root}/ablation_scores")
+        {name: (FULL, columns) for name, columns in selection.EXPERIMENTS.items()}, f"{ws.root}/ablation_scores")
     baseline = _scores(ws).filter("model = 'rolling_historical_median_28d'").select(
         F.lit("M0").alias("experiment"), "fold", "rmsle", "mae", "wape")
     return ws.stored("result_ablation", lambda: selection.summarize_ablation(baseline.unionByName(scores)))
@@ -65,23 +69,20 @@ query("g13_recommended_experiment")(lambda ws: selection.recommended_experiment(
 @query("g14_g15_g17_tuning_summary")
 def tuning_summary(ws: Workspace) -> DataFrame:
     actual = ws.rollup()["train"]
-    grid = {name: _shortened(parameters) for name, parameters in selection.GRID.items()}
     scores = backtest.run_experiments(
         ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual),
-        {name: (parameters, selection.NO_HOLIDAY) for name, parameters in grid.items()}, f"{ws.root}/tuning_scores")
-    return selection.summarize_tuning(scores, grid)
+        {name: (parameters, selection.NO_HOLIDAY) for name, parameters in selection.GRID.items()}, f"{ws.root}/tuning_scores")
+    return selection.summarize_tuning(scores)
 
 
 @query("g18_g19_stored_selection")
 def stored_selection(ws: Workspace) -> DataFrame:
     """The chosen settings saved and read back, with the stored model's predictions counted."""
     path = f"{ws.root}/selection"
-    results = ws.stored("result_tuning", lambda: tuning_summary(ws))
-    selection.save_selection(results, selection.NO_HOLIDAY, path)
-    chosen = selection.load_selection(ws.spark, path)
+    chosen = _choice(ws, path)
     train = ws.rollup()["train"]
     last = train.agg(F.max("date")).first()[0]
-    model.train_global_model(ws.training_frame(), last, SHORT, chosen["feature_list"]).save(f"{path}/model")
+    model.train_global_model(ws.training_frame(), last, _chosen_parameters(chosen), chosen["feature_list"]).save(f"{path}/model")
     loaded = model.GlobalModel.load(f"{path}/model")
     scored = model.predict_sales(loaded, ws.training_frame().filter("sales IS NOT NULL"))
     return scored.agg(F.count("prediction").alias("scored_rows"), F.min("prediction").alias("smallest")).withColumns({
@@ -91,7 +92,7 @@ def stored_selection(ws: Workspace) -> DataFrame:
 def _two_stage_oof(ws: Workspace) -> DataFrame:
     actual = ws.rollup()["train"]
     return ws.stored("result_two_stage_oof", lambda: backtest.backtest(
-        ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual), SHORT,
+        ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual), FULL,
         selection.NO_HOLIDAY, predictor=model.predict_two_stage, train=model.train_two_stage_model))
 
 
@@ -121,9 +122,10 @@ def final_forecast(ws: Workspace) -> DataFrame:
     from shelfcast.sources.sinks import publish
 
     rolled = ws.rollup()
+    chosen = _choice(ws, f"{ws.root}/final_selection")
     _, result = submission.train_and_forecast(
-        rolled["train"], rolled["future"], rolled["stores"], rolled["raw_holidays"], SHORT,
-        selection.NO_HOLIDAY, cross_product=False)
+        rolled["train"], rolled["future"], rolled["stores"], rolled["raw_holidays"], _chosen_parameters(chosen),
+        chosen["feature_list"], cross_product=False)
 
     def validate(stored: DataFrame) -> None:
         submission.validate_submission(stored.select("id", "sales"), rolled["future"], rolled["train"], False)
