@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import chat, decontaminate, mixing, near_duplicates, pii, quality, secrets, substrings, topk, urls
+from shelfcast.llm import chat, decontaminate, mixing, near_duplicates, packing, pii, quality, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
@@ -19,4 +19,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": near_duplicates.near_duplicate_classes,
     "op9_top_k_search": topk.nearest_vectors,
     "op10_mixing": mixing.mixture,
+    "op11_packing": packing.packed_pieces,
 }

@@ -7,7 +7,7 @@ from shelfcast.llm import oracles, queries
 
 def test_names():
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda x: int(x[2:].split("_")[0]))] == [f"op{i}" for i in range(1, len(queries.QUERIES) + 1)]
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
