@@ -93,6 +93,52 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+# A field is its bytes counted, or a sign for null; crc32 goes bit by bit.
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  [CAST((ascii(substr(CAST({0} AS VARCHAR), 1 + k // 8, 1)) >> CAST(k % 8 AS INT)) & 1 AS BIGINT) for k in range(8 * length(CAST({0} AS VARCHAR)))]),
+  lambda c, b: CASE WHEN (xor(c, b) & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_PARENTS = "[sha256(array_to_string(nodes[8 * i + 1:8 * i + 8], '')) for i in range((len(nodes) + 7) // 8)]"
+
+MANIFEST = f"""
+WITH RECURSIVE plain AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format('text')} AS leaf,
+         CASE WHEN {CRC32.format('doc_id')} % 3 = 0
+              THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents),
+d AS (
+  SELECT r, doc_id, lang, leaf, coalesce(changed, leaf) AS claim,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM plain),
+lower_trees AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM d GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_PARENTS} FROM lower_trees WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM lower_trees WHERE len(nodes) = 1),
+upper_tree AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_PARENTS} FROM upper_tree WHERE len(nodes) > 1),
+nodes AS (
+  SELECT false AS top, lang, level, nodes FROM lower_trees WHERE len(nodes) > 1
+  UNION ALL SELECT true, subroots.lang, level, nodes FROM upper_tree CROSS JOIN subroots WHERE len(nodes) > 1),
+walk AS (
+  SELECT r, lang, false AS top, 0 AS level, pos, claim, '' AS beside FROM d
+  UNION ALL
+  SELECT walk.r, walk.lang, walk.top OR nodes IS NULL, CASE WHEN nodes IS NULL THEN 0 ELSE walk.level + 1 END,
+         CASE WHEN nodes IS NULL THEN subroots.pos ELSE walk.pos // 8 END,
+         CASE WHEN nodes IS NULL THEN claim ELSE sha256(array_to_string(nodes[walk.pos // 8 * 8 + 1:walk.pos], '') || claim
+              || array_to_string(nodes[walk.pos + 2:walk.pos // 8 * 8 + 8], '')) END,
+         CASE WHEN nodes IS NULL THEN beside ELSE beside || array_to_string(nodes[walk.pos // 8 * 8 + 1:walk.pos], '')
+              || array_to_string(nodes[walk.pos + 2:walk.pos // 8 * 8 + 8], '') END
+  FROM walk JOIN subroots ON walk.lang IS NOT DISTINCT FROM subroots.lang
+  LEFT JOIN nodes ON nodes.lang IS NOT DISTINCT FROM walk.lang AND nodes.top = walk.top AND nodes.level = walk.level
+  WHERE nodes IS NOT NULL OR NOT walk.top),
+ends AS (SELECT r, arg_max(claim, (top, level)) AS folded_root, arg_max(beside, (top, level)) AS beside FROM walk GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN subroots ON d.lang IS NOT DISTINCT FROM subroots.lang JOIN ends USING (r)
+CROSS JOIN (SELECT nodes[1] AS root FROM upper_tree WHERE len(nodes) = 1)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": CONVERSATIONS,
     "op3_decontamination": CONTAMINATION,
@@ -100,4 +146,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": SUBSTRINGS,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_top_k_search": TOP_K,
+    "op12_merkle_manifest": MANIFEST,
 }
