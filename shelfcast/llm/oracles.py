@@ -139,6 +139,33 @@ FROM d JOIN subroots ON d.lang IS NOT DISTINCT FROM subroots.lang JOIN ends USIN
 CROSS JOIN (SELECT nodes[1] AS root FROM upper_tree WHERE len(nodes) = 1)
 """
 
+TRIE = f"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, list({{'k': md5(strlen(role) || ':' || role || text), 'b': strlen(text)}}
+                 ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS ts, {CRC32.format('c')} % 9 AS h FROM turns GROUP BY c),
+built AS (
+  SELECT a.c, coalesce(b.ts[1:a.h], []) || a.ts[a.h + 1:] AS ts FROM convs AS a LEFT JOIN convs AS b ON b.c = a.c - a.c % 5),
+chains AS (
+  SELECT c, ts, unnest(range(len(ts) + 1)) AS depth FROM built),
+at_node AS (
+  SELECT c, depth, len(ts) AS n, array_to_string([x['k'] for x in ts[1:depth]], '') AS node,
+         array_to_string([x['k'] for x in ts[1:depth - 1]], '') AS parent, CASE WHEN depth > 0 THEN ts[depth]['b'] ELSE 0 END AS b FROM chains),
+nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+  FROM at_node GROUP BY node, depth),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+under AS (
+  SELECT substr(x.node, 1, 32 * unnest(range(x.depth + 1))) AS node, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, (x.n_convs - 1) * x.b AS saved
+  FROM nodes AS x LEFT JOIN kids USING (node)),
+sums AS (SELECT node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM under GROUP BY node)
+SELECT nodes.conv_id, nodes.depth, p.conv_id AS parent_conv_id, nodes.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums USING (node) LEFT JOIN kids USING (node)
+LEFT JOIN nodes AS p ON nodes.depth > 0 AND p.node = nodes.parent
+"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": CONVERSATIONS,
     "op3_decontamination": CONTAMINATION,
@@ -147,4 +174,5 @@ ORACLES: dict[str, str] = {
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op9_top_k_search": TOP_K,
     "op12_merkle_manifest": MANIFEST,
+    "op13_prefix_trie": TRIE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import chat, decontaminate, manifest, mixing, near_duplicates, packing, pii, quality, secrets, substrings, topk, urls
+from shelfcast.llm import chat, decontaminate, manifest, mixing, near_duplicates, packing, pii, quality, secrets, substrings, topk, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.quality_scores,
@@ -21,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.mixture,
     "op11_packing": packing.packed_pieces,
     "op12_merkle_manifest": manifest.document_manifest,
+    "op13_prefix_trie": trie.conversation_trie,
 }
