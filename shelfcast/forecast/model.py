@@ -1,42 +1,25 @@
-"""Global boosted-tree models on Spark ML: one model for all series."""
+"""Global boosted-tree models: one model for all series, many fits in one job."""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfcast.operators.features import CATEGORICAL, Date, date_value, model_columns
-from shelfcast.session import shared_folder
+from shelfcast.forecast import boosting
+from shelfcast.forecast.boosting import MISSING, Ensemble, Fit, TreeParameters
+from shelfcast.operators.features import CATEGORICAL, FEATURES, Date, date_value, model_columns
+from shelfcast.schemas import SALES_GRAIN
 
-# Trees have no branch for missing values; all features are at least zero, so a negative
-# number keeps missing ones apart.
-MISSING = -1.0
-
-
-@dataclass(frozen=True)
-class TreeParameters:
-    """Boosting settings; the defaults follow a slow, lightly regularised schedule."""
-
-    step_size: float = 0.05
-    rounds: int = 250
-    max_depth: int = 5
-    min_rows_per_leaf: int = 100
-    feature_fraction: float = 0.9
-    row_fraction: float = 0.9
-    seed: int = 42
-    max_bins: int = 64
-
-    def as_row(self) -> dict[str, float]:
-        return {"step_size": self.step_size, "rounds": self.rounds, "max_depth": self.max_depth,
-                "min_rows_per_leaf": self.min_rows_per_leaf, "feature_fraction": self.feature_fraction,
-                "row_fraction": self.row_fraction}
+#: Ends the names of encoded features.
+INPUT = "_input"
 
 
 def encode_categories(frame: DataFrame, columns: list[str] | None = None):
@@ -47,76 +30,109 @@ def encode_categories(frame: DataFrame, columns: list[str] | None = None):
         stringOrderType="alphabetAsc").fit(frame)
 
 
-def _vector_columns(features: list[str]) -> tuple[list[str], list[str]]:
+def encoded(frame: DataFrame, indexer: StringIndexerModel | None, features: Sequence[str], *kept: str) -> DataFrame:
+    """The ``kept`` columns and the features as numbers: categories by the order of their text, missing values by a marker."""
     categorical = [c for c in CATEGORICAL if c in features]
-    return categorical, [c for c in features if c not in categorical]
+    table = indexer.transform(frame) if categorical else frame
+    return table.select(*kept, *[input_column(c, c in categorical).alias(f"{c}{INPUT}") for c in features])
 
 
-def numeric_inputs(columns: list[str]) -> SQLTransformer:
-    """Pipeline stage: numeric features as doubles with the missing marker."""
-    inputs = ", ".join(f"coalesce(CAST({c} AS DOUBLE), {MISSING}) AS {c}_input" for c in columns)
-    return SQLTransformer(statement=f"SELECT *, {inputs} FROM __THIS__")
+def input_column(name: str, categorical: bool) -> Column:
+    if categorical:
+        return F.col(f"{name}_index").cast("double")
+    return F.coalesce(F.col(name).cast("double"), F.lit(MISSING))
 
 
 @dataclass
 class GlobalModel:
-    """Fitted pipeline with the feature list it was trained on."""
+    """Fitted trees with the feature list they were grown on."""
 
-    pipeline: PipelineModel
+    indexer: StringIndexerModel | None
+    trees: Ensemble
     features: list[str]
-    target: str = "log_sales"
 
-    def transform(self, frame: DataFrame) -> DataFrame:
-        return self.pipeline.transform(frame)
+    def predict(self, inputs: Mapping[str, np.ndarray]) -> np.ndarray:
+        """Sales, never negative, from inputs by name."""
+        return self.trees.predict(inputs)
+
+    def __getstate__(self):  # tasks need the trees only
+        return {"indexer": None, "trees": self.trees, "features": self.features}
 
     def importances(self) -> DataFrame:
-        """Features by importance, largest first."""
-        tree = self.pipeline.stages[-1]
-        categorical, numeric = _vector_columns(self.features)
-        values = tree.featureImportances.toArray()
+        """Features by their share of all gains, largest first."""
+        gains = self.trees.gains()
+        whole = sum(gains.values()) or 1.0
         rows = _active().createDataFrame(
-            [(name, float(v)) for name, v in zip([*categorical, *numeric], values)],
-            "feature string, importance double")
-        order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "feature")
+            [(name.removesuffix(INPUT), v / whole) for name, v in gains.items()], "feature string, importance double")
+        order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "feature")  # one row per feature
         return rows.withColumn("rank", F.row_number().over(order))
 
     def save(self, path: str) -> None:
-        """Pipeline and feature list below one path."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        _active().createDataFrame([(self.features, self.target)], "features array<string>, target string") \
+        """Trees, category order and feature list below one path."""
+        boosting.write_models(_active(), {"model": self.trees}, f"{path}/trees")
+        if self.indexer is not None:
+            self.indexer.write().overwrite().save(f"{path}/categories")
+        _active().createDataFrame([(self.features, self.indexer is not None)], "features array<string>, categories boolean") \
             .coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
     @classmethod
-    def load(cls, path: str) -> "GlobalModel":
-        row = _active().read.json(f"{path}/settings").first()
-        return cls(PipelineModel.load(f"{path}/pipeline"), list(row["features"]), row["target"])
+    def load(cls, path: str) -> GlobalModel:
+        row = _active().read.schema("features array<string>, categories boolean").json(f"{path}/settings").first()
+        indexer = StringIndexerModel.load(f"{path}/categories") if row["categories"] else None
+        return cls(indexer, boosting.read_models(_active(), f"{path}/trees")["model"], list(row["features"]))
+
+
+@dataclass
+class TwoStageModel:
+    """Probability of any sale times the size of a positive sale."""
+
+    occurrence: GlobalModel
+    magnitude: GlobalModel
+
+    @property
+    def indexer(self) -> StringIndexerModel | None:
+        return self.occurrence.indexer
+
+    @property
+    def features(self) -> list[str]:
+        return self.occurrence.features
+
+    def predict(self, inputs: Mapping[str, np.ndarray]) -> np.ndarray:
+        return self.occurrence.predict(inputs) * self.magnitude.predict(inputs)
 
 
 def _active() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
-def _fit(training: DataFrame, features: list[str], estimator, label: str) -> PipelineModel:
-    shared_folder(training.sparkSession)  # boosting cuts its lineage there
-    categorical, numeric = _vector_columns(features)
-    stages = [numeric_inputs(numeric)] if numeric else []
-    inputs = [f"{c}_input" for c in numeric]
-    if categorical:
-        indexer = encode_categories(training, categorical)
-        stages.append(indexer)
-        # The order of a category is split on like a number, however many values there are.
-        plain = ", ".join(f"{c}_index + 0.0 AS {c}_order" for c in categorical)
-        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-        inputs = [f"{c}_order" for c in categorical] + inputs
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"),
-               estimator.setFeaturesCol("features").setLabelCol(label)]
-    return Pipeline(stages=stages).fit(training)
+@dataclass(frozen=True)
+class Wanted:
+    """A model to fit: rows up to the cutoff, settings and features."""
+
+    cutoff: dt.date
+    parameters: TreeParameters
+    features: tuple[str, ...]
+    two_stage: bool = False
 
+    def fits(self, name: str) -> list[Fit]:
+        targets = ("any_sale", "log_positive") if self.two_stage else ("log_sales",)
+        return [Fit(f"{name}/{t}", self.cutoff, self.parameters, tuple(f"{c}{INPUT}" for c in self.features), t) for t in targets]
 
-def _settings(p: TreeParameters) -> dict:
-    return dict(stepSize=p.step_size, maxIter=p.rounds, maxDepth=p.max_depth, maxBins=p.max_bins,
-                minInstancesPerNode=p.min_rows_per_leaf, subsamplingRate=p.row_fraction,
-                featureSubsetStrategy=str(p.feature_fraction), seed=p.seed)
+
+def fit_models(frame: DataFrame, wanted: Mapping[str, Wanted]) -> dict[str, GlobalModel | TwoStageModel]:
+    """All models in one job; what was fitted before on the same rows with the same settings is read.
+
+    The order of categories is that of the whole frame, whose attributes are known ahead; targets after a cutoff are not read."""
+    needed = list(dict.fromkeys([*[c for c in FEATURES if c in frame.columns], *[c for w in wanted.values() for c in w.features]]))
+    categorical = [c for c in CATEGORICAL if c in needed]
+    indexer = encode_categories(frame, categorical) if categorical else None
+    rows = encoded(frame, indexer, needed, *SALES_GRAIN, "sales")
+    trees = boosting.fitted(rows, [f for name, w in wanted.items() for f in w.fits(name)])
+    out: dict[str, GlobalModel | TwoStageModel] = {}
+    for name, w in wanted.items():
+        made = [GlobalModel(indexer, trees[f.name], list(w.features)) for f in w.fits(name)]
+        out[name] = TwoStageModel(*made) if w.two_stage else made[0]
+    return out
 
 
 def training_rows(frame: DataFrame, cutoff: Date, check: bool = True) -> DataFrame:
@@ -131,44 +147,38 @@ def training_rows(frame: DataFrame, cutoff: Date, check: bool = True) -> DataFra
     return rows
 
 
+def _one(frame: DataFrame, cutoff: Date, parameters: TreeParameters | None, features: list[str] | None, check: bool, two_stage: bool):
+    selected = model_columns(frame, features)
+    if check:
+        training_rows(frame, cutoff)
+    day = dt.date.fromisoformat(str(cutoff))
+    return fit_models(frame, {"model": Wanted(day, parameters or TreeParameters(), tuple(selected), two_stage)})["model"]
+
+
 def train_global_model(frame: DataFrame, cutoff: Date, parameters: TreeParameters | None = None,
                        features: list[str] | None = None, check: bool = True) -> GlobalModel:
     """Boosted trees on log1p(sales) of all rows up to the cutoff; the fit is distributed."""
-    selected = model_columns(frame, features)
-    rows = training_rows(frame, cutoff, check).withColumn("log_sales", F.log1p("sales"))
-    trees = GBTRegressor(**_settings(parameters or TreeParameters()))
-    return GlobalModel(_fit(rows, selected, trees, "log_sales"), selected)
+    return _one(frame, cutoff, parameters, features, check, False)
 
 
-def predict_sales(model: GlobalModel, frame: DataFrame) -> DataFrame:
-    """The frame with a ``prediction`` column on the sales scale, never negative."""
-    scored = model.transform(frame)
-    value = F.greatest(F.expm1("prediction"), F.lit(0.0))
-    return scored.select(*frame.columns, value.alias("prediction"))
+def train_two_stage_model(frame: DataFrame, cutoff: Date, parameters: TreeParameters | None = None,
+                          features: list[str] | None = None, check: bool = True) -> TwoStageModel:
+    return _one(frame, cutoff, parameters, features, check, True)
 
 
-@dataclass
-class TwoStageModel:
-    """Probability of any sale times the size of a positive sale."""
+def predict_sales(model: GlobalModel | TwoStageModel, frame: DataFrame) -> DataFrame:
+    """The frame with a ``prediction`` column on the sales scale, never negative."""
+    kept = frame.columns
+    shared = frame.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*frame.schema.fields, T.StructField("prediction", T.DoubleType())])
+    inputs = [f"{c}{INPUT}" for c in model.features]
 
-    occurrence: GlobalModel
-    magnitude: GlobalModel
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = shared.value.predict({c: batch[c].to_numpy(zero_copy_only=False) for c in inputs})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(values, pa.float64())], [*kept, "prediction"])
 
+    return encoded(frame, model.indexer, model.features, *kept).mapInArrow(run, schema)
 
-def train_two_stage_model(frame: DataFrame, cutoff: Date, parameters: TreeParameters | None = None,
-                          features: list[str] | None = None, check: bool = True) -> TwoStageModel:
-    selected = model_columns(frame, features)
-    settings = _settings(parameters or TreeParameters())
-    rows = training_rows(frame, cutoff, check).withColumns({
-        "any_sale": (F.col("sales") > 0).cast("double"), "log_sales": F.log1p("sales")})
-    occurrence = _fit(rows, selected, GBTClassifier(**settings), "any_sale")
-    magnitude = _fit(rows.filter("sales > 0"), selected, GBTRegressor(**settings), "log_sales")
-    return TwoStageModel(GlobalModel(occurrence, selected, "any_sale"), GlobalModel(magnitude, selected))
-
-
-def predict_two_stage(model: TwoStageModel, frame: DataFrame) -> DataFrame:
-    chance = model.occurrence.transform(frame).select(
-        *frame.columns, vector_to_array("probability")[1].alias("_chance"))
-    sized = model.magnitude.transform(chance)
-    value = F.col("_chance") * F.greatest(F.expm1("prediction"), F.lit(0.0))
-    return sized.select(*frame.columns, value.alias("prediction"))
+
+predict_two_stage = predict_sales

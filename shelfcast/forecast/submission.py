@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.forecast.contract import assert_contract
-from shelfcast.forecast.model import GlobalModel, TreeParameters, train_global_model
-from shelfcast.forecast.recursive import recursive_forecast
+from shelfcast.forecast.backtest import Run, forecast_runs
+from shelfcast.forecast.boosting import TreeParameters
+from shelfcast.forecast.model import Wanted
 from shelfcast.functions.columns import is_finite
 from shelfcast.operators import features
 from shelfcast.operators.audit import assert_unique, require_columns
@@ -85,15 +84,16 @@ def ordered_id_hash(submission: DataFrame) -> DataFrame:
 
 def train_and_forecast(train: DataFrame, future: DataFrame, stores: DataFrame, holidays: DataFrame,
                        parameters: TreeParameters | None = None, columns: list[str] | None = None,
-                       cross_product: bool = True) -> tuple[GlobalModel, DataFrame]:
+                       cross_product: bool = True) -> DataFrame:
     """Fit the chosen settings on the whole history, forecast the horizon and validate it."""
     validate_future(future, train, cross_product)
     frame = final_inputs(train, future, stores, holidays)
     origin = train.agg(F.max("date")).first()[0]
     end = future.agg(F.max("date")).first()[0]
-    model = train_global_model(frame, origin, parameters, columns)
+    selected = tuple(features.model_columns(frame, columns))
     known = frame.drop(*features.LAG_FEATURES, *features.ROLLING_FEATURES)
-    predictions = recursive_forecast(model, known, origin, origin + dt.timedelta(days=1), end)
+    run = Run("final", 1, Wanted(origin, parameters or TreeParameters(), selected))
+    predictions = forecast_runs(frame, known, [run], (end - origin).days)
     submission = create_submission(future, predictions)
     validate_submission(submission, future, train, cross_product)
-    return model, submission
+    return submission

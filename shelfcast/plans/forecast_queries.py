@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.forecast import (
-    baselines, contract, evaluate, intermittent, intervals, recursive, segments, splits, submission,
+    baselines, contract, evaluate, intermittent, intervals, segments, splits, submission, walk,
 )
 from shelfcast.forecast.backtest import fold_origins
 from shelfcast.forecast.model import encode_categories
@@ -168,11 +168,11 @@ def strategy_comparison(ws: Workspace) -> DataFrame:
 @query("g3_g4_g5_recursive_steps")
 def recursive_steps(ws: Workspace) -> DataFrame:
     """Recursion with a transparent predictor (yesterday plus ten) from every fold origin."""
-    def add_ten(model: object, frame: DataFrame) -> DataFrame:
-        return frame.withColumn("prediction", F.coalesce("sales_lag_1", F.lit(0.0)) + 10.0)
+    def add_ten(model, inputs):
+        return inputs["sales_lag_1"] + 10.0
 
     origins = fold_origins(ws.rollup()["train"])
-    return recursive.forecast_folds({f: None for f in origins}, ws.known_frame(), origins, splits.HORIZON, add_ten)
+    return walk.walk({f: {"steps": None} for f in origins}, ws.known_frame(), [], origins, splits.HORIZON, add_ten, missing=0.0).drop("run")
 
 
 query("i1_i2_i8_intermittent_predictions")(lambda ws: _croston(ws))

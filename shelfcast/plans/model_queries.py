@@ -93,7 +93,7 @@ def _two_stage_oof(ws: Workspace) -> DataFrame:
     actual = ws.rollup()["train"]
     return ws.stored("result_two_stage_oof", lambda: backtest.backtest(
         ws.training_frame(), ws.known_frame(), actual, backtest.fold_origins(actual), FULL,
-        selection.NO_HOLIDAY, predictor=model.predict_two_stage, train=model.train_two_stage_model))
+        selection.NO_HOLIDAY, two_stage=True))
 
 
 query("i3_i4_i9_two_stage_backtest")(lambda ws: _two_stage_oof(ws))
@@ -112,8 +112,10 @@ def model_intervals(ws: Workspace) -> DataFrame:
     return intervals.score_intervals(bounds, ["fold"])
 
 
-query("u1_u5_model_segments")(lambda ws: segments.segment_tables(
-    segments.attach_labels(_folds(ws), _labels(ws)), ["store_nbr", "family", "readiness_class"]))
+@query("u1_u5_model_segments")
+def model_segments(ws: Workspace) -> DataFrame:
+    segments.validate_oof(_folds(ws))
+    return segments.segment_tables(segments.attach_labels(_folds(ws), _labels(ws)), ["store_nbr", "family", "readiness_class"])
 
 
 @query("s19_z1_z5_final_forecast")
@@ -123,7 +125,7 @@ def final_forecast(ws: Workspace) -> DataFrame:
 
     rolled = ws.rollup()
     chosen = _choice(ws, f"{ws.root}/final_selection")
-    _, result = submission.train_and_forecast(
+    result = submission.train_and_forecast(
         rolled["train"], rolled["future"], rolled["stores"], rolled["raw_holidays"], _chosen_parameters(chosen),
         chosen["feature_list"], cross_product=False)
 

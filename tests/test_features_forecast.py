@@ -258,11 +258,11 @@ def test_experiments_resume(spark, folder, tmp_path, monkeypatch):
     from shelfcast.forecast import backtest
     calls = []
 
-    def fake(training, known, actual, origins, parameters, chosen):
-        calls.append(dict(origins))
-        return spark.createDataFrame([(f, 1.0, 2.0) for f in origins], "fold int, sales double, prediction double")
+    def fake(training, known, actual, runs):
+        calls.append({r.fold: r.model.cutoff for r in runs})
+        return spark.createDataFrame([(r.experiment, r.fold, 1.0, 2.0) for r in runs], "experiment string, fold int, sales double, prediction double")
 
-    monkeypatch.setattr(backtest, "backtest", fake)
+    monkeypatch.setattr(backtest, "backtest_runs", fake)
     frame = dense_days(spark)
     origins = {1: day("2024-02-01"), 2: day("2024-02-17")}
     path = str(tmp_path / "scores")
