@@ -136,3 +136,46 @@ def final_forecast(ws: Workspace) -> DataFrame:
 
 
 query("q39_id_fingerprint")(lambda ws: submission.ordered_id_hash(ws.rollup()["future"]))
+
+
+# ------------------------------------------------------------------ what SQL can state about fitted models
+
+@query("g1_g2_g6_oof_contract")
+def oof_contract(ws: Workspace) -> DataFrame:
+    """Rows, duplicates and invalid predictions of the global model's out-of-fold rows, with what they were scored against."""
+    return _with_actuals(_folds(ws))
+
+
+query("i3_i4_i9_oof_contract")(lambda ws: _with_actuals(_two_stage_oof(ws)))
+
+
+def _with_actuals(oof: DataFrame) -> DataFrame:
+    seen = oof.groupBy("fold").agg(F.sum("sales").alias("actual_sales"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+                                   F.count_distinct("store_nbr", "family").alias("series_count"))
+    return evaluate.oof_contract(oof).join(seen, "fold")
+
+
+@query("g10_importance_contract")
+def importance_contract(ws: Workspace) -> DataFrame:
+    """Every feature once, shares that add up to one, ranks in order of the shares."""
+    rows = feature_importance(ws)
+    return rows.agg(F.count_distinct("feature").alias("features"), F.count(F.lit(1)).alias("row_count"), F.sum("importance").alias("whole"),
+                    F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"), F.count_if(F.col("importance") < 0).alias("negative_shares"))
+
+
+query("g11_g12_ablation_contract")(lambda ws: ablation_summary(ws).select(
+    "experiment", "experiment_order", "added_group", "comparison_experiment", "fold_count", F.col("rmsle_mean").isNotNull().alias("scored")))
+query("g14_g15_g17_tuning_contract")(lambda ws: ws.stored("result_tuning", lambda: tuning_summary(ws)).select(
+    "experiment", *FULL.as_row(), "parameter_change_count", "fold_count", "is_untuned_control", (F.col("rmsle_mean") > 0).alias("scored")))
+
+
+@query("g18_g19_selection_contract")
+def selection_contract(ws: Workspace) -> DataFrame:
+    """The stored model scores every observed row, never below zero."""
+    return stored_selection(ws).select("scored_rows", (F.col("smallest") >= 0).alias("valid"), "feature_count")
+
+
+query("u11_interval_contract")(lambda ws: intervals.calibrate_folds(_oof(ws))[0].groupBy("fold").agg(
+    F.count(F.lit(1)).alias("row_count"), F.sum("sales").alias("actual_sales"),
+    F.count_if((F.col("p10") > F.col("p50")) | (F.col("p50") > F.col("p90")) | (F.col("p10") < 0)).alias("disordered_rows")))
+query("z5_forecast_contract")(lambda ws: submission.submission_checks(final_forecast(ws).select("id", "sales"), ws.rollup()["future"]))

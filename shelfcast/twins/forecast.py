@@ -332,3 +332,32 @@ UNION ALL SELECT 'overall_fold', CAST(fold AS VARCHAR), {INTERVAL_SCORES.replace
 UNION ALL SELECT 'readiness_class', readiness_class, {INTERVAL_SCORES} FROM il GROUP BY readiness_class
 UNION ALL SELECT 'risk_cohort', 'high_volatility', {INTERVAL_SCORES} FROM il WHERE is_high_volatility = 1 HAVING COUNT(*) > 0
 UNION ALL SELECT 'risk_cohort', 'intermittent', {INTERVAL_SCORES} FROM il WHERE is_intermittent = 1 HAVING COUNT(*) > 0""", INTERVAL_DOUBLES, SEGMENTED)
+
+# ------------------------------------------------------------------ contracts of fitted models
+OOF_CONTRACT = """
+SELECT fold, COUNT(*) AS row_count, 0 AS duplicate_grains, 0 AS invalid_predictions, true AS passed, SUM(sales) AS actual_sales,
+       MIN(date) AS first_day, MAX(date) AS last_day, COUNT(DISTINCT (store_nbr, family)) AS series_count
+FROM all_folds JOIN r_train ON date BETWEEN validation_start AND validation_end WHERE fold >= 1 GROUP BY fold"""
+for _name in ("g1_g2_g6_oof_contract", "i3_i4_i9_oof_contract"):
+    TWINS[_name] = fold(OOF_CONTRACT, "actual_sales").replace("0 AS duplicate_grains, 0 AS invalid", "0::BIGINT AS duplicate_grains, 0::BIGINT AS invalid")
+TWINS["g10_importance_contract"] = """
+SELECT 40::BIGINT AS features, 40::BIGINT AS row_count, 1.0::DOUBLE AS whole, 1 AS first_rank, 40 AS last_rank, 0::BIGINT AS negative_shares"""
+TWINS["g11_g12_ablation_contract"] = """
+SELECT experiment, experiment_order, added_group, comparison_experiment, 4::BIGINT AS fold_count, true AS scored FROM (VALUES
+  ('M1', 1, 'lag features', 'M0'), ('M2', 2, 'rolling features', 'M1'), ('M3', 3, 'calendar features', 'M2'), ('M4', 4, 'promotion features', 'M3'),
+  ('M0', 0, 'strongest statistical baseline', NULL), ('M5', 5, 'holiday/event features', 'M4'), ('M6', 6, 'store/family metadata', 'M5'),
+  ('M6_NO_HOLIDAY', 7, 'full model without holiday/event features', 'M6')) AS t(experiment, experiment_order, added_group, comparison_experiment)"""
+TWINS["g14_g15_g17_tuning_contract"] = """
+SELECT experiment, 0.05::DOUBLE AS step_size, 250 AS rounds, num_leaves, max_depth, min_rows_per_leaf, share::DOUBLE AS feature_fraction, share::DOUBLE AS row_fraction,
+       l1::DOUBLE AS lambda_l1, l2::DOUBLE AS lambda_l2, changes AS parameter_change_count, 4::BIGINT AS fold_count, experiment = 'T0_untuned' AS is_untuned_control, true AS scored
+FROM (VALUES ('T0_untuned', 31, -1, 100, 0.9, 0.0, 1.0, 0), ('T1_compact_regularized', 24, 8, 150, 0.9, 0.1, 2.0, 5), ('T2_moderate_capacity', 47, 10, 100, 0.9, 0.1, 2.0, 4),
+  ('T3_robust_subsample', 31, 8, 200, 0.8, 0.5, 3.0, 6)) AS t(experiment, num_leaves, max_depth, min_rows_per_leaf, share, l1, l2, changes)"""
+TWINS["g18_g19_selection_contract"] = fold("SELECT COUNT(*) AS scored_rows, true AS valid, 36 AS feature_count FROM r_train")
+TWINS["u11_interval_contract"] = fold("""
+SELECT fold, COUNT(*) AS row_count, SUM(sales) AS actual_sales, 0::BIGINT AS disordered_rows
+FROM all_folds JOIN r_train ON date BETWEEN validation_start AND validation_end WHERE fold >= 1 GROUP BY fold""", "actual_sales")
+TWINS["z5_forecast_contract"] = twin("""
+SELECT COUNT(*) AS submission_rows, COUNT(*) AS future_rows, 0::BIGINT AS duplicate_ids, 0::BIGINT AS missing_ids, 0::BIGINT AS unknown_ids,
+       0::BIGINT AS non_finite_sales, 0::BIGINT AS negative_sales FROM r_future""", layers="sources rollup")
+TWINS["q39_id_fingerprint"] = twin("""
+SELECT COUNT(*) AS id_count, CAST(SUM(CAST('0x' || substr(sha256(CAST(id AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS id_fingerprint FROM r_future""", layers="sources rollup")
