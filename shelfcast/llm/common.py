@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,29 @@ def base_count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind))).cast("long")
 
 
+class Stretches:
+    """Spans (start, end) that can be asked what they hold or touch, in the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.reach = list(accumulate((b for _, b in self.spans), max))
+
+    def hold(self, start: int, end: int) -> bool:
+        """Whether one of the spans has all of this one inside."""
+        n = bisect_right(self.starts, start)
+        return n > 0 and self.reach[n - 1] >= end
+
+    def touched(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The spans that share a place with this one."""
+        n, out = bisect_left(self.starts, end), []
+        while n and self.reach[n - 1] > start:
+            n -= 1
+            if self.spans[n][1] > start:
+                out.append(self.spans[n])
+        return out
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -5,7 +5,9 @@ keeps, for every character of its output, the piece of source it came from. The
 on the normalised text and their spans are mapped back to the source.
 
 Null text is empty and has no spans; repeated rows are handled like any other row; an empty table gives no rows.
-Spans count code points of the source, end exclusive, ordered by start, kind and end. Texts are read whole.
+Spans count code points of the source, end exclusive, ordered by start, kind and end. Texts are read whole, in time
+in proportion to their length. Not read as an address: a spoken at before a plain host ("look at example.com").
+Only the id and text columns are read; others may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from shelfcast.llm.endings import ENDINGS
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
@@ -49,7 +50,9 @@ DIGIT_WORDS = {
 #: Digits, spelled or written, that a run needs before its words are read as digits.
 LEAST_SPELLED = 7
 
-_AT_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.|punkt|punto|point|arroba)[ \t]*[\])}>][ \t]*", re.I)
+# A sign in brackets, or between hyphens that stand alone; blanks before it are taken in afterwards.
+_AT_DOT = re.compile(r"(?:[\[({<][ \t]*(at|@|dot|\.|punkt|punto|point|arroba)[ \t]*[\])}>]|(?<=[ \t])-(at|dot)-(?=[ \t]))[ \t]*", re.I)
+_ENTITY = re.compile(r"&(?:#0*(64|46)|#x0*(40|2e)|(commat|period));", re.I)
 # Spoken at sign and dot, or a written one in either place; which of them make an address is settled by ``address_end``.
 _DOT = r"(?:[ \t]+dot[ \t]+|\.)"
 _SPOKEN = re.compile(
@@ -160,13 +163,18 @@ def fold_look_alikes(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), table[ord(m[0])]) for m in _look_alike_class().finditer(tape.text)])
 
 
+def fold_entities(tape: Tape) -> None:
+    """At signs and dots written as character references."""
+    tape.rewrite([(m.start(), m.end(), "@" if (m[1] or m[2] or m[3]).lower() in ("64", "40", "commat") else ".") for m in _ENTITY.finditer(tape.text)])
+
+
 def address_end(tape: Tape, m: re.Match) -> int:
     """Where the spoken address of a match ends, or 0 if it is ordinary text.
 
     An at sign that is written or in brackets is certain, and so is a dot in brackets: the host may then end in any label of
     two or more letters. Otherwise one dot is spoken and the ending is one that exists."""
     certain = m["at"] == "@"
-    spoken = bool(certain and _SPOKEN_SIGN.search(m[0], 0, m.start("at") - m.start()))
+    spoken = m["at"].strip() == "@" != m["at"] or bool(certain and _SPOKEN_SIGN.search(m[0], 0, m.start("at") - m.start()))
     known = likely = 0
     first = _ENDING.match(m["host"])
     for part in _SPOKEN_HOST.finditer(m["host"]):
@@ -191,8 +199,14 @@ def address_end(tape: Tape, m: re.Match) -> int:
 
 def fold_at_dot(tape: Tape) -> None:
     """Bracketed at and dot anywhere; bare words only in a whole address, with signs of either kind."""
-    tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else ".")
-                  for m in _AT_DOT.finditer(tape.text)])
+    changes, last = [], 0
+    for m in _AT_DOT.finditer(tape.text):
+        start = m.start()
+        while start > last and tape.text[start - 1] in " \t":
+            start -= 1
+        changes.append((start, m.end(), "@" if (m[1] or m[2]).lower() in ("at", "@", "arroba") else "."))
+        last = m.end()
+    tape.rewrite(changes)
     changes, last = [], 0
     while m := _SPOKEN.search(tape.text, last):
         last = address_end(tape, m)
@@ -230,7 +244,9 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     if low.translate(None, _PLAIN_BYTES):
         fold_look_alikes(tape)
         low = tape.text.encode(errors="replace").lower()
-    if b"dot" in low or any(sign in low for sign in (b"[", b"(", b"{", b"<")):
+    if b"&#" in low or b"&commat" in low or b"&period" in low:
+        fold_entities(tape)
+    if b"dot" in low or b" @" in low or b"\t@" in low or any(sign in low for sign in (b"[", b"(", b"{", b"<", b"-at-")):
         fold_at_dot(tape)
     words = low.translate(_SPACED).split()
     if _SPELLED_RUN in bytes(map(_SPELLED_SIGNS.__contains__, words)):
@@ -238,11 +254,12 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
     if tape.text == text:
         return []
     found = [(kind, tape.start[a], tape.end[b - 1]) for kind, a, b in detect(tape.text)]
+    seen = common.Stretches([x[1:] for x in found])
     if isinstance(tape.start, list):  # digits spelled without a plus sign
         for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", tape.text):
             a, b = tape.start[m.start()], tape.end[m.end() - 1]
             # not written in digits, and not one word over and over
-            if len(set(m[0])) > 2 and not _DIGITS_ONLY.match(text[a:b]) and not any(x[1] < b and a < x[2] for x in found):
+            if len(set(m[0])) > 2 and not _DIGITS_ONLY.match(text[a:b]) and not seen.touched(a, b):
                 found.append(("phone", a, b))
     return found
 
@@ -258,11 +275,13 @@ _DIGITS_ONLY = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]*\Z")
 
 
 def scan_text(text: str | None) -> list[tuple]:
-    """Base spans, then disguised ones that overlap no base span."""
+    """Base spans, then disguised ones that touch no base span or have those they touch inside: a look-alike within
+    an address leaves its rest a base span, and the whole address is added."""
     if not text:
         return []
     base = detect(text)
-    added = {x for x in disguised(text) if not any(b[1] < x[2] and x[1] < b[2] for b in base)}
+    known = common.Stretches([x[1:] for x in base])
+    added = {x for x in disguised(text) if all(x[1] <= a and b <= x[2] and (a, b) != x[1:] for a, b in known.touched(x[1], x[2]))}
     spans = [(*x, True) for x in base] + [(*x, False) for x in added]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -6,6 +6,10 @@ A literal is scored by the sensitive words in its target name and by how evenly
 of its own, so every listed word can mark a literal. Names of less weight also stand for much that is no secret: their
 literals need signs that words and paths do not have.
 
+A text is lexed once: bare literals are runs whose ends are looked up, and a constant refers to those it was made of instead of
+copying them, so time stays in proportion to the text however operators and constants are chained. A literal or a
+sum of literals is scored by its first ``VALUE_CHARS`` characters; its spans are whole.
+
 Null text is empty and has no spans; repeated rows are scanned like any other row; an empty table gives no rows.
 Spans count code points, end exclusive, and are ordered by start, kind and end. Only the id and text columns are
 read. Texts are scanned whole, one at a time.
@@ -15,7 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,10 +50,17 @@ LEAST_EVENNESS, LEAST_LENGTH, STRONG_WEIGHT = 0.55, 8, 0.8
 #: Below ``STRONG_WEIGHT``: least weight at which any sign that is no letter or digit tells, and least length of digits alone.
 MIDDLE_WEIGHT, DIGITS_LENGTH = 0.6, 16
 
+#: Longest name that is looked up as a constant.
+NAME_CHARS = 128
+#: Characters of a value that its score is taken from.
+VALUE_CHARS = 512
+
 _OPERATOR = re.compile(r"[:=]+>?")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})["'\]]{0,2}[ \t]*\Z""")
 _TERM = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$@!#%^&*~?-]+))[ \t]*""")
+    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?=([A-Za-z0-9+/_.=$@!#%^&*~?-])))""")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$@!#%^&*~?-]+")
+_BLANKS = re.compile(r"[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _QUOTES = frozenset("\"'`")
 _KEY_SIGN = re.compile(r"[+=$@!#%^&*~?]")
@@ -99,49 +113,109 @@ def tells(value: str, weight: float, quoted: bool) -> bool:
     return not any(c.isspace() for c in value) and bool(_KEY_SIGN.search(value))
 
 
-def terms(text: str, at: int) -> list[tuple[str | None, str, int, int]]:
-    """Literals and names of ``a + "b" + c`` from ``at`` on: (literal or None, name, start, end)."""
-    out = []
-    while m := _TERM.match(text, at):
-        kind = m.lastindex
-        bare = kind == 4 and _IDENTIFIER.match(m[4]) and (text[m.end():m.end() + 1] == "+" or out or len(m[4]) < 64)
-        out.append((None if bare else m[kind], m[kind] if kind == 4 else "", m.start(kind), m.end(kind)))
-        if text[m.end():m.end() + 1] != "+":
-            break
-        at = m.end() + 1
-    return out
+class Lexer:
+    """Terms of a text; the runs of bare literals are found once."""
+
+    def __init__(self, text: str):
+        self.text, runs = text, [(m.start(), m.end()) for m in _BARE.finditer(text)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+
+    def terms(self, at: int) -> Iterator[tuple[str | None, int, int]]:
+        """Literals and names of ``a + "b" + c`` from ``at`` on: (name or None for a literal, start, end)."""
+        text, count = self.text, 0
+        while m := _TERM.match(text, at):
+            kind = m.lastindex
+            start = m.start(kind)
+            end = self.ends[bisect_right(self.starts, start) - 1] if kind == 4 else m.end(kind)
+            after = _BLANKS.match(text, end if kind == 4 else m.end()).end()
+            adds = text[after:after + 1] == "+"
+            name = None
+            if kind == 4 and end - start <= NAME_CHARS and _IDENTIFIER.match(text, start, end):
+                name = text[start:end]
+            yield name, start, end
+            count += 1
+            if not adds:
+                return
+            at = after + 1
+
+
+@dataclass(eq=False)
+class Constant:
+    """What a name stands for: literals of its own and other constants, in order."""
+
+    parts: list[tuple[int, int] | Constant]
+    size: int
+    value: str | None = None
+    told: set[str] = field(default_factory=set)
+
+    def head(self, text: str) -> str:
+        """The first characters of the value, joined once."""
+        if self.value is None:
+            out, left, stack = [], VALUE_CHARS, [self]
+            while stack and left > 0:
+                x = stack.pop()
+                if isinstance(x, Constant):
+                    stack += reversed(x.parts)
+                else:
+                    out.append(text[x[0]:min(x[1], x[0] + left)])
+                    left -= x[1] - x[0]
+            self.value = "".join(out)
+        return self.value
+
+    def literals(self, kind: str) -> Iterator[tuple[int, int]]:
+        """The literals below that have not been told as this kind."""
+        stack = [self]
+        while stack:
+            x = stack.pop()
+            if not isinstance(x, Constant):
+                yield x
+            elif kind not in x.told:
+                x.told.add(kind)
+                stack += reversed(x.parts)
+
+    def first(self) -> tuple[int, int]:
+        x = self
+        while isinstance(x, Constant):
+            x = x.parts[0]
+        return x
 
 
 def assigned_spans(text: str) -> list[tuple]:
     """Literals assigned to sensitive names, directly or through constants."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    found = []
+    constants: dict[str, Constant] = {}
+    found, lexer = [], Lexer(text)
     for operator in _OPERATOR.finditer(text):
         name = _NAME.search(text, max(0, operator.start() - 140), operator.start())
         if not name:
             continue
-        literals, through = [], False
-        for literal, word, start, end in terms(text, operator.end()):
-            if literal is not None:
-                literals.append((literal, start, end))
-            elif word in constants:
-                literals += constants[word]
+        parts, through, quoted, any_term = [], False, False, False
+        for word, start, end in lexer.terms(operator.end()):
+            any_term = True
+            known = constants.get(word) if word else None
+            if known is not None:
                 through = True
+                if known.size:
+                    parts.append(known)
             else:  # an unknown name is a bare literal, as in configuration files
-                literals.append((word, start, end))
-        if not literals:
+                quoted |= text[start - 1:start] in _QUOTES
+                if end > start:
+                    parts.append((start, end))
+        if not any_term:
             continue
-        constants[name[1]] = literals
+        if len(parts) == 1 and isinstance(parts[0], Constant):
+            made = parts[0]
+        else:
+            made = Constant(parts, sum(x.size if isinstance(x, Constant) else x[1] - x[0] for x in parts))
+        constants[name[1]] = made
         weight = name_weight(name[1])
-        value = "".join(x for x, _, _ in literals)
-        if not weight or len(value) < LEAST_LENGTH:
+        if not weight or made.size < LEAST_LENGTH:
             continue
+        value = made.head(text)
+        quoted |= any(text[x.first()[0] - 1:x.first()[0]] in _QUOTES for x in parts if isinstance(x, Constant))
         even = evenness(value)
-        score = weight * even
-        quoted = any(text[start - 1:start] in _QUOTES for _, start, _ in literals)
         if even >= LEAST_EVENNESS and tells(value, weight, quoted):
             kind = "constant" if through else "literal"
-            found += [(kind, start, end, name[1], round(score, 6), False) for x, start, end in literals if x]
+            found += [(kind, start, end, name[1], round(weight * even, 6), False) for start, end in made.literals(kind)]
     return found
 
 
@@ -151,7 +225,8 @@ def scan_text(text: str | None) -> list[tuple]:
         return []
     base = base_spans(text)
     added = assigned_spans(text) if "=" in text or ":" in text else []
-    kept = {x[:3]: x for x in added if not any(b[1] <= x[1] and x[2] <= b[2] for b in base)}
+    covers = common.Stretches([x[1:3] for x in base])
+    kept = {x[:3]: x for x in added if not covers.hold(x[1], x[2])}
     return sorted([*base, *kept.values()], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,6 +1,7 @@
 """Secret and personal-data scans against the contract's patterns, and the added methods."""
 import hashlib
 import re
+import time
 
 import pytest
 from llm_tables import frame  # noqa: F401
@@ -147,3 +148,69 @@ def test_redacted_table_keeps_columns(frame):
     got = {r["doc_id"]: r for r in pii.redact(df, length_col="n_chars").collect()}
     assert got[1]["text"] == "mail [email]" and got[1]["n_chars"] == 12 and got[1]["spans"] == "clash"
     assert got[2]["text"] is None and got[2]["n_chars"] is None and got[3]["text"] == ""
+
+
+# ---------------------------------------------------------------- long texts and look-alikes
+
+LONG = {
+    "doubling": 'a0 = "aB3dE5fG7hJ9"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "password = a60\n",
+    "empty doubling": 'a0 = ""\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "password = a60\n",
+    "growing": 'a = "q9"\n' + "".join(f'a = a + "{(i * 7919) % 99991:05x}"\n' for i in range(20_000)) + "password = a\n",
+    "growing secrets": 'a = "q9"\n' + 'password = a + "x7"\n' * 20_000,
+    "pairs": "".join(f"k{i}=v{i}&" for i in range(90_000)),
+    "secret pairs": "".join(f"token{i}=v{i}&" for i in range(20_000)),
+    "tabs": "(" + "\t" * 1_000_000 + "x",
+    "tabs and signs": "ann" + "\t" * 300_000 + "(at)" + "\t" * 300_000 + "example.com " + " " * 300_000 + "dot",
+    "addresses": "ann@example.com \u0430nn@example.com (x) " * 50_000,
+    "digits": "1" * 500_000 + "a" + " one" * 100_000,
+    "quotes": 'x = "' * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+@pytest.mark.parametrize("scan", [secrets.scan_text, pii.scan_text])
+def test_long_texts_take_time_in_proportion(scan, name):
+    def seconds(text):
+        begin = time.process_time()
+        scan(text)
+        return time.process_time() - begin
+
+    assert seconds(LONG[name]) < 1.5 + 6e-6 * len(LONG[name])
+
+
+def test_chained_constants_keep_their_literals():
+    for text in (LONG["doubling"], 'a = "aB3dE5fG7hJ9"\nb = a\nc = b\npassword = c\n'):
+        assert values(text, secrets.scan_text(text)) == [("constant", "aB3dE5fG7hJ9")]
+    found = values(LONG["growing"], secrets.scan_text(LONG["growing"]))
+    assert len(found) == 20_001 and {len(x[1]) for x in found} == {2, 5}
+    assert secrets.scan_text(LONG["empty doubling"]) == []
+
+
+@pytest.mark.parametrize("place", range(len("john.doe@example.com")))
+def test_look_alikes_at_every_place(place):
+    swaps = {"o": "\u043e", "e": "\u0435", "a": "\u0430", "x": "\u0445", "p": "\u0440", "c": "\u0441", "j": "\u0458", "d": "\u0501", ".": "\uff0e", "@": "\uff20"}
+    plain = "john.doe@example.com"
+    if plain[place] not in swaps:
+        return
+    hidden = plain[:place] + swaps[plain[place]] + plain[place + 1:]
+    for text in (hidden, f"write to {hidden}, or call"):
+        at = text.index(hidden)
+        assert ("email", at, at + len(hidden)) in [x[:3] for x in pii.scan_text(text)]
+        assert pii.redact_text(text) == text.replace(hidden, "[email]")
+
+
+@pytest.mark.parametrize("span", ["ann @ example.com", "ann&#64;example.com", "ann&commat;example&#x2e;com", "ann -at- example -dot- com", "ann (at) example.com"])
+def test_spaced_hyphenated_and_coded_signs(span):
+    for text in (span, f"so {span}, today"):
+        assert pii.redact_text(text) == text.replace(span, "[email]")
+
+
+@pytest.mark.parametrize("text", ["five apples @ 3.99 each", "look at example.com", "stay-at-home.org moms", "look -at- me"])
+def test_ordinary_at_signs(text):
+    assert pii.redact_text(text) == text
+
+
+def test_stretches():
+    spans = common.Stretches([(5, 9), (0, 20), (30, 31)])
+    assert spans.hold(6, 20) and not spans.hold(6, 21) and spans.hold(30, 31) and not spans.hold(25, 26)
+    assert sorted(spans.touched(8, 31)) == [(0, 20), (5, 9), (30, 31)] and spans.touched(20, 30) == []
