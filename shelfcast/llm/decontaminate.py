@@ -260,8 +260,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text")
     digest = F.md5(F.col(f"`{text_col}`"))
     texts = docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
     found = find_contamination(texts, items, id_col="digest").withColumn("n_hit", hit_words())
-    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad_digest")).distinct()
-    return docs.join(bad, digest == F.col("bad_digest"), "left_anti")
+    bad = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("digest")).distinct()
+    # The rows go as one column, so none of theirs can clash with the digest.
+    kept = docs.select(digest.alias("digest"), F.struct("*").alias("row")).join(bad, "digest", "left_anti")
+    return kept.select("row.*")
 
 
 def contamination(spark, folder: str) -> DataFrame:

@@ -22,6 +22,7 @@ target, the others still do. Without labels all posteriors are equal. Repeated r
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,8 @@ FEATURES, HASH_BITS = 768, 20
 #: Columns that mixing adds.
 ADDED = ["n_tokens", "posterior", "rate", "copies"]
 RIDGE, MOST_STEPS, TOLERANCE = 1e-3, 40, 1e-5
+#: Distance of an expected share from its target that is reported.
+FAR = 0.01
 _SYMBOLS = NON_SPACE & ~LETTERS_DIGITS & ~((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A))
 _WIDTH = np.uint64((1 << HASH_BITS) - 1)
 
@@ -205,7 +208,9 @@ def domain_totals(rows: DataFrame, residuals: list[np.ndarray], k: int, ridge: f
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, ridge: float = RIDGE, most: int = MOST_STEPS,
               tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """Residuals of the projected gradient steps; ``replay`` turns them into rates."""
+    """Residuals of the projected gradient steps; ``replay`` turns them into rates.
+
+    Shares that the steps could not bring within ``FAR`` of their targets are logged: the documents may not hold them."""
     k = len(targets)
     tokens = domain_totals(rows, [], k, ridge)
     if not tokens.sum():
@@ -220,23 +225,31 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, ridge: float = RIDGE, most:
         expected = new
         if moved < tolerance:
             break
+    far = np.abs(expected - targets)
+    if far.max() > FAR:
+        logging.getLogger(__name__).warning("expected token shares %s are up to %.4f off their targets %s after %d steps",
+                                            np.round(expected, 4).tolist(), far.max(), np.round(targets, 4).tolist(), len(residuals))
     return residuals
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] | None = None, budget: float = BUDGET,
         id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate (expected copies) and copies (rate rounded by a hash of the id) of every row.
+    """doc_id, n_tokens, posterior, rate (expected copies) and copies of every row: the rate rounded by a hash of id and text,
+    and of the stored row's number where the id is null, so that rows without an id are not all rounded the same way.
 
     With ``carry`` all columns of ``docs`` come along; those named like the new ones give way."""
     targets = targets or TARGETS
     domains = sorted(targets)
     wanted = np.array([targets[d] for d in domains], float)
     model = train(common.documents(docs, id_col, text_col), labels, domains)
+    key = lambda id_, text: F.xxhash64(id_, text, F.when(F.col(id_).isNull(), F.monotonically_increasing_id()))
+    share = lambda id_, text: (F.pmod(key(id_, text), F.lit(1_000_000)) / 1_000_000).alias("copies")
     if carry:
-        rows = memberships(docs.drop(*(x for x in ADDED if x not in (id_col, text_col))), model, text_col)
+        known = docs.drop(*(x for x in ADDED if x not in (id_col, text_col)))
+        rows = memberships(known.select("*", share(f"`{id_col}`", f"`{text_col}`")), model, text_col)
     else:  # texts are read, but not kept
-        rows = memberships(common.documents(docs, id_col, text_col), model).drop("text")
-        id_col = "doc_id"
+        known = common.documents(docs, id_col, text_col)
+        rows = memberships(known.select("*", share("doc_id", "text")), model).drop("text")
     rows = stored(rows, "memberships")
     residuals = fit_rates(rows, wanted / wanted.sum())
     place = rows.columns.index("posterior")
@@ -248,8 +261,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(budget * replay(p, residuals, RIDGE))], [*batch.schema.names, "rate"])
 
     rated = rows.mapInArrow(run, StructType(rows.schema.fields + [StructField("rate", DoubleType())]))
-    chance = F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(1_000_000)) / 1_000_000
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    rounded = (F.floor("rate") + (F.col("copies") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return rated.select(*[c for c in rated.columns if c != "copies"], rounded.alias("copies"))
 
 
 def mixture(spark, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from llm_tables import edited, frame, prose  # noqa: F401
 
 from shelfcast.llm import common, decontaminate, near_duplicates, substrings
@@ -73,6 +74,15 @@ def test_contaminated_rows_go(frame):
     assert sorted(r["doc_id"] for r in kept.collect()) == [4, 4, 5, 6, 7, 8, 9]
 
 
+def test_contaminated_rows_go_whatever_their_columns(frame):
+    clashing = frame(DOCS).withColumns({x: F.lit("mine") for x in ("bad_digest", "digest", "row", "doc", "n_hit")})
+    items = frame([(str(i), t) for i, t in DOCS[:3]], "item_id string, text string")
+    got = decontaminate.drop_contaminated(clashing, items)
+    plain = decontaminate.drop_contaminated(frame(DOCS), items)
+    assert got.columns == clashing.columns and set(r["bad_digest"] for r in got.collect()) <= {"mine"}
+    assert sorted(map(str, (tuple(r) for r in got.select("doc_id", "text").collect()))) == sorted(map(str, (tuple(r) for r in plain.select("doc_id", "text").collect())))
+
+
 # ---------------------------------------------------------------- substrings
 
 def plain_substrings(docs, size=13):

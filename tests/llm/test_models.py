@@ -92,6 +92,21 @@ def test_rates_meet_targets(frame):
     assert by_id[500]["n_tokens"] == by_id[501]["n_tokens"] == 0 and all(abs(r["copies"] - r["rate"]) <= 1 for r in rows)
 
 
+def test_rows_without_an_id_are_rounded_apart(frame):
+    nobody = [(None, TEXTS[0][1])] * 400
+    for carry in (False, True):
+        rows = [r for r in mixing.mix(frame([*TEXTS, *nobody]), frame(MARKS, LABELS), carry=carry).collect() if r["doc_id"] is None]
+        rate = rows[0]["rate"]
+        assert len(rows) == 400 and len({r["rate"] for r in rows}) == 1 and {r["copies"] for r in rows} <= {int(rate), int(rate) + 1}
+        assert abs(np.mean([r["copies"] for r in rows]) - rate) < 0.1
+
+
+def test_targets_out_of_reach_are_reported(frame, caplog):
+    poor = [(i, t) for i, t in TEXTS if (i, 0, 0) in MARKS]
+    mixing.mix(frame(poor), frame(MARKS, LABELS), {(1, 0): 0.9, (0, 0): 0.1}).count()
+    assert any("off their targets" in r.getMessage() for r in caplog.records)
+
+
 def test_mixing_carries_columns(frame):
     docs = frame([(i, t, "x") for i, t in TEXTS], "doc_id long, text string, rate string")
     got = mixing.mix(docs, frame(MARKS, LABELS), carry=True)
