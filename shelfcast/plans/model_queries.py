@@ -120,7 +120,7 @@ def model_segments(ws: Workspace) -> DataFrame:
 
 @query("s19_z1_z5_final_forecast")
 def final_forecast(ws: Workspace) -> DataFrame:
-    """Final fit and recursive forecast, staged, validated as stored and published."""
+    """Final fit and recursive forecast: a new version, validated as stored, then published."""
     from shelfcast.sources.sinks import publish
 
     rolled = ws.rollup()
@@ -132,7 +132,7 @@ def final_forecast(ws: Workspace) -> DataFrame:
     def validate(stored: DataFrame) -> None:
         submission.validate_submission(stored.select("id", "sales"), rolled["future"], rolled["train"], False)
 
-    return publish(rounded(result), f"{ws.root}/submission_staging", f"{ws.root}/submission", validate)
+    return publish(rounded(result), f"{ws.root}/submission", validate)
 
 
 query("q39_id_fingerprint")(lambda ws: submission.ordered_id_hash(ws.rollup()["future"]))

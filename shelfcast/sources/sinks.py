@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,15 +76,55 @@ def load_check(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame])
     return union_all(frames)
 
 
-def publish(df: DataFrame, staging: str, target: str,
-            validate: Callable[[DataFrame], None]) -> DataFrame:
-    """Write a staged copy, validate what was really stored, then publish it."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(staging)
-    stored = spark.read.parquet(staging)
-    validate(stored)
-    stored.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+def publish(df: DataFrame, folder: str, validate: Callable[[DataFrame], None]) -> DataFrame:
+    """Write a new version of a published table, validate what was really stored, then let readers see it.
+
+    A version is written once, into a folder of its own. Readers follow the newest of numbered pointers, and a pointer is
+    one file that either exists or not: a refused version, or a driver lost at any point, leaves the version before it
+    current. Of two publishers that take the same number, readers all follow the one with the larger name; both versions are whole."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{folder}/versions/{version}")
+    validate(spark.read.schema(df.schema).parquet(f"{folder}/versions/{version}"))
+    _create(spark, f"{folder}/pointers/{max(_pointers(spark, folder), default=(0, ''))[0] + 1:012d}-{version}")
+    return read_published(spark, folder)
+
+
+def read_published(spark: SparkSession, folder: str) -> DataFrame:
+    """The current version of a published table."""
+    found = _pointers(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"nothing has been published in {folder}")
+    return spark.read.parquet(f"{folder}/versions/{max(found)[1]}")
+
+
+def drop_old_versions(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
+    """Remove versions before the ``keep`` newest published ones, and give their names; unpublished ones are left to their writers."""
+    old = sorted(_pointers(spark, folder))[:-keep]
+    for number, version in old:
+        for path in (f"{folder}/pointers/{number:012d}-{version}", f"{folder}/versions/{version}"):
+            system, place = _file_system(spark, path)
+            system.delete(place, True)
+    return [version for _, version in old]
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _create(spark: SparkSession, path: str) -> None:
+    """An empty file; fails if it is there."""
+    system, place = _file_system(spark, path)
+    system.create(place, False).close()
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, version) of every publication: one short name each."""
+    system, place = _file_system(spark, f"{folder}/pointers")
+    if not system.exists(place):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(place)]
+    return [(int(n.split("-")[0]), n.split("-")[1]) for n in names if not n.startswith((".", "_"))]
 
 
 def missing_runs(spark: SparkSession, planned: DataFrame, path: str,

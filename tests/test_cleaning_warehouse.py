@@ -178,14 +178,41 @@ def test_csv_sources_and_sinks(spark, tmp_path):
         raise ValueError("not good")
 
     with pytest.raises(ValueError):
-        sinks.publish(train, str(tmp_path / "stage"), str(tmp_path / "target"), refuse)
-    assert not (tmp_path / "target").exists()
-    assert sinks.publish(train, str(tmp_path / "stage"), str(tmp_path / "target"), lambda df: None).count() == 1
+        sinks.publish(train, str(tmp_path / "target"), refuse)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published(spark, str(tmp_path / "target"))
+    assert sinks.publish(train, str(tmp_path / "target"), lambda df: None).count() == 1
     bad = spark.createDataFrame([(1, float("inf"))], "k int, v double")
     with pytest.raises(ValueError, match="non-finite"):
         sinks.write_result(bad, str(tmp_path / "r"), ["k"], "r")
 
 
+def test_published_versions(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    rows = lambda: sorted(r["k"] for r in sinks.read_published(spark, folder).collect())
+    table = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k int")
+
+    def at_most_two(stored):
+        if stored.count() > 2:
+            raise ValueError("too many rows")
+
+    sinks.publish(table(1), folder, at_most_two)
+    reader = sinks.read_published(spark, folder)
+    with pytest.raises(ValueError):
+        sinks.publish(table(7, 8, 9), folder, at_most_two)
+    assert rows() == [1]  # the refused version is not seen
+    table(5).write.parquet(f"{folder}/versions/unfinished")  # a writer that was lost before its pointer
+    assert rows() == [1]
+    sinks.publish(table(2, 3), folder, at_most_two)
+    assert rows() == [2, 3] and [r["k"] for r in reader.collect()] == [1]  # who reads the old version goes on
+    for k in range(4, 15):
+        sinks.publish(table(k), folder, at_most_two)
+    assert rows() == [14] and len(sinks.drop_old_versions(spark, folder)) == 11 and rows() == [14]
+    (tmp_path / "table" / "pointers" / "000000000014-x").touch()
+    with pytest.raises(Exception):  # noqa: B017
+        sinks._create(spark, f"{folder}/pointers/000000000014-x")
+
+
 def test_load_and_compare(spark, folder, tmp_path):
     from shelfcast.plans.workspace import Workspace
     t = Workspace.of(spark, folder).warehouse()
