@@ -9,8 +9,9 @@ conversation, the stream intervals of its ancestors that its tokens may attend t
 The order is a range partitioning, so a first turn that much of the table shares is spread over tasks. What a task must know
 from those before it is where the last path ended; that is one short record per task.
 
-Null texts and roles are empty. Turns go by turn, role and text, so ties have one order; repeated rows are turns of their own. A
-null conversation id is one conversation. An empty table gives no rows. Roles and texts may hold any characters.
+Null texts and roles are empty. Turns go by turn, role and text, so ties have one order; repeated rows are turns of their own.
+Rows with a null conversation id have nothing that holds them together: each is a conversation of one turn, returned with the
+null id, and never gathered into a group. An empty table gives no rows. Only the four named columns are read, so others cannot clash. Roles and texts may hold any characters.
 """
 
 from __future__ import annotations
@@ -133,11 +134,12 @@ _LOCAL = ("task int, segment long, path binary, tokens array<int>, position long
 
 
 def gathered(conversations: DataFrame) -> DataFrame:
-    """One row per conversation with its turns in order."""
+    """One row per conversation with its turns in order; a row without an id is a conversation by itself."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn")).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("turn")).alias("turns"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
+    known = rows.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return known.unionByName(rows.where(F.col("conv_id").isNull()).select("conv_id", F.array("turn").alias("turns")))
 
 
 def chained_path(turns: list[dict]) -> bytes:

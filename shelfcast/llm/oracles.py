@@ -23,12 +23,12 @@ CONVERSATIONS = f"""
 WITH rows AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
-marked AS (SELECT *, '### ' || replace({ESCAPED.format('role')}, chr(10), chr(92) || chr(10)) || chr(10) || {ESCAPED.format('text')} || '</turn>' || chr(10) AS f FROM rows)
+marked AS (SELECT *, row_number() OVER () AS lone, '### ' || replace({ESCAPED.format('role')}, chr(10), chr(92) || chr(10)) || chr(10) || {ESCAPED.format('text')} || '</turn>' || chr(10) AS f FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(f)) AS BIGINT) AS formatted_chars
-FROM marked GROUP BY conv_id
+FROM marked GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN lone END
 """
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -199,8 +199,10 @@ def _settled(columns: dict[str, np.ndarray], chosen: np.ndarray, buckets: int) -
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FLUSH_ENTRIES) -> DataFrame:
     """doc_id, n_words, removed (word spans, end exclusive) and kept (words joined by a space) of every row.
 
-    A task packs at most about ``most`` hashes at a time."""
-    docs = common.documents(docs, id_col, text_col)
+    A task packs at most about ``most`` hashes at a time. Rows without an id are split into words where they lie: they meet
+    no group, however many share a text."""
+    everything = common.documents(docs, id_col, text_col)
+    docs = everything.where(F.col("doc_id").isNotNull())
     buckets = common.bucket_count(docs)
     grouped = docs.withColumn("group", group_column("doc_id", "text", buckets))
     repeated = repeated_windows(grouped, shared_anchors(docs, buckets, most), buckets, most)
@@ -212,16 +214,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for batch in left.select(["doc_id", "text"]).to_batches():
             for piece in pieces(batch, "text"):
-                words = split_words(piece.column(1))
-                gone = covered(words, *lists_of(piece.column(0), ids, codes))
-                out.append(pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(words.counts().astype(np.int64)), word_spans(words, gone), joined(words, ~gone)],
-                    ["doc_id", "n_words", "removed", "kept"]))
+                out.append(result(piece, ids, codes))
         return pa.Table.from_batches(out, _RESULT) if out else _RESULT.empty_table()
 
-    return by_group(grouped, repeated, work, "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string")
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return result(batch, np.empty(0, np.int64), np.empty(0, np.uint64))
 
+    lone = everything.where(F.col("doc_id").isNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return by_group(grouped, repeated, work, RESULT).unionByName(common.map_batches(lone, whole, RESULT, "text"))
 
+
+def result(piece: pa.RecordBatch, ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """Words removed from and kept of each text, given the repeated windows of documents by id."""
+    words = split_words(piece.column(1))
+    gone = covered(words, *lists_of(piece.column(0), ids, codes))
+    return pa.RecordBatch.from_arrays(
+        [piece.column(0), pa.array(words.counts().astype(np.int64)), word_spans(words, gone), joined(words, ~gone)],
+        ["doc_id", "n_words", "removed", "kept"])
+
+
+RESULT = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("state", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary()), ("checks", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
                      ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])

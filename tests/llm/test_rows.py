@@ -71,15 +71,22 @@ def tree(seed):
         turns = openings[:rng.randrange(3)] + [(rng.choice(["user", "assistant"]), prose(rng.randrange(3), 4)) for _ in range(rng.randrange(5))]
         rows += [(conv, i, r, t) for i, (r, t) in enumerate(turns)]
     rows += [(90, 0, None, None), (90, 0, "assistant", ""), (91, 5, "assistant", "ties"), (91, 5, "assistant", "ties"), (None, 1, "user", "no id"),
+             (None, 2, "assistant", "no id"), *[(None, 1, "assistant", "the same")] * 40, (94, 1, "assistant", "the same"), (None, None, None, None),
              (92, 1, "assistant", "word " * 30_000 + chat.HARD_TEXT), (93, 0, "us\ner", "### \\")]
     rng.shuffle(rows)
     return rows + [(-7, t, r, x) for _, t, r, x in chat.HARD]
 
 
+def plain_turns(rows):
+    """Conversations with their turns in order; each row without an id is one."""
+    for conv in {r[0] for r in rows} - {None}:
+        yield conv, sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
+    yield from ((None, [(t, r or "", x or "")]) for c, t, r, x in rows if c is None)
+
+
 def plain_chat(rows):
     out = []
-    for conv in {r[0] for r in rows}:
-        turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
+    for conv, turns in plain_turns(rows):
         whole = "".join(f"{r}\n{x}\n" for _, r, x in turns)
         learned = "".join(x for _, r, x in turns if r == "assistant")
         formatted = "".join("".join(chat.turn_parts(r, x)) for _, r, x in turns)
@@ -104,8 +111,7 @@ def test_conversations_come_back(spark, frame, vocabulary, partitions):
     stock = sorted(segments.collect(), key=lambda r: r["stream"])
     # every initial part of a conversation is there once, in one gapless stream
     nodes, token = set(), chat.Tokenizer.read(vocabulary)
-    for conv in {r[0] for r in rows}:
-        turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
+    for _, turns in plain_turns(rows):
         nodes |= {tuple(turns_[1:] for turns_ in turns[:i + 1]) for i in range(len(turns))}
     size = sum(len(token.encode(p)) for n in nodes for p in chat.turn_parts(*n[-1]))
     assert [r["stream"] for r in stock] == list(itertools.accumulate([0] + [len(r["tokens"]) for r in stock[:-1]])) and size == sum(len(r["tokens"]) for r in stock)
