@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.forecast.metrics import mae, pinball, rmsle, wape
 from shelfcast.functions.columns import is_finite
-from shelfcast.functions.quantiles import exact_quantiles, join_null_safe, with_quantiles
+from shelfcast.functions.quantiles import value_at_place, with_quantiles
 from shelfcast.operators.audit import require_columns
 from shelfcast.schemas import SALES_GRAIN, SERIES
 
@@ -17,8 +17,8 @@ ALPHA = 0.2
 def conformal_radius(pairs: DataFrame, keys: list[str], alpha: float = ALPHA, check: bool = True) -> DataFrame:
     """Absolute log residual at rank ceil((n+1)(1-alpha)) by key, taking the upper neighbour.
 
-    The rank depends on the group size, so the scores are ranked with a bucketed search:
-    no group is ever ordered as a whole.
+    The rank depends on the group size and is found by counting in buckets: no group is ever ordered as a whole, nothing
+    is collected, and keys may be as many as series.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
@@ -28,17 +28,12 @@ def conformal_radius(pairs: DataFrame, keys: list[str], alpha: float = ALPHA, ch
         ).alias("bad")).first()
         if not row["n"] or row["bad"]:
             raise ValueError("actuals and predictions must be finite and not negative")
-    scored = pairs.select(*keys, F.abs(F.log1p("sales") - F.log1p("prediction")).alias("_s"))
-    sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # Few keys (folds): each distinct level is one quantile request.
-    levels = sizes.withColumn("_level", F.least(F.ceil((F.col("_n") + 1) * (1 - alpha)) / F.col("_n"), F.lit(1.0)))
-    rows = levels.select(*keys, "_n", "_level").collect()
-    wanted = sorted({row["_level"] for row in rows})
-    found = exact_quantiles(scored, keys, {f"_q{i}": ("_s", p) for i, p in enumerate(wanted)}, "higher")
-    joined = join_null_safe(levels, found, keys)
-    pick = F.coalesce(*[F.when(F.col("_level") == p, F.col(f"_q{i}")) for i, p in enumerate(wanted)])
-    return joined.select(*keys, F.col("_n").alias("calibration_observation_count"),
-                         pick.alias("calibration_log_radius"))
+    def place(n: Column) -> Column:
+        rank = F.ceil((n + 1) * (1 - alpha))
+        return F.when(rank < n, rank).otherwise(n - 1)
+
+    return value_at_place(pairs, keys, F.abs(F.log1p("sales") - F.log1p("prediction")), place).select(
+        *keys, F.col("_n").alias("calibration_observation_count"), F.col("_v").alias("calibration_log_radius"))
 
 
 def prediction_intervals(points: DataFrame, radius: DataFrame | float, keys: list[str] | None = None) -> DataFrame:
@@ -93,6 +88,12 @@ def segment_scores(labeled: DataFrame) -> DataFrame:
     return score_intervals(rows, ["segment_type", "segment_value"])
 
 
+def calibrate_series(oof: DataFrame, folds: int = 4, alpha: float = ALPHA) -> DataFrame:
+    """Radius of every series and fold, from the series' own forecasts in the horizon just before it."""
+    earlier = oof.filter(F.col("fold") < folds).withColumn("fold", F.col("fold") + 1)
+    return conformal_radius(earlier, ["fold", *SERIES], alpha)
+
+
 def calibrate_folds(oof: DataFrame, folds: int = 4, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """Intervals per fold, calibrated on the horizon just before it.
 

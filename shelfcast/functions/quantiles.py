@@ -8,6 +8,8 @@ buckets that hold a wanted rank are ordered.  Results equal the built-in ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +125,33 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*aggregates)
 
 
+def value_at_place(df: DataFrame, keys: list[str], value: Column, place: Callable[[Column], Column]) -> DataFrame:
+    """Per key its number of values ``_n`` and the value ``_v`` at a zero-based place that depends on that number.
+
+    Rows are first counted by bucket, which combines before the shuffle; the bucket that holds the place then meets the rows
+    again, and only its rows are counted by value. There is no request per distinct place, so keys may be many. Keys may
+    be null; null values are skipped; a key without values is absent.
+    """
+    values = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_b", _bucket("_v"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # buckets of one key, bounded by their width
+    earlier = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    located = (
+        values.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+        .withColumns({"_n": F.sum("_nb").over(group), "_before": F.coalesce(F.sum("_nb").over(earlier), F.lit(0))})
+        .withColumn("_at", place(F.col("_n")).cast("long"))
+        .filter((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_nb")))
+    )
+    condition = F.col("c._b") == F.col("b._b")
+    for key in keys:
+        condition &= F.col(f"c.{key}").eqNullSafe(F.col(f"b.{key}"))
+    counted = values.alias("c").join(located.alias("b"), condition).groupBy(
+        *[F.col(f"c.{k}").alias(k) for k in keys], F.col("b._n").alias("_n"), F.col("b._before").alias("_before"),
+        F.col("b._at").alias("_at"), F.col("c._v").alias("_v")).agg(F.count(F.lit(1)).alias("_nv"))
+    last = F.col("_before") + F.sum("_nv").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("_last", last).filter(
+        (F.col("_at") >= F.col("_last") - F.col("_nv")) & (F.col("_at") < F.col("_last"))).select(*keys, "_n", "_v")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on keys that may be null; keeps the left keys once."""
     if not keys:

@@ -312,6 +312,12 @@ iv AS MATERIALIZED (SELECT fold, date, store_nbr, family, sales, r AS calibratio
 """
 TWINS["u7_u11_calibration"] = fold("""SELECT fold, n AS calibration_observation_count, r AS calibration_log_radius, a AS calibration_start, z AS calibration_end
 FROM radius""", "calibration_log_radius", INTERVALS)
+TWINS["u7_series_calibration"] = fold("""
+SELECT fold, store_nbr, family, n AS calibration_observation_count, s AS calibration_log_radius FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY fold, store_nbr, family ORDER BY s) AS rn, COUNT(*) OVER (PARTITION BY fold, store_nbr, family) AS n
+  FROM (SELECT fold + 1 AS fold, store_nbr, family, abs(ln(1 + sales) - ln(1 + prediction)) AS s FROM baseline_oof
+        WHERE model = 'rolling_historical_median_28d' AND fold <= 3))
+WHERE rn = 1 + CAST(ceil((n - 1) * LEAST(ceil((n + 1) * (1 - 0.2::DOUBLE)) / n, 1)) AS INT)""", "calibration_log_radius")
 TWINS["u8_prediction_intervals"] = fold("SELECT * FROM iv", "sales calibration_log_radius p10 p50 p90", INTERVALS)
 PIN = "AVG(GREATEST({q} * (sales - {c}), ({q} - 1) * (sales - {c})))"
 P10, P50, P90 = (PIN.format(q=q, c=c) for q, c in (("0.1::DOUBLE", "p10"), ("0.5::DOUBLE", "p50"), ("0.9::DOUBLE", "p90")))

@@ -191,6 +191,9 @@ def test_segments_and_intervals(spark, oof):
     assert (one["observation_count"], one["series_count"], one["fold_count"], one["wape"]) == (12, 2, 4, pytest.approx(20 / 120))
     radius = intervals.conformal_radius(oof.filter("fold = 1"), [])
     assert radius.first()["calibration_log_radius"] == pytest.approx(0.6931471805599453)
+    by_series = intervals.calibrate_series(oof)
+    assert rows(by_series.select("fold", "store_nbr", "calibration_observation_count"), "fold", "store_nbr") == [
+        (f, s, 3 - s) for f in range(2, 5) for s in (1, 2)]
     bounds = intervals.prediction_intervals(oof, 0.5)
     assert not bounds.filter("NOT (p10 <= p50 AND p50 <= p90 AND p10 >= 0)").count()
     assert intervals.score_intervals(bounds, ["fold"]).first()["empirical_coverage"] == pytest.approx(2 / 3)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.columns import has_token, rank_desc, safe_corr, safe_ratio
 from shelfcast.functions.numbering import nested_row_number
-from shelfcast.functions.quantiles import exact_quantiles
+from shelfcast.functions.quantiles import exact_quantiles, value_at_place
 from conftest import rows
 
 
@@ -30,6 +30,19 @@ def test_higher_quantile_and_nulls(spark):
         exact_quantiles(df, [], {"q": ("v", 1.5)})
 
 
+def test_value_at_a_place_that_depends_on_the_size(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(0, 50, 300), np.full(500, 7.0), rng.lognormal(6, 3, 199)]).astype(float).tolist()
+    keys = ["hot"] * 700 + ["cold"] * 298 + [None]
+    df = spark.createDataFrame([*zip(keys, values), ("hot", None), ("nothing", None)], "k string, v double")
+    found = value_at_place(df, ["k"], F.col("v"), lambda n: F.floor(n * 0.6))
+    want = {k: sorted(v for x, v in zip(keys, values) if x == k) for k in ("hot", "cold", None)}
+    assert {r["k"]: (r["_n"], r["_v"]) for r in found.collect()} == {
+        k: (len(v), v[int(np.floor(len(v) * 0.6))]) for k, v in want.items()}
+    assert value_at_place(df, [], F.col("v"), lambda n: n - 1).first()["_v"] == max(values)
+    assert value_at_place(df.limit(0), ["k"], F.col("v"), lambda n: n - 1).count() == 0
+
+
 def test_several_measures_share_one_pass(spark):
     df = spark.createDataFrame([(1, 1.0, 10.0), (1, 3.0, None), (2, 5.0, 7.0)], "k int, a double, b double")
     assert rows(exact_quantiles(df, ["k"], {"ma": ("a", 0.5), "mb": ("b", 0.5)}), "k") == [(1, 2.0, 10.0), (2, 5.0, 7.0)]
