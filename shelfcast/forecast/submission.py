@@ -10,6 +10,7 @@ from shelfcast.forecast.backtest import Run, forecast_runs
 from shelfcast.forecast.boosting import TreeParameters
 from shelfcast.forecast.model import Wanted
 from shelfcast.functions.columns import is_finite
+from shelfcast.functions.numbering import global_row_number
 from shelfcast.operators import features
 from shelfcast.operators.audit import assert_unique, require_columns
 from shelfcast.schemas import SALES_GRAIN, SERIES
@@ -76,10 +77,16 @@ def validate_submission(submission: DataFrame, future: DataFrame, train: DataFra
         raise ValueError(f"invalid submission: {row}")
 
 
-def ordered_id_hash(submission: DataFrame) -> DataFrame:
-    """Fingerprint of the id set: per-id hashes combined without ordering the table."""
-    digest = F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return submission.agg(F.count(F.lit(1)).alias("id_count"), F.sum(digest).cast("string").alias("id_fingerprint"))
+def ordered_id_hash(submission: DataFrame, order: list[str]) -> DataFrame:
+    """Fingerprint of the ids in their order: hashes of (place, id) added up, so two ids that change places show.
+
+    Places come from sorted partitions and one offset each; sums combine in any order, so no task sees the whole list.
+    """
+    placed = global_row_number(submission.select("id", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]),
+                               [F.col(f"_o{i}") for i in range(len(order))], "_place")
+    text = F.concat_ws(":", F.col("_place").cast("string"), F.col("id").cast("string"))
+    digest = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return placed.agg(F.count(F.lit(1)).alias("id_count"), F.sum(digest).cast("string").alias("id_fingerprint"))
 
 
 def train_and_forecast(train: DataFrame, future: DataFrame, stores: DataFrame, holidays: DataFrame,

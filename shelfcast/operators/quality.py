@@ -580,6 +580,28 @@ def enforce_warehouse_gate(clean: Tables, t: Tables) -> None:
         raise RuntimeError(f"warehouse not published: {', '.join(sorted(bad))} differ from the cleaned tables")
 
 
+def gate_violations(clean: Tables, t: Tables, pairs: DataFrame) -> DataFrame:
+    """What the refusing checks of the jobs would refuse: missing columns, repeated sales grain, unmapped keys, unusable pairs."""
+    one = pairs.sparkSession.range(1)
+
+    def counted(rule: str, table: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.col("n").cast("long").alias("violations"))
+
+    frames = [
+        counted("required columns", name, one.select(F.lit(len(set(grain) - set(clean[name].columns))).alias("n")))
+        for name, grain in CLEAN_GRAINS.items() if name in clean]
+    repeated = grain_counts(clean["train"], CLEAN_GRAINS["train"]).filter("row_count > 1")
+    frames.append(counted("sales grain", "train", _counted(repeated)))
+    for name in ("train", "transactions", "holidays"):
+        for column, parent, key in (("date", "dim_date", "full_date"), ("store_nbr", "dim_store", "store_nbr"), ("family", "dim_family", "family")):
+            if column in clean[name].columns:
+                frames.append(counted(f"unmapped {column}", name, rows_without_parent(
+                    clean[name], t[parent].select(F.col(key).alias(column)), [column])))
+    unusable = ~is_finite("sales") | ~is_finite("prediction") | (F.col("sales") < 0)
+    frames.append(counted("usable pairs", "pairs", _counted(pairs, F.coalesce(unusable, F.lit(True)))))
+    return union_all(frames)
+
+
 def store_day_and_holiday_checks(t: Tables) -> DataFrame:
     """Grid completeness, key formula, key coverage and holiday mapping."""
     grid, keys = t["dim_store_date"], ["date_key", "store_key"]

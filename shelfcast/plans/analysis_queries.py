@@ -100,7 +100,16 @@ query("t1_unmapped_store_days")(lambda ws: transaction_analysis.unmapped_store_d
 query("t2_t3_outliers_and_trend")(lambda ws: transaction_analysis.add_outliers_and_trend(
     transaction_analysis.store_day_frame(ws.warehouse(), check=False)))
 query("t4_store_summary")(lambda ws: transaction_analysis.store_summary(_store_days(ws)))
-query("t5_monthly_driver")(lambda ws: transaction_analysis.monthly_driver(_store_days(ws)))
+
+
+@query("t5_monthly_driver")
+def monthly_driver(ws: Workspace) -> DataFrame:
+    """Monthly driver split, given only if the effects add up to the change."""
+    drivers = ws.stored("result_monthly_driver", lambda: transaction_analysis.monthly_driver(_store_days(ws)))
+    transaction_analysis.assert_driver_identity(drivers)
+    return drivers
+
+
 query("t6_daily_totals")(lambda ws: transaction_analysis.daily_totals(_store_days(ws)))
 query("t6_overall_correlation")(lambda ws: transaction_analysis.overall_correlation(_store_days(ws)))
 query("t7_calendar_distributions")(lambda ws: transaction_analysis.calendar_distributions(_store_days(ws)))

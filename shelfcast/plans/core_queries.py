@@ -47,6 +47,29 @@ def column_profiles(ws: Workspace) -> DataFrame:
     return audit.profile_tables(ws.raw())
 
 
+@query("s1_s9_csv_profiles")
+def csv_profiles(ws: Workspace) -> DataFrame:
+    """Profiles of the source tables read from CSV; equal to those of the tables they were written from."""
+    tables = ws.csv_sources()
+    return audit.profile_tables({name: tables[name] for name in ws.raw()})
+
+
+@query("s8_sample_submission")
+def sample_submission(ws: Workspace) -> DataFrame:
+    return ws.csv_sources()["sample_submission"]
+
+
+@query("s10_s11_pruned_star")
+def pruned_star(ws: Workspace) -> DataFrame:
+    """Daily sales and visits from a scan of only the columns that they need."""
+    ws.warehouse()
+    t = sinks.read_published_tables(ws.spark, f"{ws.root}/warehouse", ["fact_daily_sales", "fact_store_transactions"], {
+        "fact_daily_sales": ["date_key", "sales"], "fact_store_transactions": ["date_key", "transactions"]})
+    sales = t["fact_daily_sales"].groupBy("date_key").agg(F.sum("sales").alias("total_sales"))
+    visits = t["fact_store_transactions"].groupBy("date_key").agg(F.sum("transactions").alias("total_transactions"))
+    return sales.join(visits, "date_key", "full")
+
+
 @query("q3_q4_duplicated_grains")
 def duplicated_grains(ws: Workspace) -> DataFrame:
     return audit.duplicated_grains(ws.raw()["holidays"], ["date"], "holidays", 20)

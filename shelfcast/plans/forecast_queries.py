@@ -11,7 +11,7 @@ from shelfcast.forecast import (
 from shelfcast.forecast.backtest import fold_origins
 from shelfcast.forecast.model import encode_categories
 from shelfcast.functions.columns import one_row
-from shelfcast.operators import features, readiness
+from shelfcast.operators import features, quality, readiness
 from shelfcast.operators.audit import union_all
 from shelfcast.plans.registry import query
 from shelfcast.plans.workspace import Workspace
@@ -34,6 +34,11 @@ def _oof(ws: Workspace) -> DataFrame:
         ws.rollup()["train"], first_fold=0))
 
 
+@query("q7_c5_w7_m5_gate_violations")
+def gate_violations(ws: Workspace) -> DataFrame:
+    return quality.gate_violations(ws.clean(), ws.warehouse(), _oof(ws))
+
+
 def _segment_oof(ws: Workspace) -> DataFrame:
     return _oof(ws).filter((F.col("model") == SEGMENT_MODEL) & (F.col("fold") >= 1)).select(
         "fold", *SALES_GRAIN, "sales", "prediction")

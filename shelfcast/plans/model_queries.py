@@ -10,6 +10,7 @@ from shelfcast.functions.columns import rounded
 from shelfcast.plans.forecast_queries import _labels, _scores
 from shelfcast.plans.registry import query
 from shelfcast.plans.workspace import Workspace
+from shelfcast.schemas import SALES_GRAIN
 
 #: Every registered model is fitted on the library's whole schedule.
 FULL = model.TreeParameters()
@@ -135,7 +136,7 @@ def final_forecast(ws: Workspace) -> DataFrame:
     return publish(rounded(result), f"{ws.root}/submission", validate)
 
 
-query("q39_id_fingerprint")(lambda ws: submission.ordered_id_hash(ws.rollup()["future"]))
+query("q39_id_fingerprint")(lambda ws: submission.ordered_id_hash(ws.rollup()["future"], SALES_GRAIN))
 
 
 # ------------------------------------------------------------------ what SQL can state about fitted models

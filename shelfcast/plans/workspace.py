@@ -18,7 +18,7 @@ from shelfcast.functions.columns import one_row
 from shelfcast.operators import cleaning, features, marts, quality, warehouse
 from shelfcast.schemas import WAREHOUSE_GRAINS
 from shelfcast.session import shared_folder
-from shelfcast.sources import load, sinks, star_adapter
+from shelfcast.sources import files, load, sinks, star_adapter
 
 _WORKSPACES: dict[tuple[str, str], "Workspace"] = {}
 
@@ -33,6 +33,7 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/shelfcast-{spark.sparkContext.applicationId}/{label}"
         self._done: dict[str, DataFrame] = {}
         self._paths: dict[str, str] = {}
+        self._files: set[str] = set()
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Workspace":
@@ -73,6 +74,17 @@ class Workspace:
             "holidays": self.stored("raw_holidays", lambda: star_adapter.holidays(spark, folder)),
         }
 
+    def csv_sources(self) -> dict[str, DataFrame]:
+        """All seven sources, written as CSV files once and read back with their declared types."""
+        folder = f"{self.root}/csv"
+        if "csv" not in self._files:
+            future = self.rollup()["future"]
+            tables = {**self.raw(), "test": future, "sample_submission": future.select("id", F.lit(0.0).alias("sales"))}
+            for name, table in tables.items():
+                files.write_csv_source(table, folder, name)
+            self._files.add("csv")
+        return files.load_all_sources(self.spark, folder)
+
     def clean(self) -> dict[str, DataFrame]:
         """Cleaned tables; readers see them after the gate has passed on the stored copies."""
         names = ("train", "stores", "transactions", "oil", "holidays")

@@ -45,6 +45,13 @@ def load_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_csv(spark, f"{folder}/{file_name}", schema)
 
 
+def write_csv_source(df: DataFrame, folder: str, name: str) -> None:
+    """A source table as CSV files that ``load_source`` reads back: declared columns, in their order, with headers."""
+    file_name, schema = CSV_SOURCES[name]
+    rows = df.select(*schema.fieldNames()).write.mode("overwrite")
+    rows.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(f"{folder}/{file_name}")
+
+
 def load_all_sources(spark: SparkSession, folder: str, register: bool = False) -> dict[str, DataFrame]:
     """Every source by name, optionally also as temporary views."""
     tables = {name: load_source(spark, folder, name) for name in CSV_SOURCES}

@@ -124,12 +124,13 @@ class Staged:
         return f"{self.folder}/versions/{self.version}"
 
 
-def read_published_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    """Tables of the current version of a published set, all of one version."""
+def read_published_tables(spark: SparkSession, folder: str, names: Iterable[str],
+                          columns: Mapping[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """Tables of the current version of a published set, all of one version; of some only the named columns."""
     found = _pointers(spark, folder)
     if not found:
         raise FileNotFoundError(f"nothing has been published in {folder}")
-    tables = read_tables(spark, f"{folder}/versions/{max(found)[1]}", list(names))
+    tables = read_tables(spark, f"{folder}/versions/{max(found)[1]}", list(names), columns)
     return {name: table.drop("year") if name in PARTITIONED else table for name, table in tables.items()}
 
 

@@ -45,6 +45,12 @@ TWINS["q1_q2_column_profiles"] = twin(
     f"SELECT * FROM (" + " UNION ALL ".join(
         _profile(t, c, k) for t, columns in COLUMNS.items() for c, k in columns)
     + f") AS p({PROFILE_COLUMNS})", "missing_pct min_value max_value")
+TWINS["s1_s9_csv_profiles"] = TWINS["q1_q2_column_profiles"]
+TWINS["s8_sample_submission"] = twin("SELECT id, 0.0::DOUBLE AS sales FROM r_future", layers="sources rollup")
+TWINS["s10_s11_pruned_star"] = twin("""
+SELECT date_key, total_sales, CAST(total_transactions AS BIGINT) AS total_transactions
+FROM (SELECT date_key, SUM(sales) AS total_sales FROM fact_daily_sales GROUP BY 1)
+FULL JOIN (SELECT date_key, SUM(transactions) AS total_transactions FROM fact_store_transactions GROUP BY 1) USING (date_key)""", "total_sales")
 TWINS["q3_q4_duplicated_grains"] = twin("""
 SELECT 'holidays' AS table_name, date, COUNT(*) AS row_count FROM src_holidays
 GROUP BY date HAVING COUNT(*) > 1 ORDER BY date LIMIT 20""", layers="sources")

@@ -312,6 +312,16 @@ iv AS MATERIALIZED (SELECT fold, date, store_nbr, family, sales, r AS calibratio
 """
 TWINS["u7_u11_calibration"] = fold("""SELECT fold, n AS calibration_observation_count, r AS calibration_log_radius, a AS calibration_start, z AS calibration_end
 FROM radius""", "calibration_log_radius", INTERVALS)
+UNMAPPED = {"date": "(SELECT full_date FROM dim_date)", "store_nbr": "(SELECT store_nbr FROM dim_store)", "family": "(SELECT family FROM dim_family)"}
+MAPPED = {"train": ("train", ["date", "store_nbr", "family"]), "transactions": ("src_transactions", ["date", "store_nbr"]),
+          "holidays": ("holiday_days", ["date", "store_nbr"])}
+TWINS["q7_c5_w7_m5_gate_violations"] = twin(" UNION ALL ".join(
+    [f"SELECT 'required columns' AS rule, '{t}' AS table_name, CAST(0 AS BIGINT) AS violations" for t in ("train", "stores", "transactions", "oil", "holidays")]
+    + ["SELECT 'sales grain', 'train', COUNT(*) FROM (SELECT 1 FROM train GROUP BY date, store_nbr, family HAVING COUNT(*) > 1)"]
+    + [f"SELECT 'unmapped {c}', '{t}', COUNT(*) FILTER ({c} IS NULL OR {c} NOT IN {UNMAPPED[c]}) FROM {view}"
+       for t, (view, columns) in MAPPED.items() for c in columns]
+    + ["SELECT 'usable pairs', 'pairs', COUNT(*) FILTER (NOT COALESCE(isfinite(sales) AND isfinite(prediction) AND sales >= 0, false)) FROM baseline_oof"]),
+    layers="sources warehouse rollup", more=FOLDS)
 TWINS["u7_series_calibration"] = fold("""
 SELECT fold, store_nbr, family, n AS calibration_observation_count, s AS calibration_log_radius FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY fold, store_nbr, family ORDER BY s) AS rn, COUNT(*) OVER (PARTITION BY fold, store_nbr, family) AS n
@@ -366,4 +376,5 @@ TWINS["z5_forecast_contract"] = twin("""
 SELECT COUNT(*) AS submission_rows, COUNT(*) AS future_rows, 0::BIGINT AS duplicate_ids, 0::BIGINT AS missing_ids, 0::BIGINT AS unknown_ids,
        0::BIGINT AS non_finite_sales, 0::BIGINT AS negative_sales FROM r_future""", layers="sources rollup")
 TWINS["q39_id_fingerprint"] = twin("""
-SELECT COUNT(*) AS id_count, CAST(SUM(CAST('0x' || substr(sha256(CAST(id AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS id_fingerprint FROM r_future""", layers="sources rollup")
+SELECT COUNT(*) AS id_count, CAST(SUM(CAST('0x' || substr(sha256(place || ':' || id), 1, 15) AS BIGINT)) AS VARCHAR) AS id_fingerprint
+FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY date, store_nbr, family) AS place FROM r_future)""", layers="sources rollup")

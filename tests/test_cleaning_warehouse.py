@@ -285,3 +285,16 @@ def test_global_row_number(spark):
     got = global_row_number(df.repartition(6), [F.col("k")], "n").orderBy("k").collect()
     assert [r["n"] for r in got] == list(range(1, 1001))
     assert global_row_number(df.limit(0), [F.col("k")], "n").count() == 0
+
+
+def test_gate_violations_are_counted(spark, folder):
+    from shelfcast.plans.workspace import Workspace
+    ws = Workspace.of(spark, folder)
+    clean, t = ws.clean(), ws.warehouse()
+    strange = clean["train"].limit(1)
+    train = clean["train"].unionByName(strange).unionByName(strange.withColumns({"store_nbr": F.lit(999), "family": F.lit("none")}))
+    pairs = spark.createDataFrame([(1.0, 2.0), (-1.0, 2.0), (1.0, float("nan")), (None, 1.0)], "sales double, prediction double")
+    found = quality.gate_violations({**clean, "train": train, "oil": clean["oil"].drop("date")}, t, pairs)
+    assert {(r["rule"], r["table_name"]): r["violations"] for r in found.collect() if r["violations"]} == {
+        ("required columns", "oil"): 1, ("sales grain", "train"): 1, ("unmapped store_nbr", "train"): 1,
+        ("unmapped family", "train"): 1, ("usable pairs", "pairs"): 3}

@@ -273,3 +273,13 @@ def test_experiments_resume(spark, folder, tmp_path, monkeypatch):
     assert backtest.run_experiments(frame, frame, frame, {1: origins[1]}, plan, path).count() == 1
     assert backtest.run_experiments(frame, frame, frame, origins, plan, path).count() == 2
     assert calls == [{1: origins[1]}, {2: origins[2]}]
+
+
+def test_id_fingerprint_sees_the_order(spark):
+    from shelfcast.forecast import submission
+    data = [(i, 100 + i) for i in range(50)]
+    swapped = [(i, {3: 107, 7: 103}.get(i, v)) for i, v in data]
+    of = lambda pairs, parts: submission.ordered_id_hash(
+        spark.createDataFrame(pairs, "place int, id long").repartition(parts), ["place"]).first()
+    assert of(data, 1) == of(data[::-1], 7)
+    assert of(data, 3)["id_count"] == 50 and of(data, 3)["id_fingerprint"] != of(swapped, 3)["id_fingerprint"]
