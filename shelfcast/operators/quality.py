@@ -592,9 +592,10 @@ def gate_violations(clean: Tables, t: Tables, pairs: DataFrame) -> DataFrame:
         for name, grain in CLEAN_GRAINS.items() if name in clean]
     repeated = grain_counts(clean["train"], CLEAN_GRAINS["train"]).filter("row_count > 1")
     frames.append(counted("sales grain", "train", _counted(repeated)))
+    mapped = {"date": ("dim_date", "full_date"), "store_nbr": ("dim_store", "store_nbr"), "family": ("dim_family", "family")}
     for name in ("train", "transactions", "holidays"):
-        for column, parent, key in (("date", "dim_date", "full_date"), ("store_nbr", "dim_store", "store_nbr"), ("family", "dim_family", "family")):
-            if column in clean[name].columns:
+        for column, (parent, key) in mapped.items():
+            if column in clean[name].columns and (name, column) != ("holidays", "date"):  # days off the calendar are left out
                 frames.append(counted(f"unmapped {column}", name, rows_without_parent(
                     clean[name], t[parent].select(F.col(key).alias(column)), [column])))
     unusable = ~is_finite("sales") | ~is_finite("prediction") | (F.col("sales") < 0)

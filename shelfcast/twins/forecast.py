@@ -314,7 +314,7 @@ TWINS["u7_u11_calibration"] = fold("""SELECT fold, n AS calibration_observation_
 FROM radius""", "calibration_log_radius", INTERVALS)
 UNMAPPED = {"date": "(SELECT full_date FROM dim_date)", "store_nbr": "(SELECT store_nbr FROM dim_store)", "family": "(SELECT family FROM dim_family)"}
 MAPPED = {"train": ("train", ["date", "store_nbr", "family"]), "transactions": ("src_transactions", ["date", "store_nbr"]),
-          "holidays": ("holiday_days", ["date", "store_nbr"])}
+          "holidays": ("holiday_days", ["store_nbr"])}
 TWINS["q7_c5_w7_m5_gate_violations"] = twin(" UNION ALL ".join(
     [f"SELECT 'required columns' AS rule, '{t}' AS table_name, CAST(0 AS BIGINT) AS violations" for t in ("train", "stores", "transactions", "oil", "holidays")]
     + ["SELECT 'sales grain', 'train', COUNT(*) FROM (SELECT 1 FROM train GROUP BY date, store_nbr, family HAVING COUNT(*) > 1)"]
