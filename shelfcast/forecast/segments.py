@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.forecast.metrics import mae, rmsle
 from shelfcast.functions.columns import is_finite, safe_ratio
+from shelfcast.functions.numbering import global_row_number
 from shelfcast.operators.audit import assert_unique, require_columns
 from shelfcast.schemas import SALES_GRAIN, SERIES
 
@@ -65,9 +66,8 @@ def segment_tables(labeled: DataFrame, segments: list[str]) -> DataFrame:
 
 
 def best_and_worst(scores: DataFrame, key: str, n: int = 10, metric: str = "rmsle") -> DataFrame:
-    """The ``n`` smallest and largest segments by one metric; segments are few."""
-    whole = Window.partitionBy(F.lit(0))
-    up = F.row_number().over(whole.orderBy(metric, key))
-    down = F.row_number().over(whole.orderBy(F.col(metric).desc(), key))
-    ranked = scores.withColumns({"best_rank": up, "worst_rank": down})
+    """The ``n`` smallest and largest segments by one metric; places come from sorted partitions, since segments may be series."""
+    up = global_row_number(scores, [F.col(metric).asc(), F.col(key).asc()], "best_rank")
+    both = global_row_number(up, [F.col(metric).desc(), F.col(key).asc()], "worst_rank")
+    ranked = both.withColumns({c: F.col(c).cast("int") for c in ("best_rank", "worst_rank")})
     return ranked.filter((F.col("best_rank") <= n) | (F.col("worst_rank") <= n))

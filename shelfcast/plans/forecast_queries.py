@@ -212,16 +212,17 @@ query("u6_best_and_worst")(lambda ws: segments.best_and_worst(
         "series", F.concat_ws("/", F.col("store_nbr").cast("string"), "family")), "series", 3))
 
 
-def _segment_oof(ws: Workspace) -> DataFrame:
+def _calibration_oof(ws: Workspace) -> DataFrame:
+    """Predictions of one model over all folds, the earliest included."""
     return _oof(ws).filter(F.col("model") == SEGMENT_MODEL).select("fold", *SALES_GRAIN, "sales", "prediction")
 
 
 def _calibrated(ws: Workspace):
-    return intervals.calibrate_folds(_segment_oof(ws))
+    return intervals.calibrate_folds(_calibration_oof(ws))
 
 
 query("u7_u11_calibration")(lambda ws: _calibrated(ws)[1])
-query("u7_series_calibration")(lambda ws: intervals.calibrate_series(_segment_oof(ws)))
+query("u7_series_calibration")(lambda ws: intervals.calibrate_series(_calibration_oof(ws)))
 query("u8_prediction_intervals")(lambda ws: _calibrated(ws)[0])
 query("u9_u10_interval_scores")(lambda ws: intervals.score_intervals(_calibrated(ws)[0], ["fold"]))
 
