@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["core_queries", "analysis_queries", "forecast_queries", "model_queries"]
+_MODULES = ["core_queries", "analysis_queries", "forecast_queries", "model_queries", "series_queries"]
 
 
 def all_queries():

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from shelfcast.forecast import submission
 from shelfcast.functions.columns import one_row
 from shelfcast.operators import cleaning, features, marts, quality, warehouse
-from shelfcast.schemas import WAREHOUSE_GRAINS
+from shelfcast.schemas import SERIES, WAREHOUSE_GRAINS
 from shelfcast.session import shared_folder
 from shelfcast.sources import files, load, sinks, star_adapter
 
-_WORKSPACES: dict[tuple[str, str], "Workspace"] = {}
+_WORKSPACES: dict[tuple[type, str, str], "Workspace"] = {}
 
 
 class Workspace:
@@ -37,12 +37,13 @@ class Workspace:
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Workspace":
-        key = (spark.sparkContext.applicationId, folder.rstrip("/"))
+        key = (cls, spark.sparkContext.applicationId, folder.rstrip("/"))
         if key not in _WORKSPACES:
             _WORKSPACES[key] = cls(spark, folder)
         space = _WORKSPACES[key]
         if space.spark is not spark:
-            space.spark, space._done = spark, {name: spark.read.parquet(path) for name, path in space._paths.items()}
+            space.spark = spark
+            space._done = {name: space._reader(name, path) for name, path in space._paths.items()}
         return space
 
     def stored(self, name: str, build: Callable[[], DataFrame], by_year: bool = False) -> DataFrame:
@@ -55,7 +56,10 @@ class Workspace:
         return table.drop("year") if by_year else table
 
     def _keep(self, name: str, path: str) -> None:
-        self._paths[name], self._done[name] = path, self.spark.read.parquet(path)
+        self._paths[name], self._done[name] = path, self._reader(name, path)
+
+    def _reader(self, name: str, path: str) -> DataFrame:
+        return self.spark.read.parquet(path)
 
     def _read(self, name: str, by_year: bool = False) -> DataFrame:
         return self._done[name].drop("year") if by_year else self._done[name]
@@ -180,6 +184,71 @@ class Workspace:
         return self.training_frame().drop(*features.LAG_FEATURES, *features.ROLLING_FEATURES)
 
 
+class SeriesWorkspace(Workspace):
+    """The forecast layers with every store and family as a series of its own; sources and warehouse are shared.
+
+    The history is stored bucketed by series and sorted by day: densifying, lags, rolling statistics and folds of one
+    series find all its rows in one file and need no shuffle of their own.
+    """
+
+    #: Rows of the history in a bucket; the number of buckets follows the table's size.
+    BUCKET_ROWS = 1 << 20
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        self.root += "-store-family"
+        self._tables: dict[str, str] = {}
+
+    @property
+    def base(self) -> Workspace:
+        return Workspace.of(self.spark, self.folder)
+
+    def raw(self) -> dict[str, DataFrame]:
+        return self.base.raw()
+
+    def clean(self) -> dict[str, DataFrame]:
+        return self.base.clean()
+
+    def warehouse(self) -> dict[str, DataFrame]:
+        return self.base.warehouse()
+
+    def bucketed(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``name``, bucketed by series, one file a bucket."""
+        if name not in self._done:
+            table, path = f"shelfcast_{hashlib.sha256(self.root.encode()).hexdigest()[:12]}_{name}", f"{self.root}/{name}"
+            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = max(least, -(-self.raw()["train"].count() // self.BUCKET_ROWS))
+            sinks.write_bucketed(build(), table, path, SERIES, "date", buckets)
+            self._tables[name] = table
+            self._keep(name, path)
+        return self._done[name]
+
+    def _reader(self, name: str, path: str) -> DataFrame:
+        return self.spark.table(self._tables[name]) if name in self._tables else super()._reader(name, path)
+
+    def rollup(self) -> dict[str, DataFrame]:
+        """train, future, all, stores and holidays as in the rolled-up layer, one series per store and family."""
+        raw = self.raw()
+        everything = raw["train"].drop("id")
+        split: dict[str, DataFrame] = {}
+
+        def part(name: str) -> DataFrame:
+            if not split:
+                split["train"], split["future"] = star_adapter.rollup_train_and_future(everything)
+            return split[name]
+
+        return {
+            "all": everything,
+            "train": self.bucketed("train", lambda: part("train")),
+            "future": self.stored("future", lambda: part("future")),
+            "stores": self.stored("stores", lambda: cleaning.clean_stores(raw["stores"])),
+            "raw_holidays": raw["holidays"],
+        }
+
+    def rollup_star(self) -> dict[str, DataFrame]:
+        return self.warehouse()
+
+
 def stage_warehouse(staged: sinks.Staged, clean: dict[str, DataFrame]) -> None:
     """Write the eight tables; dimensions, bridge and grid are stored before facts use them."""
     start, end = cleaning.calendar_bounds(clean["train"], clean["transactions"])

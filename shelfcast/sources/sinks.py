@@ -40,6 +40,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by_year: bool
         df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], order: str, buckets: int) -> None:
+    """Write ``df`` as a table in ``buckets`` files by ``keys``, each sorted by keys and ``order``.
+
+    Aggregations, windows and joins by ``keys`` over the table need no shuffle of it.
+    """
+    df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(
+        *keys, order).option("path", path).saveAsTable(table)
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     for name, table in tables.items():
         write_table(table, f"{folder}/{name}", mode, by_year=name in PARTITIONED)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["core", "analysis", "forecast"]
+_MODULES = ["core", "analysis", "forecast", "series"]
 
 
 def all_twins() -> dict[str, str]:

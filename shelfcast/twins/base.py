@@ -165,7 +165,7 @@ seasonality AS (
   JOIN dim_date USING (date_key) GROUP BY ALL)
 """
 
-ROLLUP = """
+ROLLED = """
 rollup AS MATERIALIZED (
   SELECT date, 101 + n_regionkey AS store_nbr, 'ALL' AS family, SUM(sales) AS sales, CAST(SUM(onpromotion) AS INT) AS onpromotion
   FROM src_sales JOIN nation ON store_nbr = n_nationkey + 1 GROUP BY date, n_regionkey
@@ -174,6 +174,8 @@ rollup AS MATERIALIZED (
 r_stores AS (
   SELECT 101 + r_regionkey AS store_nbr, 'ALL' AS city, r_name AS state, 'A' AS store_type, 1 AS cluster FROM region
   UNION ALL SELECT 100, 'ALL', 'ALL', 'B', 2),
+"""
+SPLIT = """
 r_train AS MATERIALIZED (SELECT r.* FROM rollup r, span WHERE date_diff('day', r.date, z) >= 16),
 r_future AS MATERIALIZED (
   SELECT ROW_NUMBER() OVER (ORDER BY d.date, s.store_nbr, s.family) AS id, d.date, s.store_nbr, s.family,
@@ -183,7 +185,7 @@ r_future AS MATERIALIZED (
   LEFT JOIN rollup r ON r.date = d.date AND r.store_nbr = s.store_nbr AND r.family = s.family)
 """
 
-LAYERS = {"sources": SOURCES, "warehouse": WAREHOUSE, "marts": MARTS, "rollup": ROLLUP}
+LAYERS = {"sources": SOURCES, "warehouse": WAREHOUSE, "marts": MARTS, "rollup": ROLLED + SPLIT.lstrip()}
 
 
 def twin(body: str, doubles: str = "", ints: str = "", layers: str = "sources warehouse",
