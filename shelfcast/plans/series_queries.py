@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.forecast import intermittent
+from shelfcast.forecast import evaluate, intermittent
+from shelfcast.forecast.backtest import fold_scores
 from shelfcast.operators import features
 from shelfcast.operators.audit import union_all
 from shelfcast.plans import forecast_queries as rolled
+from shelfcast.plans import model_queries as models
 from shelfcast.plans.registry import QUERIES, query
 from shelfcast.plans.workspace import SeriesWorkspace, Workspace
 from shelfcast.schemas import SALES_GRAIN, SERIES
@@ -80,3 +82,46 @@ def baselines_on_cohort(ws: Workspace) -> DataFrame:
     space = by_series(ws)
     return rolled._oof(space).filter("fold >= 1").select("model", "fold", *SALES_GRAIN, "sales", "prediction").join(
         cohort(space), SERIES, "left_semi").groupBy("model", "fold").agg(*intermittent.error_metrics())
+
+
+# ------------------------------------------------------------------ stored model scores against each other
+
+def _model_scores(ws: Workspace) -> DataFrame:
+    """Scores on the cohort per strategy and fold: intermittent methods, two stages and the global model as control."""
+    space = by_series(ws)
+    members = cohort(space)
+    return space.stored("result_cohort_scores", lambda: union_all([
+        croston_scores(ws).select("model", "fold", "rmsle", "mae", "wape"),
+        intermittent.score_cohort(models._two_stage_oof(space), members, "two_stage"),
+        intermittent.score_cohort(models._folds(space), members, intermittent.CONTROL)]))
+
+
+query("g1_g2_g6_oof_contract" + SUFFIX)(lambda ws: models.oof_contract(by_series(ws)))
+query("g9_model_scores" + SUFFIX)(lambda ws: fold_scores(models._folds(by_series(ws))))
+query("i7_i9_model_scores_on_cohort" + SUFFIX)(_model_scores)
+query("i5_routing_summary_models" + SUFFIX)(lambda ws: intermittent.summarize_routing(_model_scores(ws)))
+query("i10_fold_wins_models" + SUFFIX)(lambda ws: intermittent.fold_wins(_model_scores(ws)))
+
+
+@query("i5_i10_routing_contract" + SUFFIX)
+def routing_contract(ws: Workspace) -> DataFrame:
+    """What must hold of the routing table: strategies, folds, the control beside them, eligibility by its own rule."""
+    scores = _model_scores(ws)
+    summary, wins = intermittent.summarize_routing(scores), intermittent.fold_wins(scores)
+    gain = F.col("rmsle_improvement_vs_global")
+    return summary.join(wins.select("model", "fold_wins"), "model", "left").select(
+        "model", "fold_count", (F.col("model") == intermittent.CONTROL).alias("is_control"),
+        ((F.col("routing_eligible") == (gain >= intermittent.MIN_IMPROVEMENT)) | (F.col("model") == intermittent.CONTROL)).alias("eligible_by_rule"),
+        F.coalesce(F.col("fold_wins").between(0, 4), F.col("model") == intermittent.CONTROL).alias("wins_in_range"))
+
+
+@query("g8_strategy_comparison_models" + SUFFIX)
+def strategy_comparison(ws: Workspace) -> DataFrame:
+    """The global model per fold against the strongest baseline of the stored backtest."""
+    space = by_series(ws)
+    baseline = rolled._scores(space).filter(F.col("model") == rolled.SEGMENT_MODEL)
+    return evaluate.compare_strategies(baseline, fold_scores(models._folds(space)))
+
+
+query("g8_strategy_contract" + SUFFIX)(lambda ws: strategy_comparison(ws).select(
+    "fold", "previous_rmsle", (F.col("current_minus_previous") == F.col("current_rmsle") - F.col("previous_rmsle")).alias("difference_holds")))

@@ -65,3 +65,11 @@ TWINS["i8_intermittent_scores" + SUFFIX] = cohort("SELECT * FROM cx", forecast.M
 TWINS["i7_baselines_on_cohort" + SUFFIX] = cohort(f"""
 SELECT model, fold, {forecast.ERRORS} FROM baseline_oof SEMI JOIN cohort USING (store_nbr, family) WHERE fold >= 1 GROUP BY model, fold""",
                                                   forecast.METRICS)
+
+# ------------------------------------------------------------------ contracts of fitted models
+TWINS["g1_g2_g6_oof_contract" + SUFFIX] = by_series(forecast.TWINS["g1_g2_g6_oof_contract"])
+TWINS["i5_i10_routing_contract" + SUFFIX] = """
+SELECT model, 4::BIGINT AS fold_count, model = 'global_model_tuned' AS is_control, true AS eligible_by_rule, true AS wins_in_range
+FROM (VALUES ('croston'), ('sba'), ('tsb'), ('two_stage'), ('global_model_tuned')) AS t(model)"""
+TWINS["g8_strategy_contract" + SUFFIX] = by_series(forecast.fold("""
+SELECT fold, rmsle AS previous_rmsle, true AS difference_holds FROM bs WHERE model = 'rolling_historical_median_28d'""", "previous_rmsle"))
