@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from shelfcast.operators.audit import (
     grain_counts, grain_summary, orphan_keys, union_all,
 )
 from shelfcast.operators.marts import MART_GRAINS
+from shelfcast.operators.rules import Check, RuleBook
 from shelfcast.operators.warehouse import store_day_key
 from shelfcast.schemas import CLEAN_GRAINS, WAREHOUSE_GRAINS
 
@@ -24,40 +26,23 @@ def number_text(value: Column) -> Column:
     return value.cast("decimal(38,7)").cast("string")
 
 
-def check_row(df: DataFrame, name: str, actual: Column, expected: Column | str, passed: Column,
-              details: str, severity: str = "FAIL") -> DataFrame:
-    expected = F.lit(expected) if isinstance(expected, str) else expected
-    return df.select(
-        F.lit(name).alias("check_name"), F.lit(severity).alias("severity"),
-        actual.cast("string").alias("actual_value"), expected.cast("string").alias("expected_value"),
-        F.coalesce(passed, F.lit(False)).alias("passed"), F.lit(details).alias("details"),
-    )
-
-
 def _counted(df: DataFrame, condition: Column | None = None) -> DataFrame:
     return df.agg((F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias("n"))
 
 
-def _zero_check(counted: DataFrame, name: str, details: str) -> DataFrame:
-    return check_row(counted, name, F.col("n"), "0", F.col("n") == 0, details)
+def _zero(name: str, value: Column, details: str) -> Check:
+    return Check(name, value, "0", value == 0, details)
 
 
-def row_count_checks(t: Tables) -> DataFrame:
+def row_count_rules(book: RuleBook) -> list[Check]:
     """No table may be empty; an empty holiday bridge is only a warning."""
-    return union_all([
-        check_row(_counted(t[name]), f"{name}_row_count", F.col("n"), "> 0", F.col("n") > 0,
-                  f"analytics.{name} row count",
-                  "WARNING" if name == "bridge_store_holiday" else "FAIL")
-        for name in WAREHOUSE_GRAINS
-    ])
+    return [Check(f"{name}_row_count", book.count(name), "> 0", book.count(name) > 0, f"analytics.{name} row count",
+                  "WARNING" if name == "bridge_store_holiday" else "FAIL") for name in WAREHOUSE_GRAINS]
 
 
-def duplicate_grain_checks(t: Tables) -> DataFrame:
-    return union_all([
-        _zero_check(_counted(grain_counts(t[name], grain).filter("row_count > 1")),
-                    f"{name}_duplicate_grain", f"Duplicate {' + '.join(grain)} combinations")
-        for name, grain in WAREHOUSE_GRAINS.items()
-    ])
+def duplicate_grain_rules(book: RuleBook) -> list[Check]:
+    return [_zero(f"{name}_duplicate_grain", book.doubled(name), f"Duplicate {' + '.join(grain)} combinations")
+            for name, grain in WAREHOUSE_GRAINS.items()]
 
 
 # Check name, child table, parent table, key columns, description.
@@ -99,129 +84,133 @@ def rows_without_parent(child: DataFrame, parent: DataFrame, keys: list[str]) ->
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"))
 
 
-def orphan_checks(t: Tables) -> DataFrame:
-    checks = [
-        _zero_check(rows_without_parent(t[child], t[parent], keys), name, details)
-        for name, child, parent, keys, details in ORPHAN_RULES
-    ]
-    dated = union_all([
-        t[name].select("date_key") for name in
-        ("fact_daily_sales", "fact_store_transactions", "fact_oil_price", "bridge_store_holiday")
-    ])
-    checks.append(_zero_check(_counted(dated, F.col("date_key").isNull()), "warehouse_missing_date_key",
-                              "Missing date_key values across facts and bridge"))
-    return union_all(checks)
+def orphan_rules(book: RuleBook) -> list[Check]:
+    checks = [_zero(name, book.orphans(child, keys, parent), details) for name, child, parent, keys, details in ORPHAN_RULES]
+    undated = sum((book.count(name, F.col("date_key").isNull()) for name in
+                   ("fact_daily_sales", "fact_store_transactions", "fact_oil_price", "bridge_store_holiday")), F.lit(0))
+    return [*checks, _zero("warehouse_missing_date_key", undated, "Missing date_key values across facts and bridge")]
 
 
-def measure_checks(t: Tables) -> DataFrame:
-    sales, visits = t["fact_daily_sales"], t["fact_store_transactions"]
-    total = F.coalesce(F.col("v"), F.lit(0))
+def measure_rules(book: RuleBook) -> list[Check]:
+    sales, visits = "fact_daily_sales", "fact_store_transactions"
 
-    def total_check(df: DataFrame, column: str, name: str, details: str) -> DataFrame:
-        return check_row(df.agg(F.sum(column).alias("v")), name, number_text(total), ">= 0",
-                         total >= 0, details, "WARNING")
+    def at_least_zero(table: str, column: str, name: str, details: str) -> Check:
+        total = book.total(table, column)
+        return Check(name, number_text(total), ">= 0", total >= 0, details, "WARNING")
 
-    def any_rows(name: str, table: str, details: str) -> DataFrame:
-        return check_row(_counted(t[table]), name, F.col("n"), "> 0", F.col("n") > 0, details)
+    def any_rows(name: str, table: str, details: str) -> Check:
+        return Check(name, book.count(table), "> 0", book.count(table) > 0, details)
 
-    days = t["dim_date"].agg(F.min("full_date").alias("a"), F.max("full_date").alias("z"))
-    shown = F.concat(F.coalesce(F.col("a").cast("string"), F.lit("NULL")), F.lit(" to "),
-                     F.coalesce(F.col("z").cast("string"), F.lit("NULL")))
-    return union_all([
-        _zero_check(_counted(sales, F.col("sales") < 0), "negative_sales",
-                    "Rows where sales is negative"),
-        _zero_check(_counted(sales, F.col("onpromotion") < 0), "negative_onpromotion",
-                    "Rows where onpromotion is negative"),
-        _zero_check(_counted(visits, F.col("transactions") < 0), "negative_transactions",
-                    "Rows where transactions is negative"),
-        total_check(sales, "sales", "total_sales", "Warehouse total sales"),
-        total_check(visits, "transactions", "total_transactions", "Warehouse total transactions"),
+    ends = book.bounds("dim_date", "full_date")
+    shown = F.concat(F.coalesce(ends["a"].cast("string"), F.lit("NULL")), F.lit(" to "),
+                     F.coalesce(ends["z"].cast("string"), F.lit("NULL")))
+    return [
+        _zero("negative_sales", book.count(sales, F.col("sales") < 0), "Rows where sales is negative"),
+        _zero("negative_onpromotion", book.count(sales, F.col("onpromotion") < 0), "Rows where onpromotion is negative"),
+        _zero("negative_transactions", book.count(visits, F.col("transactions") < 0), "Rows where transactions is negative"),
+        at_least_zero(sales, "sales", "total_sales", "Warehouse total sales"),
+        at_least_zero(visits, "transactions", "total_transactions", "Warehouse total transactions"),
         any_rows("store_count", "dim_store", "Number of stores in dim_store"),
         any_rows("family_count", "dim_family", "Number of families in dim_family"),
-        check_row(days, "date_range", shown, "non-empty ordered range",
-                  F.col("a").isNotNull() & (F.col("z") >= F.col("a")),
-                  "Minimum and maximum date in dim_date"),
-    ])
+        Check("date_range", shown, "non-empty ordered range", ends["a"].isNotNull() & (ends["z"] >= ends["a"]),
+              "Minimum and maximum date in dim_date"),
+    ]
 
 
 def _value(df: DataFrame, measure: Column) -> Column:
     return df.agg(measure.alias("v")).scalar()
 
 
-def mart_checks(t: Tables, marts: Tables) -> DataFrame:
+def mart_rules(book: RuleBook) -> list[Check]:
     """Marts against facts and dimensions: totals, counts, grains, signs, ratios, dates."""
-    one = t["dim_date"].sparkSession.range(1)
-    zero = F.lit(0)
+    daily, family, store, holiday, season = MART_GRAINS
+    fact, visits = "fact_daily_sales", "fact_store_transactions"
 
-    def equal(name: str, actual: Column, expected: Column, details: str) -> DataFrame:
-        both = one.select(actual.alias("a"), expected.alias("e"))
-        return check_row(both, name, F.col("a"), F.col("e"), F.col("a") == F.col("e"), details)
+    def equal(name: str, actual: Column, expected: Column, details: str) -> Check:
+        return Check(name, actual, expected, actual == expected, details)
 
-    def total(df: DataFrame, column: str) -> Column:
-        return number_text(_value(df, F.coalesce(F.sum(column), zero)))
+    def total(table: str, column: str) -> Column:
+        return number_text(book.total(table, column))
 
-    def rows(df: DataFrame) -> Column:
-        return _value(df, F.count(F.lit(1)))
+    def all_of(counts: list[Column]) -> Column:
+        return sum(counts, F.lit(0))
 
-    daily, family = marts["daily_store_performance"], marts["family_performance"]
-    store, holiday, season = (marts["store_performance"], marts["holiday_performance"],
-                              marts["seasonality"])
-    fact, visits = t["fact_daily_sales"], t["fact_store_transactions"]
     checks = [
         equal("daily_store_sales_reconciliation", total(daily, "total_sales"), total(fact, "sales"),
               "Total sales in daily store mart must equal the sales fact total"),
-        equal("daily_store_transactions_reconciliation", total(daily, "transactions"),
-              total(visits, "transactions"),
+        equal("daily_store_transactions_reconciliation", total(daily, "transactions"), total(visits, "transactions"),
               "Total transactions in daily store mart must equal the transaction fact total"),
         equal("family_sales_reconciliation", total(family, "total_sales"), total(fact, "sales"),
               "Total sales in family mart must equal the sales fact total"),
-        equal("store_count_reconciliation", rows(store), rows(t["dim_store"]),
+        equal("store_count_reconciliation", book.count(store), book.count("dim_store"),
               "Store mart row count must equal the store dimension count"),
-        equal("family_count_reconciliation", rows(family.select("family").distinct()),
-              rows(t["dim_family"]),
+        equal("family_count_reconciliation", book.distinct(family, "family"), book.count("dim_family"),
               "Distinct families in family mart must equal the family dimension count"),
+        _zero("holiday_store_mapping", all_of([
+            book.orphans("bridge_store_holiday", ["store_key"], "dim_store"), book.orphans(holiday, ["store_nbr"], "dim_store")]),
+            "Holiday bridge keys and holiday mart store numbers must map to dim_store"),
     ]
-
-    def count_sum(frames: list[DataFrame]) -> DataFrame:
-        return union_all(frames).agg(F.sum("n").alias("n"))
-
-    checks.append(_zero_check(count_sum([
-        rows_without_parent(t["bridge_store_holiday"], t["dim_store"], ["store_key"]),
-        rows_without_parent(holiday, t["dim_store"], ["store_nbr"]),
-    ]), "holiday_store_mapping", "Holiday bridge keys and holiday mart store numbers must map to dim_store"))
     grain_texts = {
-        "daily_store_performance": ("daily_store", "full_date and store_nbr combinations in daily store mart"),
-        "family_performance": ("family", "year, month and family combinations in family mart"),
-        "store_performance": ("store", "store_nbr values in store mart"),
-        "holiday_performance": ("holiday", "full_date and store_nbr combinations in holiday mart"),
-        "seasonality": ("seasonality", "seasonality grain combinations in seasonality mart"),
+        daily: ("daily_store", "full_date and store_nbr combinations in daily store mart"),
+        family: ("family", "year, month and family combinations in family mart"),
+        store: ("store", "store_nbr values in store mart"),
+        holiday: ("holiday", "full_date and store_nbr combinations in holiday mart"),
+        season: ("seasonality", "seasonality grain combinations in seasonality mart"),
     }
-    for name, (short, text) in grain_texts.items():
-        doubled = grain_counts(marts[name], MART_GRAINS[name]).filter("row_count > 1")
-        checks.append(_zero_check(_counted(doubled), f"{short}_mart_duplicate_grain", f"Duplicate {text}"))
-    negative_sales = [_counted(fact, F.col("sales") < 0)] + [
-        _counted(m, F.col("total_sales") < 0) for m in (daily, family, store, holiday, season)]
-    checks.append(_zero_check(count_sum(negative_sales), "nonnegative_sales",
-                              "Negative sales rows across facts and marts"))
-    negative_visits = [_counted(m, F.col("transactions") < 0) for m in (visits, daily, holiday)] + [
-        _counted(m, F.col("total_transactions") < 0) for m in (store, season)]
-    checks.append(_zero_check(count_sum(negative_visits), "nonnegative_transactions",
-                              "Negative transaction rows across facts and transaction-bearing marts"))
+    checks += [_zero(f"{short}_mart_duplicate_grain", book.doubled(name), f"Duplicate {text}")
+               for name, (short, text) in grain_texts.items()]
+    checks.append(_zero("nonnegative_sales", all_of([
+        book.count(fact, F.col("sales") < 0), *[book.count(m, F.col("total_sales") < 0) for m in MART_GRAINS]]),
+        "Negative sales rows across facts and marts"))
+    checks.append(_zero("nonnegative_transactions", all_of([
+        *[book.count(m, F.col("transactions") < 0) for m in (visits, daily, holiday)],
+        *[book.count(m, F.col("total_transactions") < 0) for m in (store, season)]]),
+        "Negative transaction rows across facts and transaction-bearing marts"))
     ratios = [
         (daily, "promotion_active_sales_share_proxy"), (daily, "sales_volume_per_transaction"),
-        (family, "promotion_uplift_proxy_pct"), (store, "sales_volume_per_transaction"),
-        (season, "sales_volume_per_transaction"),
+        (family, "promotion_uplift_proxy_pct"), (store, "sales_volume_per_transaction"), (season, "sales_volume_per_transaction"),
     ]
-    checks.append(_zero_check(
-        count_sum([_counted(m, F.col(c).isNotNull() & ~is_finite(c)) for m, c in ratios]),
-        "finite_division_results", "Infinite division results across all marts with calculated ratios"))
-    months = t["dim_date"].select("year", "month").distinct()
-    checks.append(_zero_check(count_sum(
-        [rows_without_parent(m, t["dim_date"], ["full_date"]) for m in (daily, holiday)]
-        + [rows_without_parent(m, months, ["year", "month"]) for m in (family, season)]),
-        "mart_date_range_within_dimension",
+    checks.append(_zero("finite_division_results", all_of([
+        book.count(m, F.col(c).isNotNull() & ~is_finite(c)) for m, c in ratios]),
+        "Infinite division results across all marts with calculated ratios"))
+    checks.append(_zero("mart_date_range_within_dimension", all_of([
+        *[book.orphans(m, ["full_date"], "dim_date") for m in (daily, holiday)],
+        *[book.orphans(m, ["year", "month"], "dim_date") for m in (family, season)]]),
         "Date-bearing mart rows must map to a date or year-month in dim_date"))
-    return union_all(checks)
+    return checks
+
+
+#: Rules of each check set, in the order of the report.
+RULE_SETS: dict[str, Callable[[RuleBook], list[Check]]] = {
+    "row_counts": row_count_rules, "duplicate_grain": duplicate_grain_rules, "foreign_keys": orphan_rules,
+    "measure_validation": measure_rules, "mart_reconciliation": mart_rules,
+}
+GRAINS = {**WAREHOUSE_GRAINS, **MART_GRAINS}
+
+
+def _set_rows(name: str, tables: Tables) -> DataFrame:
+    book = RuleBook(tables, GRAINS)
+    return book.rows(RULE_SETS[name](book))
+
+
+def row_count_checks(t: Tables) -> DataFrame:
+    return _set_rows("row_counts", t)
+
+
+def duplicate_grain_checks(t: Tables) -> DataFrame:
+    return _set_rows("duplicate_grain", t)
+
+
+def orphan_checks(t: Tables) -> DataFrame:
+    return _set_rows("foreign_keys", t)
+
+
+def measure_checks(t: Tables) -> DataFrame:
+    return _set_rows("measure_validation", t)
+
+
+def mart_checks(t: Tables, marts: Tables) -> DataFrame:
+    return _set_rows("mart_reconciliation", {**t, **marts})
 
 
 def status(passed: str | Column = "passed", severity: str | Column = "severity") -> Column:
@@ -233,20 +222,33 @@ def status(passed: str | Column = "passed", severity: str | Column = "severity")
 
 
 CHECK_SETS: dict[str, Callable[..., DataFrame]] = {
-    "row_counts": lambda t, m: row_count_checks(t),
-    "duplicate_grain": lambda t, m: duplicate_grain_checks(t),
-    "foreign_keys": lambda t, m: orphan_checks(t),
-    "measure_validation": lambda t, m: measure_checks(t),
-    "mart_reconciliation": mart_checks,
+    name: lambda t, m, name=name: _set_rows(name, {**t, **m}) for name in RULE_SETS
 }
 
 
+def all_rules(t: Tables, marts: Tables) -> DataFrame:
+    """Rows of all rule sets from one plan: needs that sets share are met once."""
+    book, named = RuleBook({**t, **marts}, GRAINS), []
+    for name, build in RULE_SETS.items():
+        named += [(name, check) for check in build(book)]
+    return book.rows([check for _, check in named], check_set=[name for name, _ in named])
+
+
 def run_check_sets(t: Tables, marts: Tables,
                    sets: Mapping[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
-    """Classified rows of all check sets; a set that cannot run becomes one FAIL row."""
-    spark = t["dim_date"].sparkSession
+    """Classified rows of all check sets; a set that cannot run becomes one FAIL row.
+
+    The sets of the library run as one plan; if that fails, each runs by itself, so that a broken one does not hide the others.
+    """
+    spark, columns = t["dim_date"].sparkSession, ["check_set", *CHECK_COLUMNS]
+    if sets is None:
+        try:
+            rows = all_rules(t, marts).select(*columns)
+            return spark.createDataFrame(rows.collect(), rows.schema).withColumn("status", status())
+        except (PySparkException, KeyError):  # a table or column is missing, or a value cannot be read
+            sets = CHECK_SETS
     frames = []
-    for name, build in (sets or CHECK_SETS).items():
+    for name, build in sets.items():
         try:
             rows = build(t, marts)
             missing = [c for c in CHECK_COLUMNS if c not in rows.columns]

@@ -134,11 +134,11 @@ query("r6_store_context")(lambda ws: readiness.store_context(_readiness(ws), _st
 query("q35_layer_reconciliation")(lambda ws: quality.layer_reconciliation(
     ws.clean(), ws.warehouse(), _stores(ws), _families(ws)))
 
-query("d1_d2_volume_over_time")(lambda ws: measures.volume_over_time(measures.star(ws.warehouse()), ["family"]))
-query("d2_d3_volume_and_coverage")(lambda ws: measures.volume_and_coverage(measures.star(ws.warehouse()), ["year", "state"]))
+query("d1_d2_volume_over_time")(lambda ws: measures.volume_over_time(ws.warehouse(), ["family"]))
+query("d2_d3_volume_and_coverage")(lambda ws: measures.volume_and_coverage(ws.warehouse(), ["year", "state"]))
 query("d4_transaction_measures")(lambda ws: measures.transaction_measures(ws.warehouse(), ["year", "store_nbr"]))
-query("d5_store_momentum")(lambda ws: measures.store_momentum(measures.star(ws.warehouse()), ["store_nbr"]))
-query("d6_promotion_measures")(lambda ws: measures.promotion_measures(measures.star(ws.warehouse()), ["family"]))
+query("d5_store_momentum")(lambda ws: measures.store_momentum(ws.warehouse(), ["store_nbr"]))
+query("d6_promotion_measures")(lambda ws: measures.promotion_measures(ws.warehouse(), ["family"]))
 query("d7_holiday_measures")(lambda ws: measures.holiday_measures(ws.warehouse(), ["state"]))
 query("d8_oil_measures")(lambda ws: measures.oil_measures(ws.warehouse()))
 query("d9_readiness_measures")(lambda ws: measures.readiness_measures(_readiness(ws), ["store_type"]))
