@@ -1,4 +1,7 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars.
+
+The smallest id of a large group is one key that holds all its members: no join gathers the edges of a node in one task.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +11,32 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import stored
 
 
-def _toward_minimum(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u > v): neighbours of a node are linked to the smallest of them.
+#: Parts that the edges of one node are dealt over in a join; what a node has to be told is repeated for each part.
+PARTS = 16
 
-    The large step links greater neighbours, the small step the others and the node itself."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    pairs = near.join(least, "u")
-    if large:
-        linked = pairs.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        linked = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.where("u <> m").select("u", F.col("m").alias("v")))
-    return linked.where("u <> v").distinct()
+
+def _told(edges: DataFrame, end: str, other: str, news: DataFrame, how: str) -> DataFrame:
+    """Edges beside what ``news`` (node, m) tells their ``end``; a node's edges are spread by their ``other`` end."""
+    part = F.pmod(F.xxhash64(other), F.lit(PARTS)).cast("int")
+    each = news.select(F.col("node").alias(end), "m", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return edges.withColumn("part", part).join(each, [end, "part"], how)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every edge (u > v) moves from v to the smallest neighbour of v, where that is smaller than v.
+
+    Only nodes with a smaller neighbour have news, so the edges of a settled root, however many, meet none."""
+    news = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    moved = _told(edges, "v", "u", news, "left").select("u", F.coalesce("m", "v").alias("v"))
+    return moved.where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours are linked to the smallest of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    news = least.where("n > 1").select(F.col("u").alias("node"), "m")
+    others = _told(edges, "u", "v", news, "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,7 +47,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = stored(edges, "edges"), None
     for _ in range(most_rounds):
-        edges = stored(_toward_minimum(_toward_minimum(edges, True), False), "edges")
+        edges = stored(_small_star(_large_star(edges)), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
