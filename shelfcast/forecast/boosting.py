@@ -35,6 +35,8 @@ MISSING = -1.0
 SHARD_ROWS, LEAST_SHARDS = 1 << 20, 2
 #: Part of the key of a stored fit; another way to grow trees takes another number.
 METHOD = 1
+#: Blocks of fewer rows are summed up for all features in one call.
+WIDE_ROWS = 300
 _ACCURACY = 1000
 
 
@@ -138,7 +140,7 @@ def bins_by_cutoff(rows: DataFrame, features: list[str], cutoffs: list[dt.date],
 
     So what a fit learns from depends on its own rows alone, not on the fits it is grown with. Sketches have an error of
     one part in ``_ACCURACY``, within which another partitioning of the rows may move a bound."""
-    shares = [i / (max_bins - 2) for i in range(1, max_bins - 2)]
+    shares = F.array(*[F.lit(i / (max_bins - 2)) for i in range(1, max_bins - 2)])  # built once for all sketches
     sketches = [F.percentile_approx(F.when(F.col("date") <= F.lit(cutoff), F.col(c)), shares, _ACCURACY).alias(f"{i}_{c}")
                 for i, cutoff in enumerate(cutoffs) for c in features]
     found = rows.agg(*sketches).first()
@@ -198,12 +200,13 @@ class Growth:
         order = np.argsort(data["key"], kind="stable")
         rows = order[data["sales"][order] > 0] if fit.target == "log_positive" else order
         self.codes = np.ascontiguousarray(data["codes"][rows][:, self.columns])
+        self.by_feature = np.ascontiguousarray(self.codes.T)
         self.key, sales = data["key"][rows].astype(np.uint64), data["sales"][rows]
         self.logistic = fit.target == "any_sale"
         self.y = (sales > 0).astype(float) if self.logistic else np.log1p(sales)
         widths = self.codes.max(axis=0, initial=0).astype(np.int64) + 1
         self.offsets = np.cumsum(widths) - widths  # where each feature's bins begin
-        self.owner = np.repeat(np.arange(len(self.columns)), widths)
+        self.widths, self.owner = widths, np.repeat(np.arange(len(self.columns)), widths)
         mean = float(self.y.mean()) if len(rows) else 0.0
         if self.logistic:
             mean = min(max(mean, 1e-6), 1 - 1e-6)
@@ -240,15 +243,26 @@ class Growth:
         rows = rows[self.bag[rows]]
         for begin in range(0, len(rows), 1 << 16):
             part = rows[begin:begin + (1 << 16)]
-            places = (self.codes[part] + self.offsets).ravel()
-            out[1] += np.bincount(places, minlength=size)
-            for kind, w in zip((0, 2), self.weights):
-                out[kind] += np.bincount(places, weights=np.repeat(w[part], len(self.columns)), minlength=size)
+            weights = [w[part] for w in self.weights]
+            if len(part) < WIDE_ROWS:  # too few rows to be worth a call per feature
+                places = (self.codes[part] + self.offsets).ravel()
+                out[1] += np.bincount(places, minlength=size)
+                for kind, w in zip((0, 2), weights):
+                    out[kind] += np.bincount(places, weights=np.repeat(w, len(self.columns)), minlength=size)
+                continue
+            counted = weights[0] + 1j  # gradient and row count are added up together
+            for codes, first, width in zip(self.by_feature, self.offsets.tolist(), self.widths.tolist(), strict=True):
+                places, bins, both = codes.take(part).astype(np.intp), slice(first, first + width), np.zeros(width, complex)
+                np.add.at(both, places, counted)
+                out[0, bins] += both.real
+                out[1, bins] += both.imag
+                for w in weights[1:]:
+                    out[2, bins] += np.bincount(places, weights=w, minlength=width)
         return out
 
     def split(self, node: Node) -> None:
         feature, cut = node.split
-        low = self.codes[node.rows, feature] <= cut
+        low = self.by_feature[feature].take(node.rows) <= cut
         parts, first = (node.rows[low], node.rows[~low]), 0 if 2 * node.left_rows <= node.total[1] else 1
         known = self.sums(parts[first])
         sums = (known, node.sums - known) if first == 0 else (node.sums - known, known)
@@ -316,10 +330,8 @@ def read_rows(held: list[pa.RecordBatch], width: int) -> dict[str, np.ndarray]:
     return columns | {"codes": np.frombuffer(b"".join(x for b in held for x in b["bins"].to_pylist()), np.uint8).reshape(-1, width)}
 
 
-def grown(table: DataFrame, bins: Bins, fits: list[Fit], cutoffs: list[dt.date], shards: dict[int, int]) -> DataFrame:
-    """(fit, shard, base, trees) for every fit and shard: each is one task, whose rows stand side by side."""
-    shared = table.sparkSession.sparkContext.broadcast(fits)
-    names = bins.features
+def dealt(table: DataFrame, fits: list[Fit], cutoffs: list[dt.date], shards: dict[int, int]) -> tuple[list[tuple[int, int]], DataFrame]:
+    """All (fit number, shard), and their rows: (unit, key, sales, bins), one partition each."""
     units = [(fit_no, shard) for fit_no, f in enumerate(fits) for shard in range(shards[cutoffs.index(f.cutoff)])]
     first = [next(i for i, u in enumerate(units) if u[0] == n) for n in range(len(fits))]
     firsts = F.array(*[F.array(*[F.lit(first[n]) for n, f in enumerate(fits) if f.cutoff == c]) for c in cutoffs])
@@ -327,32 +339,27 @@ def grown(table: DataFrame, bins: Bins, fits: list[Fit], cutoffs: list[dt.date],
     mine = F.col("cutoff_no")
     rows = table.select("*", F.explode(firsts[mine]).alias("first"), counts[mine].alias("shards")).select(
         (F.col("first") + F.pmod(F.xxhash64("key", F.lit(1)), F.col("shards"))).cast("int").alias("unit"), "key", "sales", "bins")
-    dealt = rows.repartitionByRange(len(units), "unit").sortWithinPartitions("unit")
+    return units, rows.repartitionById(len(units), "unit")  # ranges found by sampling would put several units into one task
+
+
+def grown(table: DataFrame, bins: Bins, fits: list[Fit], cutoffs: list[dt.date], shards: dict[int, int]) -> DataFrame:
+    """(fit, shard, base, trees) for every fit and shard: each is one task."""
+    shared = table.sparkSession.sparkContext.broadcast(fits)
+    names = bins.features
+    units, rows = dealt(table, fits, cutoffs, shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
 
-        def one(unit: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            fit_no, shard = units[unit]
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            fit_no, shard = units[held[0]["unit"][0].as_py()]
             growth = Growth(wanted[fit_no], read_rows(held, len(names)), names)
             trees = [growth.tree(i) for i in range(wanted[fit_no].parameters.rounds)] if len(growth.y) else []
             row = {"fit": wanted[fit_no].name, "shard": shard, "base": growth.base, "rows": len(growth.y), "trees": json.dumps(trees)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("fit", pa.string()), ("shard", pa.int32()), ("base", pa.float64()), ("rows", pa.int64()), ("trees", pa.string())]))
-
-        unit, held = None, []
-        for batch in batches:
-            marks = batch["unit"].to_numpy()
-            cuts = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)] if len(marks) else []
-            for begin, end in zip(cuts, cuts[1:]):
-                if held and marks[begin] != unit:
-                    yield one(unit, held)
-                    held = []
-                unit = int(marks[begin])
-                held.append(batch.slice(begin, end - begin))
-        if held:
-            yield one(unit, held)
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("fit", pa.string()), ("shard", pa.int32()), ("base", pa.float64()), ("rows", pa.int64()), ("trees", pa.string())]))
 
-    return dealt.mapInArrow(run, "fit string, shard int, base double, rows long, trees string")
+    return rows.mapInArrow(run, "fit string, shard int, base double, rows long, trees string")
 
 
 def ensemble(fit: Fit, parts: list[tuple[float, int, list[dict]]], bins: Bins) -> Ensemble:

@@ -185,3 +185,37 @@ def test_two_stage_predictions_are_products(spark, table):
     stage = lambda m: [r["prediction"] for r in model.predict_sales(m, frame.limit(50)).collect()]
     for r, chance, size in zip(got, stage(fitted.occurrence), stage(fitted.magnitude), strict=True):
         assert 0 <= chance <= 1 and r["prediction"] == pytest.approx(chance * size) and (r["store_nbr"] >= 5 or chance < 0.05)
+
+
+def test_every_fit_and_shard_is_a_partition_of_its_own(spark):
+    rng = np.random.default_rng(8)
+    cutoffs = [DAY + dt.timedelta(days=i) for i in range(3)]
+    rows = [(i, int(k), 1.0, b"\x00") for i, n in enumerate((40, 900, 3000)) for k in rng.integers(0, 1 << 60, n)]
+    table = spark.createDataFrame(rows, "cutoff_no int, key long, sales double, bins binary")
+    fits = [Fit(f"{c}/{t}", c, TreeParameters(), ("x",), t) for c in cutoffs for t in boosting.TARGETS]
+    units, found = boosting.dealt(table, fits, cutoffs, {0: 2, 1: 3, 2: 5})
+    assert len(units) == 30 == found.rdd.getNumPartitions()
+    held = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("unit").alias("units"), F.min("unit").alias("unit")).collect()
+    assert all(r["units"] == 1 and r["unit"] == r["task"] for r in held) and len(held) == 30
+    assert found.count() == 3 * len(rows)
+
+
+@pytest.mark.parametrize("target", boosting.TARGETS)
+def test_sums_by_feature_are_those_of_one_call(target, monkeypatch):
+    data, p = shard(4000, 6, levels=62), TreeParameters(rounds=3, min_rows_per_leaf=20)
+    by_feature = grow(data, p, target)
+    monkeypatch.setattr(boosting, "WIDE_ROWS", 1 << 20)
+    at_once = grow(data, p, target)
+    for number in range(p.rounds):
+        monkeypatch.setattr(boosting, "WIDE_ROWS", 0)
+        tree = by_feature.tree(number)
+        monkeypatch.setattr(boosting, "WIDE_ROWS", 1 << 20)
+        assert tree == at_once.tree(number)
+
+
+def test_shares_of_the_sketches_are_built_once(spark, monkeypatch):
+    rows, made = spark.createDataFrame([(DAY, float(i)) for i in range(100)], "date date, x double"), []
+    monkeypatch.setattr(boosting.F, "lit", lambda x, lit=F.lit: made.append(x) or lit(x))
+    first, second = boosting.bins_by_cutoff(rows.select("date", "x", (2 * F.col("x")).alias("y")), ["x", "y"], [DAY, DAY], 64)
+    assert len([x for x in made if isinstance(x, float)]) == 61
+    assert np.allclose(first.bounds[1][1:], 2 * first.bounds[0][1:]) and np.array_equal(first.bounds[0], second.bounds[0])
