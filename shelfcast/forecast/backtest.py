@@ -68,12 +68,18 @@ def backtest_runs(training: DataFrame, known: DataFrame, actual: DataFrame, runs
         "experiment", "fold", *SALES_GRAIN, "sales", "prediction")
 
 
+def planned_runs(experiment: str, origins: Mapping[int, dt.date], parameters: TreeParameters | None = None,
+                 features: list[str] | None = None, two_stage: bool = False) -> list[Run]:
+    """One configuration on every fold."""
+    wanted = Wanted(dt.date.min, parameters or TreeParameters(), tuple(FEATURES if features is None else features), two_stage)
+    return [Run(experiment, fold, replace(wanted, cutoff=day)) for fold, day in origins.items()]
+
+
 def backtest(training: DataFrame, known: DataFrame, actual: DataFrame, origins: Mapping[int, dt.date],
              parameters: TreeParameters | None = None, features: list[str] | None = None,
              horizon: int = HORIZON, two_stage: bool = False) -> DataFrame:
     """Out-of-fold rows (fold, grain, sales, prediction) of one configuration."""
-    wanted = Wanted(dt.date.min, parameters or TreeParameters(), tuple(FEATURES if features is None else features), two_stage)
-    runs = [Run("model", fold, replace(wanted, cutoff=day)) for fold, day in origins.items()]
+    runs = planned_runs("model", origins, parameters, features, two_stage)
     return backtest_runs(training, known, actual, runs, horizon).drop("experiment")
 
 

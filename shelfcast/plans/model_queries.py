@@ -97,6 +97,22 @@ def _two_stage_oof(ws: Workspace) -> DataFrame:
         selection.NO_HOLIDAY, two_stage=True))
 
 
+def strategy_oofs(ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold rows of the global model and of the two stages; if neither is stored yet, one job fits and one pass walks both."""
+    if ws.holds("result_model_oof") or ws.holds("result_two_stage_oof"):
+        return _oof(ws), _two_stage_oof(ws)
+
+    def build() -> DataFrame:
+        actual = ws.rollup()["train"]
+        return backtest.backtest_runs(ws.training_frame(), ws.known_frame(), actual, [
+            *backtest.planned_runs("global", backtest.fold_origins(actual, first_fold=0), FULL, selection.NO_HOLIDAY),
+            *backtest.planned_runs("two_stage", backtest.fold_origins(actual), FULL, selection.NO_HOLIDAY, two_stage=True)])
+
+    both = ws.stored("result_strategies_oof", build)
+    return tuple(ws.stored(name, lambda run=run: both.filter(F.col("experiment") == run).drop("experiment"))
+                 for name, run in (("result_model_oof", "global"), ("result_two_stage_oof", "two_stage")))
+
+
 query("i3_i4_i9_two_stage_backtest")(lambda ws: _two_stage_oof(ws))
 
 

@@ -90,10 +90,15 @@ def _model_scores(ws: Workspace) -> DataFrame:
     """Scores on the cohort per strategy and fold: intermittent methods, two stages and the global model as control."""
     space = by_series(ws)
     members = cohort(space)
-    return space.stored("result_cohort_scores", lambda: union_all([
-        croston_scores(ws).select("model", "fold", "rmsle", "mae", "wape"),
-        intermittent.score_cohort(models._two_stage_oof(space), members, "two_stage"),
-        intermittent.score_cohort(models._folds(space), members, intermittent.CONTROL)]))
+
+    def build() -> DataFrame:
+        control, two_stage = models.strategy_oofs(space)
+        return union_all([
+            croston_scores(ws).select("model", "fold", "rmsle", "mae", "wape"),
+            intermittent.score_cohort(two_stage, members, "two_stage"),
+            intermittent.score_cohort(control.filter("fold >= 1"), members, intermittent.CONTROL)])
+
+    return space.stored("result_cohort_scores", build)
 
 
 query("g1_g2_g6_oof_contract" + SUFFIX)(lambda ws: models.oof_contract(by_series(ws)))

@@ -55,6 +55,9 @@ class Workspace:
         table = self._done[name]
         return table.drop("year") if by_year else table
 
+    def holds(self, name: str) -> bool:
+        return name in self._done
+
     def _keep(self, name: str, path: str) -> None:
         self._paths[name], self._done[name] = path, self._reader(name, path)
 

@@ -65,3 +65,26 @@ def test_final_fits_take_the_choice(spark, tmp_path, monkeypatch):
             all_queries()[name](Space(spark, tmp_path))
         assert found.value.args[0] == selection.GRID["T3_robust_subsample"], name
     assert model_queries.FULL == model.TreeParameters()
+
+
+def test_strategies_on_the_cohort_are_fitted_together(spark, tmp_path, monkeypatch):
+    class Empty(Space):
+        def holds(self, name):
+            return False
+
+    def stop(training, known, actual, runs):
+        raise Seen({(r.experiment, r.fold, r.model.two_stage, r.model.parameters) for r in runs})
+
+    monkeypatch.setattr(backtest, "backtest_runs", stop)
+    with pytest.raises(Seen) as found:
+        model_queries.strategy_oofs(Empty(spark, tmp_path))
+    assert found.value.args[0] == {("global", f, False, model_queries.FULL) for f in range(5)} | {("two_stage", f, True, model_queries.FULL) for f in range(1, 5)}
+
+
+def test_routing_covers_strategies_that_had_nothing_to_score(spark):
+    from shelfcast.forecast import intermittent
+    scores = spark.createDataFrame([("a", f, 0.5, 1.0, 0.1) for f in (1, 2)], "model string, fold int, rmsle double, mae double, wape double")
+    full = intermittent.every_fold(scores, ["a", "b"])
+    assert full.count() == 8 and full.filter("rmsle IS NOT NULL").count() == 2
+    assert {r["model"]: r["fold_count"] for r in intermittent.summarize_routing(full, "b").collect()} == {"a": 4, "b": 4}
+    assert full.exceptAll(scores).filter("rmsle IS NOT NULL").count() == 0
