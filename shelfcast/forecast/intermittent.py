@@ -117,6 +117,13 @@ def intermittent_series(readiness: DataFrame) -> DataFrame:
     return readiness.filter("readiness_class = 'Intermittent demand'").select(*SERIES)
 
 
+def every_fold(scores: DataFrame, strategies: list[str], folds: int = FOLDS) -> DataFrame:
+    """Scores with a row for every strategy and fold; errors are null where the cohort had nothing to score."""
+    planned = scores.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("model")).select(
+        "model", F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"))
+    return planned.join(scores, ["model", "fold"], "full")
+
+
 def summarize_routing(scores: DataFrame, control: str = CONTROL, folds: int = 4, check: bool = True) -> DataFrame:
     """Fold means per strategy and whether it improves enough on the control."""
     if check and scores.groupBy("model").agg(F.count_distinct("fold").alias("n")).filter(F.col("n") != folds).count():
