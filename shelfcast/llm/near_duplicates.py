@@ -288,11 +288,11 @@ def unsettled(star: DataFrame, local: DataFrame, labels: DataFrame) -> DataFrame
         return ids.join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     rows = star.select(F.col("a").alias("hub"), F.col("b").alias("id"))
-    rows = labelled(rows.unionByName(rows.select("hub", F.col("hub").alias("id")).distinct()))
+    rows = stored(labelled(rows.unionByName(rows.select("hub", F.col("hub").alias("id")).distinct())), "stars")
     between = rows.groupBy("hub").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("hub")
-    ids = rows.join(between, "hub", "left_semi").select("id").distinct()
-    copies = local.select(F.col("a").alias("id"), "b").join(ids, "id", "left_semi").select(F.col("b").alias("id"))
-    return labelled(ids.unionByName(copies).distinct())
+    beside = rows.join(between, "hub", "left_semi").select("id", "label").distinct()
+    copies = local.select(F.col("a").alias("id"), "b").join(beside, "id", "left_semi").select(F.col("b").alias("id"))
+    return beside.unionByName(labelled(copies.distinct())).distinct()
 
 
 def _sets_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:

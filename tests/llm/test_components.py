@@ -49,3 +49,30 @@ def test_joins_deal_the_edges_of_a_hub(spark):
     for step in (module._large_star, module._small_star):
         told = step(edges)._jdf.queryExecution().executedPlan().toString()
         assert "part#" in told
+
+
+def test_driver_holds_no_news_of_the_edges(spark, tmp_path):
+    """A packed file of edges is far smaller than the news repeated for each part, so none of it is broadcast."""
+    from shelfcast.llm import components as module
+    links = spark.range(1, 4000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    links.unionByName(spark.range(1, 4000).select((F.col("id") + 5000).alias("u"), F.col("id").alias("v"))).write.parquet(f"{tmp_path}/edges")
+    for step in (module._large_star, module._small_star):
+        told = step(spark.read.parquet(f"{tmp_path}/edges"))
+        told.collect()
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(("links", "rounds"), [([(0, i) for i in range(1, 50)], 0), ([(1, 2), (2, 3), (10, 11)], 1), ([], 0)])
+def test_no_round_without_a_change(spark, monkeypatch, links, rounds):
+    from shelfcast.llm import components as module
+    ran, star = [], module._small_star
+    monkeypatch.setattr(module, "_small_star", lambda edges: ran.append(1) or star(edges))
+    found = module.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["id"]: r["component"] for r in found.collect()} == plain(links) and len(ran) == rounds
+
+
+def test_settled_is_a_star_around_the_smallest(spark):
+    from shelfcast.llm import components as module
+    for edges, settled in (([(2, 1), (3, 1), (5, 4)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False), ([], True)):
+        assert module._settled(spark.createDataFrame(edges, "u long, v long")) is settled
